@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import extraction, fingerprints, ngram_join, packing, pii, quality, token_counts
+from paperloom.llm import extraction, fingerprints, mixing, ngram_join, packing, pii, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,21 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: Wanted shares of tokens by language.
+LANGUAGE_TARGETS = {"en": 0.55, "fr": 0.17, "de": 0.15, "es": 0.13}
+
+
+def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and language of the documents in the table of labels; no text is read."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct()
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("lang").alias("domain")).join(labels, "doc_id")
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mixing.mixing_rates(documents, labelled_languages(spark, sf_dir), LANGUAGE_TARGETS)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
