@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import extraction, fingerprints, mixing, ngram_join, packing, pii, quality, token_counts
+from paperloom.llm import extraction, fingerprints, lm, mixing, ngram_join, packing, pii, quality, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(documents, labelled_languages(spark, sf_dir), LANGUAGE_TARGETS)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
