@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import extraction, fingerprints, lm, mixing, ngram_join, packing, pii, quality, token_counts
+from paperloom.llm import extraction, fingerprints, lm, mixing, ngram_join, packing, pii, quality, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 #: Wanted shares of tokens by language.
 LANGUAGE_TARGETS = {"en": 0.55, "fr": 0.17, "de": 0.15, "es": 0.13}
 
