@@ -1,4 +1,9 @@
-"""All registered queries of the library, with the DuckDB SQL that must give the same rows."""
+"""All registered queries of the library, with the DuckDB SQL that must give the same rows.
+
+The test tables hold no files, audio or usage; columns of theirs stand in: document lines are
+pages, conversation turns are chunks and tokens, events are webhooks, job results and usage,
+customers are quotas.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +12,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    from paperloom.plans import query_billing, query_documents, query_media, query_tasks  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
