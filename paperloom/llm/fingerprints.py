@@ -206,7 +206,7 @@ def _deal(documents: DataFrame, range_rows: int) -> tuple[DataFrame, list[tuple[
         for x in range(at, counts[k + 1][0] if k + 1 < len(counts) else slices):
             range_of[x] = len(firsts) - 1
     table = F.lit(np.array(range_of, dtype=np.int32))
-    ranged = documents.withColumn("range", F.coalesce(F.get(table, number.cast("int")), F.lit(0)))
+    ranged = documents.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(F.get(table, number.cast("int"))))
     return ranged, [(first, k - 1 if k else len(firsts) - 1) for k, first in enumerate(firsts)]
 
 

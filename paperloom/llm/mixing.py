@@ -97,6 +97,7 @@ def fit_rates(table: DataFrame, weights: list[float], total_tokens: float | None
         least = table.where("n_tokens > 0").agg(F.min(rate)).first()[0]
         if least is not None and 0 < least < 1:
             rate, targets, reached = rate / F.lit(least), [t / least for t in targets], [r / least for r in reached]
+        rate = F.greatest(F.lit(1.0), rate)  # bears on texts without words, and where no nonnegative rates meet the targets
     return rate, targets, reached
 
 

@@ -83,7 +83,8 @@ def _anchor_keys(window: int, anchor: int):
             ids = batch.column(0).to_numpy()
             for low, _, block in blocks(batch.column(1)):
                 found = Anchors(block, window, anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(found.key), pa.array(ids[low + found.row])], names=["key", "doc_id"])
+                _, once = np.unique(mix(found.key.view(np.uint64) + mix(found.row.astype(np.uint64))), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.key[once]), pa.array(ids[low + found.row[once]])], names=["key", "doc_id"])
 
     return run
 
