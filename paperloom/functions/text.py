@@ -83,7 +83,7 @@ def _padded(clean: Column) -> Column:
 
 def url_extension(url: Column, default: str = ".audio") -> Column:
     """The suffix of the path's last part; none for names that begin with their only dot or end with one."""
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+$", "")
+    path = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?|[?#].*$", ""), "/+$", "")
     return or_default(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1), F.lit(default))
 
 

@@ -24,10 +24,11 @@ def parse_form(text: Column, schema: str) -> tuple[Column, Column]:
 def read_transcripts(payloads: DataFrame, key: str, payload: str = "payload") -> DataFrame:
     """Tokens of JSON transcripts: key, seq, type, times, content and language of the first alternative, job id, duration, predicted language."""
     schema = schemas.TRANSCRIPT.removeprefix("STRUCT<").removesuffix(">")
-    t = payloads.select(key, F.from_json(payload, f"struct<{schema}>").alias("t"))
-    rows = t.select(key, F.col("t.job.id").alias("job_id"), F.col("t.job.duration").alias("duration"), F.col("t.metadata.language_identification.predicted_language").alias("predicted_language"), F.posexplode("t.results").alias("seq", "r"))
-    first = F.get("r.alternatives", F.lit(0))
-    return rows.select(key, F.col("seq").cast("long").alias("seq"), "r.type", "r.start_time", "r.end_time", first["content"].alias("content"), first["language"].alias("language"), "job_id", "duration", "predicted_language")
+    read, row = F.col("\tread"), F.col("\trow")
+    typed = payloads.select(key, F.from_json(payload, f"struct<{schema}>").alias("\tread"))
+    rows = typed.select(key, read["job"]["id"].alias("job_id"), read["job"]["duration"].alias("duration"), read["metadata"]["language_identification"]["predicted_language"].alias("predicted_language"), F.posexplode(read["results"]).alias("seq", "\trow"))
+    first = F.get(row["alternatives"], F.lit(0))
+    return rows.select(key, F.col("seq").cast("long").alias("seq"), row["type"].alias("type"), row["start_time"].alias("start_time"), row["end_time"].alias("end_time"), first["content"].alias("content"), first["language"].alias("language"), "job_id", "duration", "predicted_language")
 
 
 def write_markdown(texts: DataFrame, folder: str, path: str = "out_path", text: str = "text") -> None:
