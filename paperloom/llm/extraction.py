@@ -194,7 +194,7 @@ class BlockModel:
             label = step[label]
         return [*out, label][::-1]
 
-    def fit(self, pages: list[str], rounds: int = 8, rate: float = 0.5, penalty: float = 1e-3) -> BlockModel:
+    def fit(self, pages: list[str], rounds: int = 10, rate: float = 0.5, penalty: float = 1e-3) -> BlockModel:
         """Maximum likelihood of the labelled pages by adaptive gradient steps, with forward and backward sums."""
         data, index = [], {}
         for page in pages:
@@ -261,7 +261,7 @@ PART_WORDS = {
 }
 
 
-def training_pages(n: int = 220, seed: int = 11) -> list[str]:
+def training_pages(n: int = 300, seed: int = 11) -> list[str]:
     """Pages whose main blocks begin with MARK."""
     r = random.Random(seed)
     syllables = ["an", "er", "ou", "th", "re", "ion", "é", "sch", "la", "os", "ing", "and", "ent"]
@@ -309,7 +309,8 @@ def training_pages(n: int = 220, seed: int = 11) -> list[str]:
     def extra() -> str:
         return r.choice(
             [
-                lambda: box(["div", "aside", "section"], "advert", other_prose(1), False), lambda: box(["div"], "share", link_list()), lambda: box(["aside", "div", "section"], "sidebar", f"<h3>{words(1, 3)}</h3>" + (link_list() if r.random() < 0.6 else other_prose(3))),
+                lambda: box(["div", "aside", "section"], "advert", other_prose(1), False), lambda: box(["div", "p"], "advert", prose(""), False), lambda: box(["div"], "share", link_list()),
+                lambda: f"<{(t := r.choice(['p', 'div']))} {r.choice(['hidden', 'style=\"display:none\"'])}>{prose('')}</{t}>", lambda: box(["aside", "div", "section"], "sidebar", f"<h3>{words(1, 3)}</h3>" + (link_list() if r.random() < 0.6 else other_prose(3))),
                 lambda: box(["form", "div"], "form", f"<form><p>{sentence()}</p><label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button></form>"), lambda: box(["div", "section"], "notice", other_prose(2)),
             ]
         )()
@@ -334,7 +335,7 @@ def training_pages(n: int = 220, seed: int = 11) -> list[str]:
                 parts.append(f"<figure><img src=x><figcaption>{prose(MARK)}</figcaption></figure>")
             else:
                 parts.append(f"<div>{prose(MARK)}</div>")
-            if r.random() < 0.12:
+            if r.random() < 0.2:
                 parts.append(extra())
         return "".join(parts)
 
