@@ -14,6 +14,11 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
+def read_prompt(spark: SparkSession, path: str) -> str:
+    """A prompt file's whole text, for a provider's factory to hold."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def parse_form(text: Column, schema: str) -> tuple[Column, Column]:
     """A JSON form field as a struct, and whether it is acceptable. Empty and missing fields are null and acceptable."""
     given = or_default(text, F.lit(None).cast("string"))
