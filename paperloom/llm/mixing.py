@@ -33,7 +33,7 @@ BUCKETS = 2048
 MAX_LABELLED = 20_000
 EVIDENCE_WORDS = 20.0
 MAX_STEPS = 40
-TOLERANCE = 1e-9
+TOLERANCE = 1e-6
 
 
 def word_buckets(text: Column, buckets: int = BUCKETS) -> Column:
