@@ -37,7 +37,8 @@ from paperloom.llm.words import BLOCK_BYTES, mix
 
 SLOTS = 64
 LEVELS = (2, 3)
-RANGE_ROWS = 4_000
+RANGE_ROWS = 1_000
+RANGES_A_TASK = 4
 MAX_SLICES = 1 << 16
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _EMPTY = np.uint16(0)
@@ -218,5 +219,5 @@ def edited_fingerprints(documents: DataFrame, range_rows: int = RANGE_ROWS, id_c
     before = F.broadcast(spark.createDataFrame(firsts, "doc_id long, range int"))
     tails = documents.join(before, "doc_id").groupBy("range").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     rows = ranged.select("range", "doc_id", "text", F.lit(False).alias("tail")).unionByName(tails.select("range", F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("tail")))
-    dealt = rows.repartition(max(1, len(firsts)), "range").sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = rows.repartition(max(1, -(-len(firsts) // RANGES_A_TASK)), "range").sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_first(), "text")
     return dealt.mapInArrow(_stream, SCHEMA)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.shared import cut
 from paperloom.llm.words import as_large_string, blocks, mix
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 CONTEXT_WEIGHT, CONTEXT_POWER = 10.0, 0.7
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _END = np.uint64(0xE5D0_0000_0000_0001)
