@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import quality as q
 from tests.llm.conftest import prose, words
@@ -68,3 +69,20 @@ def test_kept_columns_replace_measures_of_their_names(spark, edge, edge_rows):
 
 def test_empty_table(spark, empty):
     assert q.quality_rules(empty, spark.createDataFrame([(1, 1, None)], LABELS)).count() == 0
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1", "check_s"])
+def test_labelled_junk_goes_whatever_the_size(spark, sf_dir, size):
+    """Of junk that the base rule leaves none is kept, of good documents and of unlabelled ones as many on each table."""
+    folder = sf_dir.replace("sf0.001", size)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality", "toxic")
+    got = q.quality_rules(spark.read.parquet(f"{folder}/documents.parquet"), labels).where("NOT base_failed").join(labels, "doc_id", "left")
+    shares = {r.quality: (r.n, r.kept) for r in got.groupBy("quality").agg(F.count("*"), F.count_if("kept")).toDF("quality", "n", "kept").collect()}
+    assert shares[0][0] >= 28 and shares[0][1] == 0
+    assert shares[1][1] >= 0.98 * shares[1][0] and shares[None][1] >= 0.88 * shares[None][0]
+
+
+def test_small_blocks_and_wider_keys_give_the_same_scores(spark, edge):
+    labels = spark.createDataFrame([(0, 1, 0), (11, 1, None)], LABELS)
+    one, many = (sorted(((r.doc_id, r.n_words, round(r.score, 9)) for r in q.quality_rules(edge, labels, **more).collect()), key=str) for more in ({}, {"block_bytes": 700, "bits": 60}))
+    assert one == many
