@@ -21,6 +21,9 @@ Blocks are packed twice, once to ask and once to score. Rows that come in anothe
 time (as after a shuffle without a total order) make the query fail, never a wrong score; write
 such a table first.
 
+Not caught: toxic text of good form. Toxic documents are left out of the target, but their n-grams
+are mostly those of others; see the README for how many pass.
+
 Cases: a null or empty text has no words, so base_failed and not kept. A null doc_id stays null
 and is never trusted. Repeated rows give repeated results. An empty table gives no rows. Without
 trusted documents every ratio is 0 and the base rule alone decides. Columns other than

@@ -86,3 +86,11 @@ def test_small_blocks_and_wider_keys_give_the_same_scores(spark, edge):
     labels = spark.createDataFrame([(0, 1, 0), (11, 1, None)], LABELS)
     one, many = (sorted(((r.doc_id, r.n_words, round(r.score, 9)) for r in q.quality_rules(edge, labels, **more).collect()), key=str) for more in ({}, {"block_bytes": 700, "bits": 60}))
     assert one == many
+
+
+def test_toxic_text_of_good_form_is_not_caught(spark, sf_dir):
+    """Records the method's reach: 40 of 40 such documents are kept."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    toxic = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1 AND toxic = 1").select("doc_id")
+    got = q.quality_rules(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).join(toxic, "doc_id").where("NOT base_failed").collect()
+    assert len(got) == 40 and sum(r.kept for r in got) == 40 and "toxic text of good form" in q.__doc__
