@@ -6,15 +6,11 @@ log(target / raw) over its n-grams divided by their number; it is kept if the sc
 `threshold`, a constant. A base rule comes before: too few words, or too many words in repeated
 windows, fail.
 
-N-grams do not share buckets whatever the input's size: a key has BUCKET_BITS, or more where that
-would leave fewer than 2 ** SPARE_BITS keys to a counted n-gram. Frequent n-grams thus never cover
-for rare ones.
-
-Scale: the model is never in one place. Each task packs its rows into blocks of about BLOCK_BYTES
-of text. A block sends the n-grams that occur in it with their counts, cut by hash range; a range
-is summed in a task of its own, and the totals go back to the blocks that asked, which hold their
-texts compressed. A frequent n-gram costs one entry a block. Exchanged: the compressed text once,
-and per block and distinct n-gram about 3 bytes there and 1 or 2 back. The ids of all trusted documents,
+N-grams do not share keys whatever the input's size: keys have as many bits as leave 2 ** SPARE_BITS
+of them to a counted n-gram. Frequent n-grams thus never cover for rare ones.
+
+Scale: the model is never in one place; see block_counts. Exchanged: the compressed text once, and
+per block and distinct n-gram about 2.5 bytes there and 1 back. The ids of all trusted documents,
 8 bytes each, are broadcast.
 
 Blocks are packed twice, once to ask and once to score. Rows that come in another order the second
@@ -32,22 +28,17 @@ those named are ignored unless listed in `keep`; measures replace kept columns o
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm import block_counts as bc
 from paperloom.llm.words import Block, blocks, inside_words, mix, repeated, window_hashes
 
-BUCKET_BITS = 40
 SPARE_BITS = 6
-BLOCK_BYTES = 4 << 20
-BLOCKS_A_RANGE = 4
 THRESHOLD = -0.15
 PRIOR = 10
 MIN_WORDS = 20
@@ -55,8 +46,7 @@ MAX_REPEATED_PERCENT = 30
 REPEAT_WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, base_failed boolean, kept boolean"
-_ASKED = "range int, block binary, keys binary, raw binary, target binary"
-_ANSWERED = "block binary, range int, raw binary, target binary"
+_KINDS = {"grams": 2}  # counts in all documents, and in trusted ones
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS.encode())] = True
@@ -67,7 +57,7 @@ def ngram_buckets(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray]:
     words = block.word_hashes()
     at, pair_rows = block.window_rows(2)
     pairs = window_hashes(words, 2)[at]
-    return (np.concatenate((words, pairs)) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate((block.row_of_word(), pair_rows))
+    return np.concatenate((words, pairs)) >> np.uint64(64 - bits), np.concatenate((block.row_of_word(), pair_rows))
 
 
 def base_measures(block: Block) -> dict[str, np.ndarray]:
@@ -104,18 +94,6 @@ def base_measures(block: Block) -> dict[str, np.ndarray]:
     return out
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Integers by byte planes, compressed."""
-    planes = np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, n).T).view(np.int64).reshape(n)
-
-
 def _is_trusted(ids: pa.Array, trusted: np.ndarray) -> np.ndarray:
     found = np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), trusted)
     return found & ids.is_valid().to_numpy(zero_copy_only=False)
@@ -142,112 +120,44 @@ def _size(trusted):
     return run
 
 
-def _blocks_of(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[bytes, pa.Table]]:
-    """A task's rows, whose last column is the text, in blocks. The key names task, place and content."""
-    task, held, size, n = TaskContext.get().partitionId(), [], 0, 0
-
-    def flush() -> tuple[bytes, pa.Table]:
-        nonlocal n
-        table = pa.Table.from_batches(held).combine_chunks()
-        digest = hashlib.blake2b(f"{task} {n}".encode(), digest_size=16)
-        for low, high, block in blocks(table.column(table.num_columns - 1)):
-            digest.update(block.row_end.tobytes() + block.data.tobytes())
-        n += 1
-        held.clear()
-        return digest.digest(), table
-
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        low = 0
-        while low < batch.num_rows:
-            before = int(ends[low - 1]) if low else 0
-            high = max(low if held else low + 1, int(np.searchsorted(ends, before + block_bytes - size, side="right")))
-            if high > low:
-                held.append(batch.slice(low, high - low))
-                size += int(ends[high - 1]) - before
-                low = high
-            if low < batch.num_rows:
-                yield flush()
-                size = 0
-    if held:
-        yield flush()
-
-
-def _grams(column: pa.ChunkedArray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key and row of each n-gram of a block."""
-    keys, rows = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-    for low, _, block in blocks(column):
-        key, row = ngram_buckets(block, bits)
-        keys.append(key)
-        rows.append((row + low).astype(np.int32))
-    return np.concatenate(keys), np.concatenate(rows)
-
-
-def _pack_blocks(block_bytes: int):
-    """A row for each block: its key and its compressed rows."""
+def _grams(trusted, bits: int):
+    """The distinct keys of a block and their counts. A block's last columns are id and text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, table in _blocks_of(batches, block_bytes):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(table)
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+    def run(table: pa.Table) -> bc.Grams:
+        *_, ids, texts = table.columns
+        of_target = _is_trusted(ids.combine_chunks(), trusted.value)
+        parts = []
+        for low, _, block in blocks(texts):
+            keys, rows = ngram_buckets(block, bits)
+            found, place = np.unique(keys, return_inverse=True)
+            parts.append((found, np.bincount(place, minlength=len(found)), np.bincount(place[of_target[rows + low]], minlength=len(found))))
+        found, counts = bc.distinct(parts)
+        return {"grams": (found, bits, counts)}
 
     return run
 
 
-def _ask(trusted, bits: int, ranges: int):
-    """Of each block and hash range, the distinct keys with their counts. A block's last columns are id and text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                *_, ids, texts = pa.ipc.open_stream(packed.as_py()).read_all().columns
-                keys, rows = _grams(texts, bits)
-                of_target = _is_trusted(ids.combine_chunks(), trusted.value)[rows]
-                found, place = np.unique(keys, return_inverse=True)
-                counts = np.bincount(place, minlength=len(found)), np.bincount(place[of_target], minlength=len(found))
-                cuts = np.searchsorted((found >> (bits - 32)) * ranges >> 32, np.arange(ranges + 1))
-                used = np.flatnonzero(np.diff(cuts))
-                parts = [slice(cuts[r], cuts[r + 1]) for r in used]
-                columns = [[_pack(np.diff(found[p], prepend=0)) for p in parts], *([_pack(x[p]) for p in parts] for x in counts)]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([name] * len(used), pa.binary()), *(pa.array(x, pa.binary()) for x in columns)], names=["range", "block", "keys", "raw", "target"])
-
-    return run
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Totals of each key over all blocks, in each block's order."""
-    each = [np.cumsum(_unpack(x.as_py())) for x in table["keys"]]
-    found, place = np.unique(np.concatenate(each), return_inverse=True)
-    ends = np.cumsum([len(k) for k in each])[:-1]
-    out = []
-    for name in ("raw", "target"):
-        total = np.zeros(len(found), dtype=np.int64)
-        np.add.at(total, place, np.concatenate([_unpack(x.as_py()) for x in table[name]]))
-        out.append(pa.array([_pack(total[p]) for p in np.split(place, ends)], pa.binary()))
-    return pa.table([table["block"], table["range"], *out], names=["block", "range", "raw", "target"])
-
-
 def _score(n_keep: int, schema_names: list[str], threshold: float, bits: int, scale: float):
     names = schema_names[n_keep:]
+    reordered = "documents came in another order when they were read again; write the table first"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows != 1:
-            raise ValueError("documents came in another order when they were read again; write the table first")
-        table = pa.ipc.open_stream(left["rows"][0].as_py()).read_all()
-        keys, rows = _grams(table.column(table.num_columns - 1), bits)
-        found, place = np.unique(keys, return_inverse=True)
-        right = right.sort_by("range")
-        raw, target = (np.concatenate([np.empty(0, np.int64), *(_unpack(x.as_py()) for x in right[c])]) for c in ("raw", "target"))
+            raise ValueError(reordered)
+        table = bc.open_block(left["rows"][0])
+        texts = table.column(table.num_columns - 1)
+        found = np.unique(np.concatenate([np.unique(ngram_buckets(block, bits)[0]) for _, _, block in blocks(texts)]))
+        raw, target = bc.totals_of(right, _KINDS)["grams"]
         if len(raw) != len(found):
-            raise ValueError("documents came in another order when they were read again; write the table first")
+            raise ValueError(reordered)
         # both multinomials get the same prior weight, PRIOR raw counts a key, so that rare n-grams say little
         model = np.log((target * scale + PRIOR) / (raw + PRIOR)) if scale else np.zeros(len(found))
-        n_rows = table.num_rows
-        out = {"score": np.bincount(rows, weights=model[place], minlength=n_rows) / np.maximum(np.bincount(rows, minlength=n_rows), 1)}
-        base = [base_measures(block) for _, _, block in blocks(table.column(table.num_columns - 1))]
-        out |= {k: np.concatenate([b[k] for b in base]) for k in base[0]}
+        parts: list[dict[str, np.ndarray]] = []
+        for low, high, block in blocks(texts):
+            keys, rows = ngram_buckets(block, bits)
+            total = np.bincount(rows, weights=model[np.searchsorted(found, keys)], minlength=high - low)
+            parts.append({"score": total / np.maximum(np.bincount(rows, minlength=high - low), 1)} | base_measures(block))
+        out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED_PERCENT * out["n_words"])
         out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
         return pa.table([table.column(i) for i in range(n_keep)] + [pa.array(out[k]) for k in names], names=schema_names)
@@ -255,7 +165,7 @@ def _score(n_keep: int, schema_names: list[str], threshold: float, bits: int, sc
     return run
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, bits: int = BUCKET_BITS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, spare_bits: int = SPARE_BITS, block_bytes: int = bc.BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the kept columns (doc_id alone by default) and MEASURES."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
     keep = [c for c in (keep or [id_col]) if c not in names]
@@ -264,11 +174,9 @@ def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | Non
     texts = documents.select(F.col(id_col).cast("long").alias("\tid"), F.col(text_col).alias("\ttext"))
     sizes = texts.mapInArrow(_size(trusted), "size long, raw long, target long")
     size, raw, target = (x or 0 for x in sizes.agg(F.sum("size"), F.sum("raw"), F.sum("target")).first())
-    bits = min(max(bits, raw.bit_length() + SPARE_BITS), 62)
-    ranges = max(1, -(-size // (block_bytes * BLOCKS_A_RANGE)))
+    bits = bc.key_bits(raw, spare_bits)
 
-    packed = documents.select(*keep, F.col(id_col).cast("long").alias("\tid"), F.col(text_col).alias("\ttext")).mapInArrow(_pack_blocks(block_bytes), "block binary, rows binary")
-    asked = packed.mapInArrow(_ask(trusted, bits, ranges), _ASKED)
-    answered = asked.groupBy("range").applyInArrow(_answer, _ANSWERED)
+    packed = bc.pack_blocks(documents.select(*keep, F.col(id_col).cast("long").alias("\tid"), F.col(text_col).alias("\ttext")), block_bytes)
+    answers = bc.answered(bc.asked(packed, _grams(trusted, bits), _KINDS, bc.n_ranges(size)), _KINDS)
     score = _score(len(keep), keep + names, threshold, bits, raw / target if target else 0.0)
-    return packed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, schema)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)

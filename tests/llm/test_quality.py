@@ -39,14 +39,14 @@ def test_scores_against_a_plain_count(spark, sf_dir):
 
     documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.toxic == 0}
-    each = {r.doc_id: Counter(q.ngram_buckets(next(blocks(pa.array([r.text])))[2], q.BUCKET_BITS)[0].tolist()) for r in documents.collect()}
+    each = {r.doc_id: Counter(q.ngram_buckets(next(blocks(pa.array([r.text])))[2], 60)[0].tolist()) for r in documents.collect()}
     raw, target = Counter(), Counter()
     for i, c in each.items():
         raw.update(c)
         if i in good:
             target.update(c)
     scale = sum(raw.values()) / sum(target.values())
-    for r in q.quality_rules(documents, labels).collect():
+    for r in q.quality_rules(documents, labels, spare_bits=40).collect():
         c = each[r.doc_id]
         expected = sum(n * math.log((target[b] * scale + q.PRIOR) / (raw[b] + q.PRIOR)) for b, n in c.items()) / max(sum(c.values()), 1)
         assert r.score == pytest.approx(expected, abs=1e-9)
@@ -84,7 +84,7 @@ def test_labelled_junk_goes_whatever_the_size(spark, sf_dir, size):
 
 def test_small_blocks_and_wider_keys_give_the_same_scores(spark, edge):
     labels = spark.createDataFrame([(0, 1, 0), (11, 1, None)], LABELS)
-    one, many = (sorted(((r.doc_id, r.n_words, round(r.score, 9)) for r in q.quality_rules(edge, labels, **more).collect()), key=str) for more in ({}, {"block_bytes": 700, "bits": 60}))
+    one, many = (sorted(((r.doc_id, r.n_words, round(r.score, 9)) for r in q.quality_rules(edge, labels, **more).collect()), key=str) for more in ({}, {"block_bytes": 700, "spare_bits": 40}))
     assert one == many
 
 
