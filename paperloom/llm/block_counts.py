@@ -16,6 +16,7 @@ exchange is that of a grouping by n-gram with partial aggregation.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,6 +54,38 @@ def unpack_integers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, n).T).view(np.uint64).reshape(n)
 
 
+def pack_counts(counts: list[np.ndarray]) -> bytes:
+    """Arrays of counts side by side: a table of the combinations that occur, and each place's rank in it by frequency."""
+    table, code, n = _combinations(counts)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    parts = [pack_integers(rank[code]), pack_integers(table[order].reshape(-1))]
+    return len(parts[0]).to_bytes(8, "little") + b"".join(parts)
+
+
+def _combinations(counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    widths = [int(c.max(initial=0)) + 1 for c in counts]
+    if math.prod(widths) >= 1 << 62:
+        table, code, n = np.unique(np.stack(counts, axis=1), axis=0, return_inverse=True, return_counts=True)
+        return table, code.reshape(-1), n
+    whole = np.zeros(len(counts[0]), dtype=np.int64)
+    for c, width in zip(counts, widths):
+        whole = whole * width + c
+    found, code, n = np.unique(whole, return_inverse=True, return_counts=True)
+    columns = []
+    for width in reversed(widths):
+        found, c = np.divmod(found, width)
+        columns.append(c)
+    return np.stack(columns[::-1], axis=1), code, n
+
+
+def unpack_counts(data: bytes, n: int) -> list[np.ndarray]:
+    size = int.from_bytes(data[:8], "little")
+    rank, table = unpack_integers(data[8 : 8 + size]), unpack_integers(data[8 + size :])
+    return list(table.astype(np.int64).reshape(-1, n)[rank.astype(np.int64)].T)
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     """Ascending keys, as differences."""
     return pack_integers(np.diff(keys.astype(np.uint64), prepend=np.uint64(0)))
@@ -123,13 +156,9 @@ def open_block(packed: bytes | pa.BinaryScalar) -> pa.Table:
     return pa.ipc.open_stream(packed.as_py() if isinstance(packed, pa.Scalar) else packed).read_all()
 
 
-def _columns(kinds: Kinds) -> list[tuple[str, int]]:
-    return [(kind, j) for kind, n in kinds.items() for j in range(n)]
-
-
 def asked(packed: DataFrame, grams: Callable[[pa.Table], Grams], kinds: Kinds, ranges: int) -> DataFrame:
     """Of each block and hash range, the keys with the block's counts. packed: block, rows."""
-    names = ["range", "block", *kinds, *(f"{kind}_{j}" for kind, j in _columns(kinds))]
+    names = ["range", "block", *kinds, *(f"{kind}_counts" for kind in kinds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +168,7 @@ def asked(packed: DataFrame, grams: Callable[[pa.Table], Grams], kinds: Kinds, r
                 used = np.flatnonzero(sum(np.diff(x) for x in at.values()))
                 each = {kind: [slice(x[r], x[r + 1]) for r in used] for kind, x in at.items()}
                 columns = [[pack_keys(found[kind][0][p]) for p in each[kind]] for kind in kinds]
-                columns += [[pack_integers(found[kind][2][j][p]) for p in each[kind]] for kind, j in _columns(kinds)]
+                columns += [[pack_counts([c[p] for c in found[kind][2]]) for p in each[kind]] for kind in kinds]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([name] * len(used), pa.binary()), *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
     return packed.mapInArrow(run, ", ".join(["range int", *(f"{n} binary" for n in names[1:])]))
@@ -147,24 +176,23 @@ def asked(packed: DataFrame, grams: Callable[[pa.Table], Grams], kinds: Kinds, r
 
 def answered(asks: DataFrame, kinds: Kinds, sums: Callable[[dict[str, list[np.ndarray]]], list[int]] | None = None, sum_names: tuple[str, ...] = ()) -> DataFrame:
     """block, range, and the totals of each kind over all blocks, in each block's order; and `sums` of a range's totals."""
-    names = ["block", "range", *(f"{kind}_{j}" for kind, j in _columns(kinds))]
+    names = ["block", "range", *(f"{kind}_totals" for kind in kinds)]
 
     def run(table: pa.Table) -> pa.Table:
-        out: dict[str, list[bytes]] = {}
+        out: list[list[bytes]] = []
         totals: dict[str, list[np.ndarray]] = {}
         for kind, n in kinds.items():
             each = [unpack_keys(x.as_py()) for x in table[kind]]
             found, place = np.unique(np.concatenate(each), return_inverse=True)
             ends = np.cumsum([len(k) for k in each])[:-1]
             del each
-            totals[kind] = []
-            for j in range(n):
-                counts = np.concatenate([unpack_integers(x.as_py()) for x in table[f"{kind}_{j}"]])
-                total = np.bincount(place, weights=counts, minlength=len(found)).astype(np.int64)  # exact to 2 ** 53
-                totals[kind].append(total)
-                out[f"{kind}_{j}"] = [pack_integers(total[p]) for p in np.split(place, ends)]
+            counts = [unpack_counts(x.as_py(), n) for x in table[f"{kind}_counts"]]
+            # sums of floats are exact to 2 ** 53
+            totals[kind] = [np.bincount(place, weights=np.concatenate([c[j] for c in counts]), minlength=len(found)).astype(np.int64) for j in range(n)]
+            del counts
+            out.append([pack_counts([t[p] for t in totals[kind]]) for p in np.split(place, ends)])
         more = [pa.array([int(x)] * table.num_rows, pa.int64()) for x in (sums(totals) if sums else [])]
-        return pa.table([table["block"], table["range"], *(pa.array(out[n], pa.binary()) for n in names[2:]), *more], names=[*names, *sum_names])
+        return pa.table([table["block"], table["range"], *(pa.array(x, pa.binary()) for x in out), *more], names=[*names, *sum_names])
 
     schema = ", ".join(["block binary", "range int", *(f"{n} binary" for n in names[2:]), *(f"{n} long" for n in sum_names)])
     return asks.groupBy("range").applyInArrow(run, schema)
@@ -173,4 +201,8 @@ def answered(asks: DataFrame, kinds: Kinds, sums: Callable[[dict[str, list[np.nd
 def totals_of(answers: pa.Table, kinds: Kinds) -> dict[str, list[np.ndarray]]:
     """A block's answers joined to whole arrays, in the order of its keys."""
     answers = answers.sort_by("range")
-    return {kind: [np.concatenate([np.empty(0, np.uint64), *(unpack_integers(x.as_py()) for x in answers[f"{kind}_{j}"])]).astype(np.int64) for j in range(n)] for kind, n in kinds.items()}
+    out = {}
+    for kind, n in kinds.items():
+        parts = [unpack_counts(x.as_py(), n) for x in answers[f"{kind}_totals"]]
+        out[kind] = [np.concatenate([np.empty(0, np.int64), *(p[j] for p in parts)]) for j in range(n)]
+    return out

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import block_counts as bc
 from paperloom.llm.words import Block, blocks, inside_words, mix, repeated, window_hashes
 
-SPARE_BITS = 6
+SPARE_BITS = 5
 THRESHOLD = -0.15
 PRIOR = 10
 MIN_WORDS = 20
@@ -146,17 +146,18 @@ def _score(n_keep: int, schema_names: list[str], threshold: float, bits: int, sc
             raise ValueError(reordered)
         table = bc.open_block(left["rows"][0])
         texts = table.column(table.num_columns - 1)
-        found = np.unique(np.concatenate([np.unique(ngram_buckets(block, bits)[0]) for _, _, block in blocks(texts)]))
+        each = [(block, *np.unique(keys, return_inverse=True), rows) for _, _, block in blocks(texts) for keys, rows in [ngram_buckets(block, bits)]]
+        found = np.unique(np.concatenate([x[1] for x in each]))
         raw, target = bc.totals_of(right, _KINDS)["grams"]
         if len(raw) != len(found):
             raise ValueError(reordered)
         # both multinomials get the same prior weight, PRIOR raw counts a key, so that rare n-grams say little
         model = np.log((target * scale + PRIOR) / (raw + PRIOR)) if scale else np.zeros(len(found))
         parts: list[dict[str, np.ndarray]] = []
-        for low, high, block in blocks(texts):
-            keys, rows = ngram_buckets(block, bits)
-            total = np.bincount(rows, weights=model[np.searchsorted(found, keys)], minlength=high - low)
-            parts.append({"score": total / np.maximum(np.bincount(rows, minlength=high - low), 1)} | base_measures(block))
+        for block, keys, place, rows in each:
+            n = len(block.row_start)
+            total = np.bincount(rows, weights=model[np.searchsorted(found, keys)][place], minlength=n)
+            parts.append({"score": total / np.maximum(np.bincount(rows, minlength=n), 1)} | base_measures(block))
         out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED_PERCENT * out["n_words"])
         out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
