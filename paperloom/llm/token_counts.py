@@ -8,8 +8,9 @@ tokenizer or version are never used.
 
 Scale: the one large exchange carries each distinct missing content once per map task, keyed by
 digest, with partial aggregation first, so that a group of copies of any size sends one row per
-task. Digests and counts are 60 bytes a document. The join back is by digest on small rows, and
-its skew is left to adaptive execution.
+task. Digests and counts are 60 bytes a document. Contents with more copies than HOT_COPIES, or than
+one in MAX_HOT of all documents, are hot, so there are at most MAX_HOT of them, whatever the
+input: their counts are broadcast to their documents, and no group of copies meets in one task.
 
 Cases: null counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids give repeated results.
 An empty table gives no rows. Long texts are whole. Extra columns are ignored. A failed or
@@ -28,6 +29,8 @@ from paperloom.llm.shared import new_path
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 TOKEN_LIMIT = 4096
+HOT_COPIES = 500
+MAX_HOT = 10_000
 
 
 def file_version(path: str) -> str:
@@ -85,8 +88,11 @@ def token_counts(documents: DataFrame, make: Callable[[], Callable[[list[str]],
     counted = missing.select("digest", "content").mapInArrow(_encode(make), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
 
-    return (
-        digested.select("doc_id", "digest", F.octet_length("content").cast("long").alias("n_bytes"))
-        .join(read_cache(spark, cache, version), "digest")
-        .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    )
+    rows = digested.select("doc_id", "digest", F.octet_length("content").cast("long").alias("n_bytes"))
+    stored = read_cache(spark, cache, version)
+    copies = rows.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT_COPIES)
+    hot = copies.where(F.col("n") * MAX_HOT > F.lit(documents.count())).select("digest").join(stored, "digest")
+    few = spark.createDataFrame(hot.toArrow())  # at most MAX_HOT rows
+    result = ["doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")]
+    of_hot = rows.join(F.broadcast(few), "digest").select(*result)
+    return rows.join(F.broadcast(few.select("digest")), "digest", "left_anti").join(stored, "digest").select(*result).unionByName(of_hot)
