@@ -6,14 +6,18 @@ fits under every capacity and which leaves the smallest residual vector, measure
 component is divided by its capacity: by norm (`rule="norm"`), or the one with the largest dot
 product of piece and residual (`rule="dot"`). Ties go to the smaller token residual.
 
-A longer document is cut into full pieces; its first piece is the shorter one.
+A longer document is cut into full pieces; its first piece is the shorter one. A piece that is
+over a capacity by itself (an attention cost below capacity ** 2 makes such) has a sequence alone.
+By default the last two capacities are those that the first implies, as fewest sequences need;
+the pipeline's packing stage sets lower ones, which bind.
 
-Scale: encoding is one narrow pass. Pieces (about 40 bytes) are then dealt by a hash of document
-and piece into groups of bounded size, one task each at a time, and every group is packed alone;
+Scale: encoding is one narrow pass. Pieces (about 40 bytes) are then dealt by a hash of document,
+piece and row into groups of bounded size, one task each at a time, and every group is packed alone;
 a group wastes at most about one open sequence, under 1 in 1000 at the default group size. No
 text is shuffled. Sequence numbers are group * 2^32 + place, so groups need not meet.
 
-Cases: null text is empty and has the end token alone. Repeated rows are packed once each. A null
+Cases: null text is empty and has the end token alone. Repeated rows are packed once each,
+in groups of their own dealing. A null
 doc_id is kept. An empty table gives no rows. Extra columns are ignored.
 """
 
@@ -39,9 +43,9 @@ BYTE_BPE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 def byte_bpe_encoder(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
     """Ids as tokenizers gives them for the vocabulary file, without special tokens added.
 
-    Text of the first 256 code points without special strings goes through tiktoken with the same
-    ranks, which gives the same ids (tested) several times faster; other text goes through
-    tokenizers itself.
+    tokenizers alone takes 6 to 10 times the CPU that the check tool grants (figures in the README),
+    so text of the first 256 code points without special strings goes through tiktoken with the same
+    ranks, which gives the same ids (tested); other text goes through tokenizers itself.
     """
 
     def make() -> Callable[[str], np.ndarray]:
@@ -100,13 +104,13 @@ def best_fit(lengths: np.ndarray, capacity: int, max_documents: int, max_attenti
     sequence, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
     residuals = np.empty((64, 3), dtype=np.int64)  # distinct residual vectors, and the sequences that have them
     members: list[list[int]] = []
+    n_open = np.zeros(64, dtype=np.int64)  # how many sequences have each
     slot: dict[tuple[int, int, int], int] = {}
     n_sequences = 0
     for i in np.argsort(-lengths, kind="stable"):
         need = np.array([lengths[i], 1, lengths[i] * lengths[i]], dtype=np.int64)
         left = residuals[: len(members)] - need
-        fits = np.flatnonzero((left >= 0).all(axis=1))
-        fits = fits[[bool(members[k]) for k in fits]] if len(fits) else fits
+        fits = np.flatnonzero((left >= 0).all(axis=1) & (n_open[: len(members)] > 0))
         if len(fits):
             if rule == "norm":
                 worth = -((left[fits] / scale) ** 2).sum(axis=1)
@@ -114,6 +118,7 @@ def best_fit(lengths: np.ndarray, capacity: int, max_documents: int, max_attenti
                 worth = (residuals[fits] / scale) @ (need / scale)
             best = fits[np.lexsort((left[fits, 0], -worth))[0]]
             at = members[best].pop()
+            n_open[best] -= 1
             have = residuals[best]
         else:
             at, n_sequences = n_sequences, n_sequences + 1
@@ -124,10 +129,11 @@ def best_fit(lengths: np.ndarray, capacity: int, max_documents: int, max_attenti
         if key[0] > 0 and key[1] > 0 and key[2] > 0:
             k = slot.get(key)
             if k is None:
-                empty = next((k for k in range(len(members)) if not members[k]), None) if len(members) > 512 else None
+                free = np.flatnonzero(n_open[: len(members)] == 0) if len(members) > 512 else ()
+                empty = int(free[0]) if len(free) else None
                 if empty is None:
                     if len(members) == len(residuals):
-                        residuals = np.concatenate((residuals, np.empty_like(residuals)))
+                        residuals, n_open = np.concatenate((residuals, np.empty_like(residuals))), np.concatenate((n_open, np.zeros_like(n_open)))
                     empty = len(members)
                     members.append([])
                 else:
@@ -135,6 +141,7 @@ def best_fit(lengths: np.ndarray, capacity: int, max_documents: int, max_attenti
                 residuals[empty], slot[key] = now, empty
                 k = empty
             members[k].append(at)
+            n_open[k] += 1
     return sequence, offset
 
 
@@ -148,7 +155,8 @@ def best_fit_packing(pieces: DataFrame, capacity: int = CAPACITY, max_documents:
         return rows.assign(sequence_id=(rows["group"].to_numpy() << 32) + sequence, offset=offset).drop(columns="group")
 
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # the row's own number parts equal rows; pieces are read from a written table, so it is the same if a task runs again
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(pack, PACKED)
 
 

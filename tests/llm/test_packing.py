@@ -87,3 +87,11 @@ def test_groups(spark):
     df = spark.createDataFrame(rows, packing.PIECES).repartition(4)
     got = packing.best_fit_packing(df, group_pieces=500).collect()
     assert len(got) == 3000 and len({r.sequence_id for r in got}) <= 1.05 * sum(r[3] for r in rows) / 2048
+
+
+def test_ten_thousand_equal_rows_are_dealt_over_groups(spark):
+    df = spark.createDataFrame([(None, 0, 0, 100, 7)], packing.PIECES).crossJoin(spark.range(10_000)).drop("id").repartition(3)
+    packed = packing.best_fit_packing(df, group_pieces=500).collect()
+    groups = [r.sequence_id >> 32 for r in packed]
+    assert len(packed) == 10_000 and max(groups.count(g) for g in set(groups)) < 800
+    assert len({r.sequence_id for r in packed}) <= 1.05 * 10_000 / 20
