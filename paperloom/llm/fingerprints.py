@@ -13,14 +13,17 @@ one). The likeness of two fingerprints is the share of equal slots, which estima
 similarity of their phrase sets.
 
 `edited_fingerprints` compares every text with an edited form and with the next document's text.
-Documents are dealt by ranges of doc_id, sorted within them and streamed; the first document of
-a range also goes to the range before. The text is shuffled once; the number of ranges follows
-the input, and tasks stream a range rather than hold it.
+Documents are dealt by ranges of their order (doc_id, a hash of the text, the row), sorted within
+them and streamed; the first text of a range also goes to the range before. The text is shuffled
+once. Ranges hold about equal rows whatever the ids are: their bounds are quantiles of a sample
+(SAMPLE_A_RANGE keys a range; at most MAX_SAMPLE, some 24 MB, on the driver, as Spark's own range
+partitioning does). Ids far apart, null and repeated ids and repeated rows are so spread; beyond
+MAX_SAMPLE / SAMPLE_A_RANGE ranges these grow, which costs time and no memory, as tasks stream.
 
 Cases: null and empty texts have an empty fingerprint, alike (1.0) among themselves and unlike
-(0.0) to others. Ids are expected to be unique and not null; rows with a null id come first and
-repeated ids in the order of their texts, each followed by the next row. A lone document follows
-itself. An empty table gives no rows. Extra columns are ignored.
+(0.0) to others. Ids are expected to be unique and not null; a null id counts as the least one, and
+rows with equal ids stand in the order of a hash of their texts, each followed by the next row. A
+lone document follows itself. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +43,8 @@ SLOTS = 64
 LEVELS = (2, 3)
 RANGE_ROWS = 1_000
 RANGES_A_TASK = 4
-MAX_SLICES = 1 << 16
+SAMPLE_A_RANGE = 20
+MAX_SAMPLE = 1_000_000
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _EMPTY = np.uint16(0)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -185,39 +190,60 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held[0][1])
 
 
-def _deal(documents: DataFrame, range_rows: int) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """The documents with their `range`, and for each range its first id with the range before (the last, for the first).
-
-    Ids fall into at most MAX_SLICES slices of equal width; neighbouring slices are merged into
-    ranges of about `range_rows` documents. Only the slices' counts come to the driver.
-    """
-    low, high, n = documents.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if low is None:
-        return documents.withColumn("range", F.lit(0)), []
-    slices = min(MAX_SLICES, 16 * -(-n // range_rows))
-    width = (float(high) - float(low)) / slices or 1.0
-    number = F.least(F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(width)), F.lit(slices - 1).cast("long"))
-    counts = sorted(tuple(r) for r in documents.where("doc_id IS NOT NULL").groupBy(number.alias("slice")).agg(F.count("*"), F.min("doc_id")).collect())
-    range_of, firsts, held = [0] * slices, [], range_rows
-    for k, (at, rows, first) in enumerate(counts):
-        if held + rows > range_rows and held:
-            firsts.append(first)
-            held = 0
-        held += rows
-        for x in range(at, counts[k + 1][0] if k + 1 < len(counts) else slices):
-            range_of[x] = len(firsts) - 1
-    table = F.lit(np.array(range_of, dtype=np.int32))
-    ranged = documents.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(F.get(table, number.cast("int"))))
-    return ranged, [(first, k - 1 if k else len(firsts) - 1) for k, first in enumerate(firsts)]
+_ORDER = np.dtype([("rank", np.int64), ("hash", np.int64), ("row", np.int64)])
+
+
+def _keys(*columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns[0]), dtype=_ORDER)
+    for name, column in zip(_ORDER.names, columns):
+        out[name] = column
+    return out
+
+
+def range_bounds(ordered: DataFrame, range_rows: int) -> np.ndarray:
+    """Ascending keys at which ranges of about `range_rows` rows begin, the first range excepted. ordered: rank, hash, row."""
+    n = ordered.count()
+    ranges = -(-n // range_rows)
+    wanted = min(ranges * SAMPLE_A_RANGE, MAX_SAMPLE)
+    sample = ordered if wanted >= n else ordered.sample(min(1.0, wanted / n), seed=1)
+    found = sample.select(*_ORDER.names).toArrow()
+    keys = np.sort(_keys(*(c.to_numpy() for c in found.columns)), order=_ORDER.names)
+    places = np.arange(1, ranges) * len(keys) // max(ranges, 1)
+    bounds = np.unique(keys[places]) if len(keys) else keys
+    # row numbers part equal rows alone: elsewhere a bound takes all rows of its id and text
+    alone = np.ones(len(bounds), dtype=bool)
+    same = bounds[["rank", "hash"]]
+    alone[1:] &= same[1:] != same[:-1]
+    alone[:-1] &= same[1:] != same[:-1]
+    bounds["row"][alone] = -1
+    return bounds
+
+
+def in_order(documents: DataFrame) -> DataFrame:
+    """doc_id and text, with the columns of their order."""
+    rank, content = F.coalesce("doc_id", F.lit(-(1 << 63))), F.coalesce("text", F.lit(""))
+    return documents.select("doc_id", "text", rank.alias("rank"), F.xxhash64(content).alias("hash"), F.monotonically_increasing_id().alias("row"))
 
 
 def edited_fingerprints(documents: DataFrame, range_rows: int = RANGE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of SCHEMA for every document: its fingerprint, and those of its edited text and of the next text compared."""
     spark = documents.sparkSession
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged, firsts = _deal(documents, range_rows)
-    before = F.broadcast(spark.createDataFrame(firsts, "doc_id long, range int"))
-    tails = documents.join(before, "doc_id").groupBy("range").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = ranged.select("range", "doc_id", "text", F.lit(False).alias("tail")).unionByName(tails.select("range", F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("tail")))
-    dealt = rows.repartition(max(1, -(-len(firsts) // RANGES_A_TASK)), "range").sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.mapInArrow(_stream, SCHEMA)
+    ordered = in_order(documents)
+    bounds = spark.sparkContext.broadcast(range_bounds(ordered, range_rows))
+    n_ranges = len(bounds.value) + 1
+
+    @F.pandas_udf("int")
+    def range_of(rank: pd.Series, hash: pd.Series, row: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, _keys(rank, hash, row), side="right").astype(np.int32))
+
+    # the row that is a bound begins a range; rows that are equal to it but for their number have its text
+    starts = pd.DataFrame({"rank": bounds.value["rank"], "hash": bounds.value["hash"], "range": np.arange(n_ranges - 1, dtype=np.int32)})
+    before = F.broadcast(spark.createDataFrame(starts, "rank long, hash long, range int"))
+    tails = ordered.join(before, ["rank", "hash"]).groupBy("range").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    first = ordered.select(F.struct("rank", "hash").alias("at")).agg(F.min("at").alias("at")).select("at.*", F.lit(n_ranges - 1).alias("range"))
+    tails = tails.unionByName(ordered.join(F.broadcast(first), ["rank", "hash"]).groupBy("range").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    rows = ordered.select(range_of("rank", "hash", "row").alias("range"), "doc_id", "text", "rank", "hash", F.lit(False).alias("tail"))
+    ends = tails.select("range", F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("hash"), F.lit(True).alias("tail"))
+    dealt = rows.unionByName(ends).repartition(max(1, -(-n_ranges // RANGES_A_TASK)), "range").sortWithinPartitions("range", "tail", "rank", "hash", "text")
+    return dealt.select("range", "doc_id", "text", "tail").mapInArrow(_stream, SCHEMA)

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import xxhash
 
 from paperloom.llm import fingerprints as fp
 from tests.llm.conftest import prose
@@ -41,15 +42,98 @@ def test_likeness_follows_the_edit():
     assert near[0] == 1 and near[0] > near[1] > near[2] > near[3] > near[4] and near[4] < 0.1
 
 
+def text_hash(text):
+    h = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_ranges_stay_even_on_skewed_ids(spark):
+    """One id far away, half of the ids null, a third of the rows equal: no range is much larger than asked."""
+    import itertools
+
+    rows = [(k, f"text {k}") for k in range(6000)] + [(1 << 60, "far")] + [(None, f"other {k}") for k in range(3000)] + [(None, "the same")] * 5000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ordered = fp.in_order(df)
+    bounds = fp.range_bounds(ordered, 500)
+    keys = ordered.select("rank", "hash", "row").toArrow()
+    place = np.searchsorted(bounds, fp._keys(*(c.to_numpy() for c in keys.columns)), side="right")
+    assert len(bounds) >= 20 and np.bincount(place).max() < 1100
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.edited_sha256) for r in fp.edited_fingerprints(df, range_rows=500).collect()))
+    order = sorted((i is not None, i or 0, text_hash(t), t) for i, t in rows)
+    expected = []
+    for (known, i, _, a), (_, _, _, b) in itertools.pairwise([*order, order[0]]):
+        n = len(a) // 4
+        expected.append((known, i, hashlib.sha256((a[: len(a) - n] + b[:n]).encode()).hexdigest()))
+    assert got == sorted(expected)
+
+
+def plain_level(names):
+    """One level of parsing by plain loops over one text's names, from the definition in the docstring."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    step, runs = 0x9E3779B97F4A7C15, []
+    for name, group in __import__("itertools").groupby(names):
+        n = len(list(group))
+        runs.append(mixed((name + n * step) & mask) if n > 1 else name)
+    labels = [runs[0] & 1]
+    for left, own in zip(runs, runs[1:]):
+        bit = ((left ^ own) & -(left ^ own)).bit_length() - 1
+        labels.append(2 * bit + (own >> bit & 1))
+    for _ in range(2):
+        shorter = [labels[0] & 1]
+        for left, own in zip(labels, labels[1:]):
+            bit = ((left ^ own) & -(left ^ own)).bit_length() - 1 if left != own else 8
+            shorter.append(2 * bit + (own >> bit & 1))
+        labels = shorter
+    phrases, held = [], []
+    for k, name in enumerate(runs):
+        held.append(name)
+        inner = 0 < k < len(runs) - 1
+        if k == len(runs) - 1 or (inner and labels[k] > labels[k - 1] and labels[k] >= labels[k + 1]):
+            phrases.append(mixed(sum(mixed((x + (j + 1) * step) & mask) for j, x in enumerate(held)) & mask))
+            held = []
+    return phrases
+
+
+def test_parsing_against_plain_loops_on_the_whole_table(spark, sf_dir):
+    """Every text's fingerprint from a parser of plain loops; long texts of the table included."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r.fingerprint for r in fp.fingerprints(df).collect()}
+    first = [int(x) for x in fp._NAMES]
+    checked = 0
+    for r in df.collect():
+        data = (r.text or "").encode()
+        if len(data) > 6000 and r.doc_id % 10:
+            continue
+        names, out = [first[b] for b in data], [None] * fp.SLOTS
+        for level in range(1, max(fp.LEVELS) + 1):
+            names = plain_level(names)
+            if level in fp.LEVELS:
+                for h in fp.mix(np.array(names, dtype=np.uint64)).tolist():
+                    slot, value = h >> 58, h & 0xFFFFFFFF
+                    out[slot] = value if out[slot] is None else min(out[slot], value)
+        full = [k for k in range(fp.SLOTS) if out[k] is not None]
+        own = got[r.doc_id]
+        assert all(int(own[4 * k : 4 * k + 4], 16) == (out[k] >> 16 | 1) for k in full)
+        checked += 1
+    assert checked >= 150
+
+
 def test_against_a_plain_loop(spark, edge):
     """Every row's edited text, over ranges small and large; a null id comes first, repeated ids in turn."""
     for rows_each in (4000, 3):
         got = fp.edited_fingerprints(edge, range_rows=rows_each).toPandas()
-        rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in edge.collect()))
+        rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, text_hash(r["text"] or ""), r["text"] or "") for r in edge.collect()))
         expected = []
-        for k, (known, doc_id, text) in enumerate(rows):
-            # the last row is followed by the least id
-            after = rows[k + 1][2] if k + 1 < len(rows) else next(t for known, _, t in rows if known)
+        for k, (known, doc_id, _, text) in enumerate(rows):
+            after = rows[(k + 1) % len(rows)][3]
             n = len(text) // 4
             edited = text[: len(text) - n] + after[:n]
             near = float(fp.likeness(sketch(text), sketch(edited))[0]), float(fp.likeness(sketch(text), sketch(after))[0])
