@@ -5,17 +5,26 @@ without overlaps; matches that fail their check (address parts, card checksum, d
 dropped and not retried, so an entity next to other digits can be lost. The model finds those, and
 written-out forms ("name [at] host [dot] org"): candidate segments are scored as wholes (shape,
 checksum, digit groups, neighbours on both sides), and a dynamic programme over segments of at
-most MAX_UNITS units picks boundaries and kinds jointly. Its spans are added where they touch no
-base span; base spans stay.
+most MAX_UNITS units and MAX_CHARS characters, the method's bounds on an entity, picks boundaries
+and kinds jointly. Its spans are added where they touch no base span; base spans stay.
 
 The model is trained on lines generated by `training_lines`, with entities in many forms, next to
 one another and among things that look like them (keys, versions, dates, failing checksums).
-Entities can begin only in zones: runs of digits and digit punctuation, or words joined by an at
-sign or its written-out form. Elsewhere every segmentation has the same one label, so decoding the
-zones alone gives the same answer as decoding the text.
+A text stands between two units outside entities. Entities can begin only in zones: runs of digits
+and digit punctuation, or words around an at sign or its written-out form. Units that no candidate
+covers are outside in every segmentation, so the runs of units that candidates cover, each between
+two such units, are decoded alone with the moves in and out charged: the same answer as decoding
+the whole text.
 
 Scale: one narrow pass; the model is some hundred numbers in the task closure. Work per text is
-linear: patterns, then at most MAX_UNITS segments per unit of a zone.
+linear, whatever it holds: patterns read a run of their characters once, and a unit begins at most
+MAX_UNITS candidates, which are looked at only if their digits can make an entity.
+
+Fixed by the kinds, not by cost: an address by numbers has 7 characters or more, a card 16 to 19
+digits, a phone number 7 (without country) to 15, in at most MAX_GROUPS groups with at most one pair
+of parentheses and one plus sign; the local part of a mail address has at most 64
+characters and its whole 254 (RFC 5321). Longer runs are no entities to the model; the base finds
+mail addresses of any length.
 
 Cases: null and empty texts have no spans. Texts are whole. Offsets are code points, ends exclusive.
 Repeated rows and null ids give repeated results. An empty table gives no rows. Extra columns are
@@ -24,7 +33,10 @@ ignored unless kept.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -36,19 +48,26 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_UNITS = 28
+MAX_CHARS = 254
+MIN_DIGITS, MAX_DIGITS, MAX_GROUPS = 7, 19, 8
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 Span = tuple[int, int, int]  # kind, start, end
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # a match can begin only where a run of digits does
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _AT = r"[\[(]\s?at\s?[\])]"
 _DOT = r"[\[(]\s?dot\s?[\])]"
-_WRITTEN = re.compile(rf"[\w.+-]{{1,64}}\s?{_AT}\s?[\w-]{{1,64}}(?:\s?(?:\.|{_DOT})\s?[\w-]{{1,64}})+", re.I)
-_ZONE = re.compile(r"[0-9+(][0-9\x20().+/-]*[0-9]")
+_WRITTEN = re.compile(rf"[\w.+-]{{1,64}}\s?{_AT}\s?[\w-]{{1,63}}(?:\s?(?:\.|{_DOT})\s?[\w-]{{1,63}})+", re.I)
+_AT_SIGN = re.compile(_AT, re.I)
+_AFTER_AT = re.compile(rf"\s?[\w-]{{1,63}}(?:\s?(?:\.|{_DOT})\s?[\w-]{{1,63}})+", re.I)
+_BEFORE_AT = re.compile(r"[\w.+-]{1,64}\s?\Z")
+_RUN = re.compile(r"[0-9\x20().+/-]{2,}")
+_FIRST = re.compile(r"[0-9+(]")
+_SPACELESS = re.compile(r"\S*")
 _UNIT = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_]+|\s+|.", re.S)
 
 
@@ -92,19 +111,23 @@ def base_spans(text: str) -> list[Span]:
 
 def zones(text: str) -> list[tuple[int, int]]:
     """Where entities can be: sorted, disjoint."""
-    found = [m.span() for m in _ZONE.finditer(text) if m.end() - m.start() >= 7] if _DIGIT.search(text) else []
+    found: list[tuple[int, int]] = []
+    if _DIGIT.search(text):
+        for m in _RUN.finditer(text):  # from the first character that can begin a number to the last digit
+            run = m[0].rstrip(" ().+/-")
+            if (first := _FIRST.search(run)) and len(run) - first.start() >= 7:
+                found.append((m.start() + first.start(), m.start() + len(run)))
     at = text.find("@")
     while at >= 0:
-        a = b = at
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
+        a = at - len(text[max(0, at - MAX_CHARS) : at].split()[-1]) if at and not text[at - 1].isspace() else at
+        b = _SPACELESS.match(text, at, at + MAX_CHARS).end()
         found.append((a, b))
-        at = text.find("@", b)
-    if "at" in text or "AT" in text or "At" in text:
-        if "[" in text or "(" in text:
-            found += [m.span() for m in _WRITTEN.finditer(text)]
+        at = text.find("@", max(b, at + 1))
+    if "[" in text or "(" in text:
+        for m in _AT_SIGN.finditer(text):
+            before, after = _BEFORE_AT.search(text[max(0, m.start() - 65) : m.start()]), _AFTER_AT.match(text, m.end())
+            if before and after:
+                found.append((m.start() - len(before[0]), after.end()))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a <= merged[-1][1]:
@@ -146,7 +169,7 @@ def segment_features(text: str, a: int, b: int) -> tuple[list[str], tuple[int, .
     marks = set(re.sub(r"[0-9]", "", span))
     if len(groups) == 4 and span.count(".") == 3 and marks == {"."}:
         names += ["four parts", "parts in range" if _valid_ip(span) else "parts too large"]
-    elif len(digits) < 7 or len(digits) > 19:
+    elif not MIN_DIGITS <= len(digits) <= MAX_DIGITS:
         return None
     n = len(digits)
     names += [f"digits={n if n < 20 else 20}", f"groups={'-'.join(str(len(g)) for g in groups)}" if len(groups) <= 6 else "groups=many", f"n groups={min(len(groups), 6)}"]
@@ -170,14 +193,36 @@ class SegmentModel:
         self.moves = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
     def candidates(self, text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int, int, list[str]]]]:
-        """Unit boundaries, and (first unit, last unit + 1, kind, features), bounded by MAX_UNITS."""
+        """Unit boundaries, and (first unit, last unit + 1, kind, features) of each segment that can be an entity."""
         cuts = units(text, a, b)
+        n = len(cuts) - 1
+        digits, groups, marks, signs, others = [0], [0], [0], [0], [0]  # before each unit: digits, runs of them, signs of phone numbers, of mail addresses, and units that no number has
+        for i in range(n):
+            c, size = text[cuts[i]], cuts[i + 1] - cuts[i]
+            is_digit = "0" <= c <= "9"
+            digits.append(digits[-1] + size * is_digit)
+            groups.append(groups[-1] + is_digit)
+            marks.append(marks[-1] + (c in "(+"))
+            signs.append(signs[-1] + (c in "@[("))
+            others.append(others[-1] + (c not in "0123456789 ().+/-" and not c.isdigit()))
         out = []
-        for i in range(len(cuts) - 1):
-            if text[cuts[i]].isspace():
+        for i in range(n):
+            if not ((c := text[cuts[i]]).isalnum() or c in "._%+-("):
                 continue
-            for j in range(i + 1, min(i + MAX_UNITS, len(cuts) - 1) + 1):
-                if cuts[j] - cuts[i] < 7 or not text[cuts[j] - 1].isalnum():
+            for j in range(i + 1, min(i + MAX_UNITS, n) + 1):
+                size = cuts[j] - cuts[i]
+                if size > MAX_CHARS:
+                    break
+                if size < 5 or not text[cuts[j] - 1].isalnum():
+                    continue
+                n_digits = digits[j] - digits[i]
+                plain = others[j] == others[i]
+                if plain and (n_digits > MAX_DIGITS or groups[j] - groups[i] > MAX_GROUPS or marks[j] - marks[i] > 2):
+                    if signs[n] == signs[i]:
+                        break
+                    continue
+                parts = n_digits < MIN_DIGITS and text.count(".", cuts[i], cuts[j]) == 3
+                if not (plain and size >= 7 and (n_digits >= MIN_DIGITS or parts)) and signs[j] == signs[i]:
                     continue
                 if found := segment_features(text, cuts[i], cuts[j]):
                     out += [(i, j, kind, found[0]) for kind in found[1]]
@@ -188,27 +233,39 @@ class SegmentModel:
         return get(("bias", kind), 0.0) + sum(get((n, kind), 0.0) for n in names)
 
     def decode(self, text: str, a: int, b: int) -> list[Span]:
+        """The best segmentation of a zone, run by run of units that candidates cover."""
         cuts, segments = self.candidates(text, a, b)
-        if not segments:
-            return []
-        n, labels = len(cuts) - 1, len(KINDS) + 1
+        out: list[Span] = []
+        low = 0
+        while low < len(segments):  # in the order of their first units
+            high, end = low, segments[low][1]
+            while high < len(segments) and segments[high][0] <= end:  # one that begins at an end follows without a unit between
+                end = max(end, segments[high][1])
+                high += 1
+            out += self._decode_run(cuts, segments[low:high], segments[low][0], end)
+            low = high
+        return out
+
+    def _decode_run(self, cuts: list[int], segments: list[tuple[int, int, int, list[str]]], first: int, last: int) -> list[Span]:
+        n, labels = last - first, len(KINDS) + 1
         ending: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
         for i, j, kind, names in segments:
-            ending[j].append((i, kind + 1, self.score(kind, names)))
-        best = np.full((n + 1, labels), -np.inf)
+            ending[j - first].append((i - first, kind + 1, self.score(kind, names)))
+        moves = self.moves.tolist()
+        best = [[-math.inf] * labels for _ in range(n + 1)]
         back: list[list[tuple[int, int] | None]] = [[None] * labels for _ in range(n + 1)]
-        best[0, 0] = 0
+        best[0][0] = 0.0
         for j in range(1, n + 1):
             for i, y, s in [(j - 1, 0, 0.0), *ending[j]]:
-                from_each = best[i] + self.moves[:, y]
-                k = int(from_each.argmax())
-                if from_each[k] + s > best[j, y]:
-                    best[j, y], back[j][y] = from_each[k] + s, (i, k)
-        j, y, out = n, int(best[n].argmax()), []
+                worth, k = max((best[i][x] + moves[x][y], -x) for x in range(labels))
+                if worth + s > best[j][y]:
+                    best[j][y], back[j][y] = worth + s, (i, -k)
+        # the unit after a run is outside
+        j, y, out = n, max(range(labels), key=lambda x: (best[n][x] + moves[x][0], -x)), []
         while j > 0:
             i, k = back[j][y]
             if y:
-                out.append((y - 1, cuts[i], cuts[j]))
+                out.append((y - 1, cuts[first + i], cuts[first + j]))
             j, y = i, k
         return out[::-1]
 
@@ -241,15 +298,16 @@ class SegmentModel:
                 for j in range(1, n + 1):
                     ending[j].append((j - 1, 0, -1))
                 forward, backward = np.full((n + 1, labels), -np.inf), np.full((n + 1, labels), -np.inf)
-                forward[0, 0], backward[n] = 0, 0
+                forward[0, 0], backward[n] = 0, m[:, 0]  # the unit after a zone is outside
                 for j in range(1, n + 1):
                     for i, y, k in ending[j]:
                         forward[j, y] = np.logaddexp(forward[j, y], np.logaddexp.reduce(forward[i] + m[:, y]) + (scores[k] if k >= 0 else 0.0))
                 for j in range(n, 0, -1):
                     for i, y, k in ending[j]:
                         backward[i] = np.logaddexp(backward[i], m[:, y] + (scores[k] if k >= 0 else 0.0) + backward[j, y])
-                total = np.logaddexp.reduce(forward[n])
+                total = np.logaddexp.reduce(forward[n] + m[:, 0])
                 dw, dm = np.zeros(len(index)), np.zeros((labels, labels))
+                dm[:, 0] -= np.exp(forward[n] + m[:, 0] - total)
                 for j in range(1, n + 1):
                     for i, y, k in ending[j]:
                         p = np.exp(forward[i] + m[:, y] + (scores[k] if k >= 0 else 0.0) + backward[j, y] - total)
@@ -268,6 +326,7 @@ class SegmentModel:
                     if label:
                         np.add.at(dw, own[by_segment[(s, e, label - 1)]], 1)
                     before = label
+                dm[before, 0] += 1
                 dw -= penalty * w
                 w_seen += dw * dw
                 m_seen += dm * dm
@@ -344,7 +403,9 @@ def all_spans(text: str, model: SegmentModel) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans in the order of kinds, then starts."""
     base = base_spans(text)
     added = [s for a, b in zones(text) for s in model.decode(text, a, b)]
-    new = [s for s in added if all(s[2] <= a or b <= s[1] for _, a, b in base)]
+    by_start = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in by_start], [0, *itertools.accumulate((b for _, b in by_start), max)]
+    new = [s for s in added if reach[bisect.bisect_left(starts, s[2])] <= s[1]]  # none that begins before its end goes beyond its start
     return base, sorted(base + new)
 
 
