@@ -9,10 +9,14 @@ text or not; Viterbi finds the best labelling; main blocks are joined by one spa
 The model is trained on labelled pages that `training_pages` generates in many layouts: menus,
 headers, notices, adverts, sidebars, forms, comments and footers around and inside articles.
 
-Scale: one narrow pass, linear in the page; the model is some hundred numbers in the closure.
+Scale: one narrow pass; the model is some hundred numbers in the closure. Work is linear in the
+page, whatever it holds: tags are read by a scanner that never reads a stretch twice, open elements
+are counted by name, and an element keeps its parent and just the features that its ancestors lack,
+so depth costs nothing.
 
 Cases: null, empty and unparsable pages give an empty text. Pages are whole; unclosed elements end
-with the page. Repeated rows and null ids give repeated results. An empty table gives no rows.
+with the page, and a tag that the page's end cuts is markup. A quote that never closes is a plain
+character. Repeated rows and null ids give repeated results. An empty table gives no rows.
 Extra columns are ignored.
 """
 
@@ -29,7 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_MARKUP = re.compile(r"[>\"']")
+_NOT_LETTER = re.compile(r"[^a-z]+")
+_DIGITS = re.compile(r"\d")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 #: Elements without an end tag; elements whose content is not text; elements that stay inside a line.
@@ -41,25 +48,129 @@ _LIMIT = frozenset("html body table ul ol dl div section article main aside nav
 MARK = "\ue000"  # stands in training pages where main text begins a block
 
 
+class Element:
+    """An open element: its tag, its parent, and those of its features that no ancestor has."""
+
+    __slots__ = ("tag", "parent", "features", "score")
+
+    def __init__(self, tag: str, parent: Element | None, features: list[str]) -> None:
+        self.tag, self.parent, self.features = tag, parent, features
+        self.score: float | None = None
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("element", "text", "linked")
+
+    def __init__(self, element: Element | None, text: str, linked: int) -> None:
+        self.element, self.text, self.linked = element, text, linked
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int) -> None:
-        self.path, self.text, self.linked = path, text, linked
+
+def _element_features(tag: str, attributes: str) -> list[str]:
+    words = " ".join(x for m in _ATTRIBUTE.finditer(attributes) for x in m.groups() if x).lower() if "=" in attributes else ""
+    out = [f"in={_NOT_LETTER.split(tag)[0]}", *(f"word={w}" for w in _NOT_LETTER.split(words) if w)]
+    if _HIDDEN.search(attributes):
+        out.append("word=hidden")
+    return out
 
 
-def _description(tag: str, attributes: str) -> str:
-    words = " ".join(x for m in _ATTRIBUTE.finditer(attributes) for x in m.groups() if x) if "=" in attributes else ""
-    hidden = " hidden" if _HIDDEN.search(attributes) else ""
-    return f"{tag} {words}{hidden}".lower()
+class _OpenElements:
+    """The stack of open elements, with where each tag and feature stands in it."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.limits: list[int] = []
+        self.counts: dict[str, int] = {}
+
+    def push(self, tag: str, attributes: str) -> None:
+        fresh = []
+        for f in dict.fromkeys(_element_features(tag, attributes)):
+            if not self.counts.get(f):
+                fresh.append(f)
+                self.counts[f] = 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in _LIMIT:
+            self.limits.append(len(self.stack))
+        self.stack.append(Element(tag, self.stack[-1] if self.stack else None, fresh))
+
+    def pop_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            gone = self.stack.pop()
+            self.places[gone.tag].pop()
+            if gone.tag in _LIMIT:
+                self.limits.pop()
+            for f in gone.features:
+                self.counts[f] = 0
+
+    def end(self, tag: str) -> None:
+        if self.places.get(tag):
+            self.pop_to(self.places[tag][-1])
+
+    def close(self, tags: set[str]) -> None:
+        """The innermost of these elements ends, unless a limiting element stands inside it."""
+        place = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        if place >= 0 and place >= (self.limits[-1] if self.limits else -1):
+            self.pop_to(place)
+
+
+class _Scanner:
+    """Tags of a page, from left to right."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.at, self.quotes = page, 0, True
+        self.last_quote = {'"': page.rfind('"'), "'": page.rfind("'")}
+        self.last_end = page.rfind(">")
+
+    def tag_end(self, at: int) -> int:
+        """The place of the sign that ends a tag; a sign within quotes that close does not. -1 if the page ends before."""
+        if at > self.last_end:
+            return -1
+        if self.quotes:
+            here = at
+            while m := _MARKUP.search(self.page, here):
+                if m[0] == ">":
+                    return m.start()
+                here = m.end()
+                if here <= self.last_quote[m[0]]:
+                    here = self.page.index(m[0], here) + 1
+            self.quotes = False  # some quote of this tag takes the page's rest with it: from here on none counts
+        return self.page.find(">", at)
+
+    def next(self) -> tuple[str, str, bool, str] | None:
+        """The text before the next tag, its name (empty for comments and the like), whether it ends an element, its attributes."""
+        page, low = self.page, self.at
+        if low >= len(page):
+            return None
+        start = page.find("<", low)
+        while start >= 0:
+            following = page[start + 1 : start + 2]
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                self.at = end + 3 if end >= 0 else len(page)
+                return page[low:start], "", False, ""
+            if m := _NAME.match(page, start + 1):
+                end = self.tag_end(m.end())
+                self.at = end + 1 if end >= 0 else len(page)
+                return page[low:start], m[1].lower(), following == "/", page[m.end() : end] if end >= 0 else ""
+            if following and following in "!?/" and start < self.last_end:
+                self.at = page.index(">", start) + 1
+                return page[low:start], "", False, ""
+            start = page.find("<", start + 1)
+        self.at = len(page)
+        return page[low:], "", False, ""
+
+    def skip(self, name: str) -> None:
+        """On past the end tag of an element whose content is no text."""
+        m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(self.page, self.at)
+        end = self.page.find(">", m.end()) if m else -1
+        self.at = end + 1 if end >= 0 else len(self.page)
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The blocks in page order. A path lists the open elements, each as its tag and attribute words."""
+    """The blocks in page order, each with the innermost element that is open."""
     out: list[Block] = []
-    names: list[str] = []
-    path: list[str] = []
     pieces: list[str] = []
+    opened, scanner = _OpenElements(), _Scanner(page)
     linked = links = 0
 
     def flush() -> None:
@@ -68,28 +179,20 @@ def leaf_blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                out.append(Block(tuple(path), text, linked))
+                out.append(Block(opened.stack[-1] if opened.stack else None, text, linked))
         linked = 0
 
-    at = 0
-    while at < len(page):
-        m = _TAG.search(page, at)
-        chunk = page[at : m.start() if m else len(page)]
+    while found := scanner.next():
+        chunk, name, ending, attributes = found
         if chunk:
             pieces.append(chunk)
             if links:
                 linked += len(chunk)
-        if not m:
-            break
-        at = m.end()
-        name = m[2] or m[5]
         if not name:
             continue
-        name, ending, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if name in OPAQUE:
             if not ending and not attributes.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                scanner.skip(name)
             continue
         if name in INLINE:
             if name == "a":
@@ -99,24 +202,13 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         if ending:
-            if name in names:
-                while names.pop() != name:
-                    path.pop()
-                path.pop()
+            opened.end(name)
             continue
-        closes = _CLOSES.get(name)
-        if closes is None and "p" in names:  # a block ends an open paragraph
-            closes = {"p"}
+        closes = _CLOSES.get(name, {"p"} if opened.places.get("p") else None)  # a block ends an open paragraph
         if closes:
-            for k in range(len(names) - 1, -1, -1):
-                if names[k] in closes:
-                    del names[k:], path[k:]
-                    break
-                if names[k] in _LIMIT:
-                    break
+            opened.close(closes)
         if not attributes.endswith("/"):
-            names.append(name)
-            path.append(_description(name, attributes))
+            opened.push(name, attributes)
     flush()
     return out
 
@@ -130,12 +222,12 @@ def labelled_blocks(page: str) -> tuple[list[Block], list[int]]:
     return found, labels
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    out = {f"own={path[-1].split()[0]}" if path else "own=none"}
-    for element in path:
-        tag, *words = re.split(r"[^a-z]+", element)
-        out.add(f"in={tag}")
-        out.update(f"word={w}" for w in words if w)
+def path_features(element: Element | None) -> list[str]:
+    """All features of an element and its ancestors; only for training pages, which are shallow."""
+    out = [f"own={_NOT_LETTER.split(element.tag)[0]}" if element else "own=none"]
+    while element:
+        out += element.features
+        element = element.parent
     return sorted(out)
 
 
@@ -145,13 +237,13 @@ def text_features(block: Block, place: int, n: int) -> list[str]:
     out = [f"words={min(words.bit_length(), 7)}", f"place={min(4 * place // n, 3)}", f"links={min(int(4 * block.linked / max(len(text), 1)), 4)}"]
     if text[-1] in ".!?…:\"'”»":
         out.append("sentence end")
-    if "©" in text or "copyright" in text[:40].lower():
+    if "©" in text or "copyright" in text.lower():
         out.append("copyright")
     if "|" in text or "·" in text or "»" in text:
         out.append("separators")
-    if sum(c.isdigit() for c in text[:200]) > 0.2 * min(len(text), 200):
+    if len(_DIGITS.findall(text)) > 0.2 * len(text):
         out.append("digits")
-    if text[:200].isupper():
+    if text.isupper():
         out.append("capitals")
     return out
 
@@ -163,18 +255,24 @@ class BlockModel:
         self.weights: dict[str, float] = {}
         self.moves = np.zeros((2, 2))
         self.start = np.zeros(2)
-        self._paths: dict[tuple[str, ...], float] = {}
+
+    def path_score(self, element: Element | None) -> float:
+        """The sum of weights along the ancestors, kept at each element."""
+        get, waiting = self.weights.get, []
+        while element is not None and element.score is None:
+            waiting.append(element)
+            element = element.parent
+        score = element.score if element is not None else 0.0
+        for e in reversed(waiting):
+            score = e.score = score + sum(get(f, 0.0) for f in e.features)
+        return score
 
     def scores(self, found: list[Block]) -> np.ndarray:
         get = self.weights.get
         out = np.empty(len(found))
         for k, block in enumerate(found):
-            s = self._paths.get(block.path)
-            if s is None:
-                if len(self._paths) > 50_000:
-                    self._paths.clear()
-                s = self._paths[block.path] = sum(get(f, 0.0) for f in path_features(block.path)) + get("bias", 0.0)
-            out[k] = s + sum(get(f, 0.0) for f in text_features(block, k, len(found)))
+            own = f"own={_NOT_LETTER.split(block.element.tag)[0]}" if block.element else "own=none"
+            out[k] = get("bias", 0.0) + get(own, 0.0) + self.path_score(block.element) + sum(get(f, 0.0) for f in text_features(block, k, len(found)))
         return out
 
     def decode(self, found: list[Block]) -> list[bool]:
@@ -199,7 +297,7 @@ class BlockModel:
         data, index = [], {}
         for page in pages:
             found, labels = labelled_blocks(page)
-            rows = [np.array([index.setdefault(f, len(index)) for f in ("bias", *path_features(b.path), *text_features(b, k, len(found)))]) for k, b in enumerate(found)]
+            rows = [np.array([index.setdefault(f, len(index)) for f in ("bias", *path_features(b.element), *text_features(b, k, len(found)))]) for k, b in enumerate(found)]
             data.append((rows, np.array(labels)))
         w, moves, start = np.zeros(len(index)), np.zeros((2, 2)), np.zeros(2)
         seen, moves_seen, start_seen = np.full(len(index), 1e-2), np.full((2, 2), 1e-2), np.full(2, 1e-2)
@@ -237,7 +335,6 @@ class BlockModel:
                 start += rate * dstart / np.sqrt(start_seen)
         self.weights = {f: float(w[k]) for f, k in index.items()}
         self.moves, self.start = moves, start
-        self._paths = {}
         return self
 
 

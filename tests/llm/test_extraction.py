@@ -1,4 +1,6 @@
 import itertools
+import time
+from collections import Counter
 
 import pytest
 
@@ -62,3 +64,47 @@ def test_table(spark, sf_dir):
     assert ex.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     assert ex.extract_main_text(pages).where("n_chars > 0").count() == pages.count()
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 330_000, "<x>" * 100_000, '<div class="a b">' * 60_000 + "t" + "</div>" * 60_000, "<x-a>" * 60_000 + "</x-b>" * 60_000, '<a ">' * 200_000, "<script>" + "</script" * 120_000, "<p><table>" + "<x-q>" * 100_000, "<" * 1_000_000, '<div class="' + 'class=" ' * 100_000 + ">"],
+    ids=["open tags", "nested", "nested with words", "stray ends", "quotes", "script ends", "open paragraph", "signs", "attributes"],
+)
+def test_hostile_pages_take_seconds(page):
+    """A megabyte of each; a quadratic pass would take minutes."""
+    start = time.perf_counter()
+    ex.main_text(page, ex.trained_model())
+    assert time.perf_counter() - start < 20
+
+
+#: Written by hand in layouts of their own; what a reader takes for the article, block by block.
+BY_HAND = [
+    (
+        '<html><body><div id="top-bar"><a href="/">The Daily</a> <a href="/s">Sport</a> <a href="/c">Culture</a></div><div class="wrapper"><div class="story-body"><h1>River rises again</h1><p>The river rose by a metre on Sunday night, and roads were closed.</p><p>Rain is expected until Thursday.</p></div>'
+        '<div class="related-stories"><h3>Related</h3><ul><li><a href="/1">Older floods</a></li><li><a href="/2">Dams</a></li></ul></div></div><footer><p>&copy; 2019 The Daily</p></footer></body></html>',
+        "River rises again The river rose by a metre on Sunday night, and roads were closed. Rain is expected until Thursday.",
+    ),
+    (
+        '<html><body><nav class="main-nav"><ul><li><a href="#">Home</a><li><a href="#">Docs</a></ul></nav><main><h1>Install guide</h1><p>Download the archive first.</p><ul><li>Unpack it into a folder.</li><li>Run the set-up program.</li></ul><blockquote><p>Keep a copy of your data.</p></blockquote></main>'
+        '<div class="cookie-banner"><p>We use cookies to make this site work. <button>Accept</button></p></div></body></html>',
+        "Install guide Download the archive first. Unpack it into a folder. Run the set-up program. Keep a copy of your data.",
+    ),
+    (
+        '<body><header><h1>Garden notes</h1><p>a blog about soil</p></header><article class="post"><h2>On compost</h2><p>Turn the heap once a week.</p><div class="ad-slot"><p>Buy spades here!</p></div><p>Leaves take longer than grass.</p></article><section id="comments"><h3>2 comments</h3><div class="comment"><p>Mine smells.</p></div></section></body>',
+        "On compost Turn the heap once a week. Leaves take longer than grass.",
+    ),
+    (
+        "<body><article><h1>Lone text</h1><table><tr><td>Height</td><td>12 m</td></tr></table><p>It is a tall one.</p><script>track('x')</script></article></body>",
+        "Lone text Height 12 m It is a tall one.",
+    ),
+]
+
+
+def test_pages_written_by_hand():
+    """Of the words that a reader takes, and that the model takes, nineteen in twenty are the same; pages are not the generator's."""
+    hit = found = truth = 0
+    for page, expected in BY_HAND:
+        got, wanted = Counter(text(page).split()), Counter(expected.split())
+        hit, found, truth = hit + (got & wanted).total(), found + got.total(), truth + wanted.total()
+    assert hit >= 0.95 * found and hit >= 0.95 * truth, (hit, found, truth)
