@@ -44,7 +44,8 @@ from paperloom.llm.words import as_large_string, blocks, mix
 
 SPARE_BITS = 14
 #: m of word states and of pair states: weight and power of the context's count.
-SMOOTHING = ((10.0, 0.7), (2.0, 0.5))
+Smoothing = tuple[tuple[float, float], tuple[float, float]]
+SMOOTHING: Smoothing = ((10.0, 0.7), (2.0, 0.5))
 STRETCH = 256
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _END = np.uint64(0xE5D0_0000_0000_0001)
@@ -125,13 +126,13 @@ class Totals:
 class Automaton:
     """The part of the automaton that some tokens can reach. State 0 is the root, then words, then pairs."""
 
-    def __init__(self, t: Tokens, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, totals: Totals) -> None:
+    def __init__(self, t: Tokens, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, totals: Totals, smoothing: Smoothing = SMOOTHING) -> None:
         n_words = len(t.words)
         discount = min(max(totals.n_once / max(totals.n_once + 2 * totals.n_twice, 1), 0.1), 0.9)
         root = np.where(words > 0, words - discount, discount * totals.n_types) / totals.n_tokens
         first, last = self._ends_of_pairs(t)
         context = [words.astype(np.float64), pairs.astype(np.float64)]
-        extra = [weight * c**power + 1 for c, (weight, power) in zip(context, SMOOTHING)]
+        extra = [weight * c**power + 1 for c, (weight, power) in zip(context, smoothing)]
         self.n_labels = n_words
         # states of contexts never seen in training are not reached
         self.failure = np.concatenate(([0], np.zeros(n_words, np.int64), 1 + last))
@@ -206,13 +207,13 @@ class Automaton:
         return out
 
 
-def _score(totals: Totals, bits: int):
+def _score(totals: Totals, bits: int, smoothing: Smoothing):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         table = bc.open_block(left["rows"][0])
         ids = table["doc_id"].to_pylist()
         t = tokens_of(as_large_string(table["text"]), bits)
         words, pairs, triples = (x for (x,) in bc.totals_of(right, _KINDS).values())
-        logs = Automaton(t, words, pairs, triples, totals).traverse(t.sizes, t.word_of) if totals.n_tokens else np.zeros(len(t.word_of))
+        logs = Automaton(t, words, pairs, triples, totals, smoothing).traverse(t.sizes, t.word_of) if totals.n_tokens else np.zeros(len(t.word_of))
         first = np.cumsum(t.sizes) - t.sizes
         count = words[t.word_of]
         base = np.add.reduceat(np.log10((count + 1) / (totals.n_tokens + totals.n_types + 1)), first)
@@ -223,7 +224,7 @@ def _score(totals: Totals, bits: int):
     return run
 
 
-def lm_scores(documents: DataFrame, block_bytes: int = bc.BLOCK_BYTES, range_bytes: int = bc.RANGE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(documents: DataFrame, block_bytes: int = bc.BLOCK_BYTES, range_bytes: int = bc.RANGE_BYTES, smoothing: Smoothing = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of SCHEMA for every document; those that are not held out train."""
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = documents.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
@@ -232,4 +233,4 @@ def lm_scores(documents: DataFrame, block_bytes: int = bc.BLOCK_BYTES, range_byt
     answers = cut(bc.answered(bc.asked(packed, _grams(bits), _KINDS, bc.n_ranges(size, range_bytes)), _KINDS, _sums, _SUMS), "ngram-totals")
     totals = Totals(*answers.select("range", *_SUMS).distinct().agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in _SUMS]).first())
     replies = answers.select("block", "range", *(f"{kind}_totals" for kind in _KINDS))
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(totals, bits), SCHEMA)
+    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(totals, bits, smoothing), SCHEMA)
