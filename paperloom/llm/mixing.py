@@ -3,37 +3,67 @@
 A classifier fitted on a labelled table gives every document a soft membership in each domain: a
 naive Bayes model over hashed lower-case words, whose evidence is tempered to that of
 EVIDENCE_WORDS words so that posteriors stay soft. The expected tokens of a domain are the sum of
-a document's words times its posterior. Nonnegative document rates (how often a document is to be
-seen) are then fitted by projected gradient least squares so that the expected domain totals match
-targets: rates start at 1, each step moves them against the relative error of the totals, scaled
-by each domain's size, and clips them at 0. By default the targets are the least totals in the
-wanted proportions that need no domain to shrink, so that nothing is lost to mixing.
+a document's words times its posterior. Document rates (how often a document is to be seen) are
+then fitted by projected gradient least squares so that the expected domain totals match targets:
+each step moves every rate against the errors of the totals, weighed by its posterior, and projects
+it on rates of `min_rate` or more. Steps are scaled by the inverse second moments of the posteriors,
+over the rates that the bound leaves free, so that a step without projection meets the targets at once.
+
+By default no rate is below 1, so that nothing is lost to mixing, and the total is the least found,
+in steps of GROWTH, at which the wanted proportions can be met under that bound. The fit goes on
+until the largest error of a domain is TOLERANCE of the total. Targets that no rates meet are
+reported, never missed silently: `residual` is that error, a warning is given, and rates stay at 1
+(the closest rates, where a total was asked for).
 
 Scale: fitting reads at most `max_labelled` labelled rows, the least by hash, and gives domains x
 BUCKETS numbers. Posteriors are one narrow pass over the texts inside the JVM, without exchange or
-exploded words. Steps read a table of 8 x (2 + domains) bytes a row and exchange one row a task;
-only the domain totals reach the driver.
+exploded words; `mixed_documents` writes them beside the rows, so texts are scored once. Steps read
+a table of 8 x (3 + domains) bytes a row, once each, and exchange one row a task; every
+STEPS_A_TABLE of them the rates are written, so plans stay short. Only domain totals and moments reach the driver.
 
 Cases: null and empty texts have no words; their posterior is the prior, their rate does not
 matter to the totals. Rows of a repeated or null doc_id are rated each by its text. An empty table
-gives no rows; without labelled rows the posteriors are even. A domain without tokens keeps rates
-as they are. Extra columns are ignored; `mixed_documents` returns all columns.
+gives no rows. Domains without labelled rows, or without tokens, cannot be told or mixed in: their
+targets are dropped and the others keep their proportions (their posteriors are 0); with fewer
+than two domains left all rates are 1. Extra columns are ignored;
+`mixed_documents` returns all columns.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.shared import cut
 
-BUCKETS = 2048
+BUCKETS = 1 << 13
 MAX_LABELLED = 20_000
 EVIDENCE_WORDS = 20.0
-MAX_STEPS = 40
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
+GROWTH = 1.2
+STEPS_A_TABLE = 6
+STALLED_STEPS = 3
+MAX_STEPS = 60
+MAX_GROWTH = 32.0
+
+
+@dataclass
+class Fit:
+    """targets and reached totals by domain, the largest error as a part of the total, and steps taken."""
+
+    targets: list[float]
+    reached: list[float]
+    residual: float
+    steps: int
+
+    @property
+    def met(self) -> bool:
+        return self.residual <= TOLERANCE
 
 
 def word_buckets(text: Column, buckets: int = BUCKETS) -> Column:
@@ -43,14 +73,14 @@ def word_buckets(text: Column, buckets: int = BUCKETS) -> Column:
 
 
 def fit_classifier(documents: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED, text_col: str = "text") -> tuple[list[float], list[list[float]]]:
-    """Log prior and log bucket probabilities of each domain. labelled: doc_id, domain; documents join it by doc_id."""
+    """Log prior and log bucket probabilities of each domain; minus infinity is the prior of one without labelled rows, if others have some. labelled: doc_id, domain; documents join it by doc_id."""
     sample = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = documents.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("domain", word_buckets(F.col("text"), buckets).alias("words"))
     n_rows = dict(tuple(r) for r in rows.groupBy("domain").count().collect())
     counts = {d: [1.0] * buckets for d in domains}
     for domain, bucket, n in rows.select("domain", F.explode("words").alias("bucket")).groupBy("domain", "bucket").count().collect():
         counts[domain][bucket] += n
-    prior = [math.log((n_rows.get(d, 0) + 1) / (sum(n_rows.values()) + len(domains))) for d in domains]
+    prior = [math.log((n_rows.get(d, 0) + 1) / (sum(n_rows.values()) + len(domains))) if not n_rows or d in n_rows else -math.inf for d in domains]
     return prior, [[math.log(c / sum(counts[d])) for c in counts[d]] for d in domains]
 
 
@@ -63,7 +93,7 @@ def posteriors(documents: DataFrame, model: tuple[list[float], list[list[float]]
     strength = F.least(F.lit(1.0), F.lit(evidence) / F.greatest(n, F.lit(1)))
 
     def evidence_of(w: list[float]) -> Column:
-        table = F.lit(w)
+        table = F.lit(np.array(w, dtype=np.float64))  # one literal, not an expression a bucket
         return F.aggregate("\twords", F.lit(0.0), lambda total, b: total + F.get(table, b))
 
     scored = worded.select(*keep, n.cast("long").alias("n_tokens"), F.array(*[F.lit(p) + strength * evidence_of(w) for p, w in zip(prior, weights)]).alias("\tscores"))
@@ -73,32 +103,60 @@ def posteriors(documents: DataFrame, model: tuple[list[float], list[list[float]]
     return powered.select(*keep, "n_tokens", total.alias("\ttotal"), "\traised").select(*keep, "n_tokens", F.transform("\traised", lambda x: x / F.col("\ttotal")).alias("posterior"))
 
 
-def fit_rates(table: DataFrame, weights: list[float], total_tokens: float | None = None, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> tuple[Column, list[float], list[float]]:
-    """A column of rates over n_tokens and posterior; the target totals; the totals reached."""
+def fit_rates(table: DataFrame, weights: list[float], total_tokens: float | None = None, min_rate: float = 1.0, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS) -> tuple[DataFrame, Fit]:
+    """The table (n_tokens, posterior and other columns) with `rate`, and how the fit ended."""
     k = len(weights)
-
-    def totals(rate: Column) -> list[float]:
-        row = table.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * F.get("posterior", F.lit(d))), F.lit(0.0)) for d in range(k)]).first()
-        return [float(x) for x in row]
-
-    share = [w / sum(weights) for w in weights]
-    rate = F.lit(1.0)
-    natural = reached = totals(rate)
-    whole = total_tokens if total_tokens is not None else max(n / s for n, s in zip(natural, share))
-    targets = [whole * s for s in share]
-    for _ in range(max_steps):
-        error = [(r - t) / n if n > 0 else 0.0 for r, t, n in zip(reached, targets, natural)]
-        if max(map(abs, error), default=0.0) <= tolerance:
+    tokens = F.col("n_tokens").cast("double")
+    p = [F.get("posterior", F.lit(d)) for d in range(k)]
+    upper = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def sums(df: DataFrame, rate: Column, free: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens by domain, and second moments of the posteriors over free rates."""
+        columns = [rate * tokens * x for x in p] + [F.when(free, tokens).otherwise(0.0) * p[a] * p[b] for a, b in upper]
+        row = [float(x) for x in df.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns]).first()]
+        out = np.zeros((k, k))
+        for (a, b), x in zip(upper, row[k:]):
+            out[a, b] = out[b, a] = x
+        return np.array(row[:k]), out
+
+    rate: Column = F.lit(max(1.0, min_rate))
+    natural, every = sums(table, F.lit(1.0), F.lit(True))
+    share = np.where(natural > 0, np.array(weights, dtype=float), 0.0)
+    if (share > 0).sum() < 2 and total_tokens is None:
+        return table.withColumn("rate", rate), Fit((natural * (share > 0)).tolist(), natural.tolist(), 0.0, 0)
+    share /= share.sum() or 1.0
+    first_aim = aim = total_tokens if total_tokens is not None else max(float(n / s) for n, s in zip(natural, share) if s > 0)
+    if total_tokens is None and np.abs(natural - aim * share).max() > tolerance * aim:
+        first_aim = aim = 1.02 * aim
+    against_all, errors, nested, df = np.linalg.pinv(every, rcond=1e-12), [], 0, table
+    reached, free = max(1.0, min_rate) * natural, every if min_rate < 1 else np.zeros((k, k))
+    for steps in range(max_steps + 1):
+        error = reached - aim * share
+        if float(np.abs(error).max()) <= tolerance * aim or steps == max_steps:
             break
-        move = sum((F.lit(e) * F.get("posterior", F.lit(d)) for d, e in enumerate(error)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-        reached = totals(rate)
-    if total_tokens is None:  # in the same proportions, no document with tokens is to be seen less than once
-        least = table.where("n_tokens > 0").agg(F.min(rate)).first()[0]
-        if least is not None and 0 < least < 1:
-            rate, targets, reached = rate / F.lit(least), [t / least for t in targets], [r / least for r in reached]
-        rate = F.greatest(F.lit(1.0), rate)  # bears on texts without words, and where no nonnegative rates meet the targets
-    return rate, targets, reached
+        worth, fresh = float(error @ against_all @ error), not errors
+        if total_tokens is None and len(errors) >= STALLED_STEPS and worth > 0.25 * errors[-STALLED_STEPS]:
+            aim, errors, fresh = aim * GROWTH, [], True  # more tokens leave the bound less to forbid
+            if aim > MAX_GROWTH * first_aim:
+                break
+            error = reached - aim * share
+            worth = float(error @ against_all @ error)
+        # the moments of free rates hasten the end; where they did not help, those of all, by which the error never ascends
+        scale = free if steps and (fresh or worth < 0.9 * errors[-1]) else every
+        move = np.linalg.pinv(scale + 1e-6 * every, rcond=1e-12) @ error
+        errors.append(worth)
+        rate = F.greatest(F.lit(float(min_rate)), rate - sum((F.lit(float(x)) * p[d] for d, x in enumerate(move)), F.lit(0.0)))
+        nested += 1
+        if nested == STEPS_A_TABLE:
+            df, nested = cut(df.withColumn("rate", rate), "rates"), 0
+            rate = F.col("rate")
+        reached, free = sums(df, rate, rate > min_rate)
+    fit = Fit((aim * share).tolist(), reached.tolist(), float(np.abs(reached - aim * share).max() / aim) if aim else 0.0, steps)
+    if fit.residual > tolerance:
+        warnings.warn(f"targets {fit.targets} are missed by {fit.residual:.3g} of their total; reached {fit.reached}", stacklevel=2)
+        if total_tokens is None:
+            rate = F.lit(max(1.0, min_rate))
+    return df.withColumn("rate", rate), fit
 
 
 def copies_of(rate: Column, key: Column) -> Column:
@@ -107,23 +165,24 @@ def copies_of(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def mixing_rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None, total_tokens: float | None = None, max_labelled: int = MAX_LABELLED, text_col: str = "text") -> DataFrame:
-    """The kept columns (doc_id by default), n_tokens, domain (the likeliest), posterior, rate, copies."""
+def mixing_rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None, total_tokens: float | None = None, min_rate: float | None = None, max_labelled: int = MAX_LABELLED, text_col: str = "text") -> DataFrame:
+    """The kept columns (doc_id by default), n_tokens, domain (the likeliest), posterior, rate, copies, residual (of the fit). With `total_tokens` rates can go down to 0."""
     keep, domains = keep or ["doc_id"], list(targets)
     model = fit_classifier(documents, labelled, domains, max_labelled=max_labelled, text_col=text_col)
-    table = cut(posteriors(documents, model, keep, text_col=text_col), "posteriors")
-    rate, _, _ = fit_rates(table, [targets[d] for d in domains], total_tokens)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("text"), F.xxhash64("doc_id", text_col).alias("key"))
+    table = cut(posteriors(rows, model, ["row", "key"]), "posteriors")
+    bound = min_rate if min_rate is not None else 1.0 if total_tokens is None else 0.0
+    rated, fit = fit_rates(table, list(targets.values()), total_tokens, bound)
     likeliest = F.get(F.lit(domains), (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
-    rated = table.select(*keep, "n_tokens", likeliest.alias("domain"), "posterior", rate.alias("rate"))
-    return rated.withColumn("copies", copies_of(F.col("rate"), F.col(keep[0])))
+    return rated.select("row.*", "n_tokens", likeliest.alias("domain"), "posterior", "rate", copies_of(F.col("rate"), F.col("key")).alias("copies"), F.lit(fit.residual).alias("residual"))
 
 
 def mixed_documents(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], max_labelled: int = MAX_LABELLED, text_col: str = "text") -> DataFrame:
     """All columns of the documents, each row as often as its copies say."""
     model = fit_classifier(documents, labelled, list(targets), max_labelled=max_labelled, text_col=text_col)
-    table = cut(posteriors(documents, model, [], text_col=text_col), "posteriors")
-    rate, _, _ = fit_rates(table, list(targets.values()))
     names = documents.columns
-    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("\trow"), F.col(text_col).alias("\ttext"), "doc_id")
-    rated = posteriors(whole, model, ["\trow", "doc_id"], text_col="\ttext").withColumn("copies", copies_of(rate, F.col("doc_id")))
-    return rated.select("\trow", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("\trow.*")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("text"), F.xxhash64("doc_id", text_col).alias("key"))
+    table = cut(posteriors(rows, model, ["row", "key"]), "posteriors")
+    rated, _ = fit_rates(table, list(targets.values()))
+    copies = copies_of(F.col("rate"), F.col("key")).cast("int")
+    return rated.select("row", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")

@@ -30,19 +30,19 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-#: Wanted shares of tokens by language.
-LANGUAGE_TARGETS = {"en": 0.55, "fr": 0.17, "de": 0.15, "es": 0.13}
+#: Wanted shares of tokens by the kind of document that the labels tell of a part of the documents.
+KIND_TARGETS = {"clean": 0.85, "toxic": 0.075, "junk": 0.075}
 
 
-def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and language of the documents in the table of labels; no text is read."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct()
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("lang").alias("domain")).join(labels, "doc_id")
+def labelled_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and domain of the labelled documents: junk (quality 0), toxic, or clean."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.where("quality IS NOT NULL").select("doc_id", F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("domain"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mixing.mixing_rates(documents, labelled_languages(spark, sf_dir), LANGUAGE_TARGETS)
+    return mixing.mixing_rates(documents, labelled_kinds(spark, sf_dir), KIND_TARGETS)
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +50,10 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The setting spark.paperloom.tokenCache names a cache that runs share; without it, a run has a new one."""
     path = tokenizer_path("piece_bpe_32k.model")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return token_counts.token_counts(documents, token_counts.sentencepiece_counter(path), token_counts.file_version(path))
+    return token_counts.token_counts(documents, token_counts.sentencepiece_counter(path), token_counts.file_version(path), spark.conf.get("spark.paperloom.tokenCache", None))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
