@@ -1,9 +1,17 @@
 """A corpus pipeline of operators from paperloom.llm, each stage a Parquet table.
 
-quality: documents that the quality rules reject go. near_duplicates: one document of each group
-of n-gram Jaccard links stays, the one of least doc_id; rows without a doc_id stay. personal_data:
-spans are masked and n_chars follows. mixing: documents are repeated so that the tokens of the
-languages meet their targets; none is lost. packing: token sequences.
+quality: documents that the quality rules reject go. near_duplicates: one row of each group of
+n-gram Jaccard links stays: of least doc_id (a null id counts as the greatest), and among rows of
+equal id the least by text and then by the other columns. personal_data: spans are masked and
+n_chars follows. mixing: documents are repeated so that the tokens of clean and of toxic documents,
+as predicted from the labels of a part, meet their targets; none is lost. packing: token sequences
+of bounded documents and attention cost.
+
+Cases: null, empty and short texts are rejected by the quality stage. Texts are whole at every
+length. Repeated rows, and rows with null or repeated ids, are deduplicated like others. Rows that
+tie in every column are alike, so which stays makes no difference. Empty tables give no rows. Columns
+besides those of documents are kept up to packing and may have any names but those that Spark
+itself cannot tell apart. Without labels no document is trusted and rates are 1.
 """
 
 from __future__ import annotations
@@ -14,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, ngram_join, packing, pii, quality
-from paperloom.llm.queries import LANGUAGE_TARGETS, tokenizer_path
+from paperloom.llm.queries import labelled_kinds, tokenizer_path
 from paperloom.llm.shared import cut
 
 
@@ -24,24 +32,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = ngram_join.ngram_jaccard_join(docs)
-    first = classes.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    # every id and text is a document of its own to the join, under a key that is never null
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit("")))
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    classes = ngram_join.ngram_jaccard_join(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+    ids = rows.select("key", F.col("row.doc_id").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull().alias("unknown"), "id", "key")
+    first = classes.select(F.col("doc_id").alias("key"), "class_id").distinct().join(ids, "key").groupBy("class_id").agg(F.min(order).alias("first"))
+    kept = rows.join(first.select("first.key"), "key", "left_semi")
+    return kept.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.mask_personal_data(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+#: Wanted shares of tokens; junk has gone by now.
+KIND_TARGETS = {"clean": 0.93, "toxic": 0.07}
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct()
-    labelled = docs.select("doc_id", F.col("lang").alias("domain")).join(labels, "doc_id")
-    return mixing.mixed_documents(docs, labelled, LANGUAGE_TARGETS)
+    return mixing.mixed_documents(docs, labelled_kinds(spark, sf_dir), KIND_TARGETS)
+
+
+#: Capacities of a sequence besides its tokens; both bind.
+PACKING_LIMITS = {"max_documents": 16, "max_attention": 3 * packing.CAPACITY**2 // 4}
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, packing.byte_bpe_encoder(tokenizer_path("byte_bpe_50k.json")))
+    return packing.pack_documents(docs, packing.byte_bpe_encoder(tokenizer_path("byte_bpe_50k.json")), **PACKING_LIMITS)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
