@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions import mime
 from paperloom.functions.text import joined_in_order, normalize_text
+from paperloom.sources.office import office_text
 
 
 def explode_pages(documents: DataFrame, key: str, text: Column, separator: str = "\n") -> DataFrame:
@@ -23,8 +25,24 @@ def merge_pages(pages: DataFrame, key: str, text: str = "content", order: str =
 
 
 def route_outcomes(files: DataFrame, key: str) -> DataFrame:
-    """One row a file with a route: direct files without a reader complete with an empty text and are not metered."""
-    archive = files.where("route = 'archive'").select(key, "route", F.lit("processing").alias("task_status"), F.lit(None).cast("string").alias("result"), F.lit(True).alias("metered"))
-    direct = files.where("route = 'direct'").select(key, "route", F.lit("completed").alias("task_status"), F.lit("").alias("result"), F.lit(False).alias("metered"))
-    ocr = files.where("route = 'ocr'").select(key, "route", F.lit("processing").alias("task_status"), F.lit(None).cast("string").alias("result"), F.lit(True).alias("metered"))
-    return archive.unionByName(direct).unionByName(ocr)
+    """One row a file (content, mime, route), in one pass: archives and pages to recognise go on and are metered; direct files complete.
+
+    A direct file's result is the text of a DOCX or PPTX, empty for other types; one that cannot be
+    read is an error. Only office documents reach Python.
+    """
+    direct = F.col("route") == "direct"
+    read = office_text(files.select(key, "mime", "route", F.when(mime.is_direct(F.col("mime")), F.col("content")).alias("content")))
+    status = F.when(~direct, F.lit("processing")).when(F.col("error").isNotNull(), F.lit("error")).otherwise(F.lit("completed"))
+    return read.select(key, "route", status.alias("task_status"), F.when(direct, F.col("text")).alias("result"), (~direct).alias("metered"))
+
+
+#: Why a recognition task fails before a model is called.
+NO_PAGES, NO_QUOTA = "Failed to prepare pages for file type: ", "insufficient_quota"
+
+
+def task_outcomes(gated: DataFrame) -> DataFrame:
+    """Gated tasks (route, mime, pages, allowed) with task_status, message and metered: rejected tasks stay, as errors."""
+    direct, empty = F.col("route") == "direct", F.coalesce("pages", F.lit(0)) == 0
+    message = F.when(direct, F.lit(None).cast("string")).when(empty, F.concat(F.lit(NO_PAGES), F.col("mime"))).when(~F.col("allowed"), F.lit(NO_QUOTA))
+    status = F.when(direct, F.lit("completed")).when(F.col("message").isNotNull(), F.lit("error")).otherwise(F.lit("processing"))
+    return gated.withColumn("message", message).withColumn("task_status", status).withColumn("metered", ~direct & F.col("message").isNull())

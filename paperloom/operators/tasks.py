@@ -35,13 +35,24 @@ def is_terminal(status: Column) -> Column:
     return status.isin(TERMINAL)
 
 
+#: What a webhook's error says.
+NO_JOB, OTHER_JOB, FAILED_JOB = "Transcription job ID is required", "Transcription job ID does not match", "Transcription job status is error"
+
+
 def match_webhooks(webhooks: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Each webhook with its task's job id, and the outcome: ok, or why it is an error. Columns: task_id, job_id, status; task_id, task_job_id."""
+    """Each webhook with its task's job id, and the outcome: ok, or why it is an error.
+
+    Columns: task_id, job_id, status (the payload's), and perhaps route_status (the address's; its
+    errors have an empty message); task_id, task_job_id. A task without a job id gives the same
+    error whatever the webhook says.
+    """
     job, own = F.col("job_id"), or_default(F.col("task_job_id"), F.lit(None))
+    routed = F.col("route_status") if "route_status" in webhooks.columns else F.lit(None).cast("string")
     outcome = (
-        F.when(own.isNull() & (F.col("status") == "error"), F.lit("Transcription job ID is required"))
-        .when(own.isNull() | ~F.coalesce(own == job, F.lit(False)), F.lit("Transcription job ID does not match"))
-        .when(F.coalesce(F.col("status"), F.lit("")) != "completed", F.lit("Transcription job status is error"))
+        F.when(own.isNull(), F.lit(NO_JOB))
+        .when(F.coalesce(routed, F.lit("")) == "error", F.lit(""))
+        .when(~F.coalesce(own == job, F.lit(False)), F.lit(OTHER_JOB))
+        .when(F.coalesce(F.col("status"), F.lit("")) != "completed", F.lit(FAILED_JOB))
         .otherwise(F.lit("ok"))
     )
     return webhooks.join(tasks, "task_id", "left").withColumn("outcome", outcome)

@@ -49,6 +49,7 @@ def transcribed(recordings: DataFrame, key: str, transcribe: Provider, price: fl
     return chunks.merge_chunks(done, key, price)
 
 
-def gated(tasks: DataFrame, quotas: DataFrame, owner: str, needed: str) -> DataFrame:
-    """Tasks whose owner's quota suffices, before any model is called."""
-    return billing.gate(tasks, quotas, owner, F.col(needed)).where("allowed").drop("allowed", "quota", "is_unlimited")
+def gated(tasks: DataFrame, quotas: DataFrame, owner: str, needed: str, asset: str | None = None, variant: str | None = None) -> DataFrame:
+    """All tasks before any model is called, with `message`: null where the owner's quota suffices, else why the task is an error."""
+    found = billing.gate(tasks, quotas, owner, F.col(needed), asset, variant)
+    return found.withColumn("message", F.when(~F.col("allowed"), F.lit(pages.NO_QUOTA))).drop("allowed", "quota", "is_unlimited")

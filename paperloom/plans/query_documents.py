@@ -88,9 +88,24 @@ def mime_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.routed(prefixed_pages(spark, sf_dir)).select("page_id", "mime", "route", mime.is_pdf(m).alias("is_pdf"), mime.is_image(m).alias("is_image"), mime.is_compressed(m).alias("is_compressed"), mime.is_direct(m).alias("is_direct"))
 
 
-@query(f"SELECT page_id, route, CASE route WHEN 'direct' THEN 'completed' ELSE 'processing' END AS task_status, CASE route WHEN 'direct' THEN '' END AS result, route <> 'direct' AS metered FROM ({ROUTE_SQL})")
+#: Of 16 pages, 14 begin with some type's bytes and two are office documents of two paragraphs.
+OUTCOME_SQL = f"""
+SELECT page_id, route, CASE route WHEN 'direct' THEN 'completed' ELSE 'processing' END AS task_status, CASE WHEN page_id % 16 IN (5, 9) THEN url || chr(10) || chr(10) || 'page ' || cast(page_id AS VARCHAR) WHEN route = 'direct' THEN '' END AS result, route <> 'direct' AS metered
+FROM (SELECT page_id, url, CASE WHEN page_id % 16 IN (5, 9) THEN 'direct' ELSE route END AS route FROM ({ROUTE_SQL}) JOIN pages USING (page_id))
+"""
+
+
+@query(OUTCOME_SQL)
 def route_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.route_outcomes(plans.routed(prefixed_pages(spark, sf_dir)), "page_id")
+    @F.pandas_udf("binary")
+    def as_office(lines: pd.Series, kind: pd.Series) -> pd.Series:
+        return pd.Series([(_docx if k == 5 else _pptx)(line.split("\n")) for line, k in zip(lines, kind)])
+
+    kind = F.col("page_id") % 16
+    lines = F.concat("url", F.lit("\npage "), F.col("page_id").cast("string"))
+    office_files = table(spark, sf_dir, "pages").where(kind.isin(5, 9)).select("page_id", as_office(lines, kind).alias("content"))
+    files_ = prefixed_pages(spark, sf_dir).where(~kind.isin(5, 9)).unionByName(office_files)
+    return pages.route_outcomes(plans.routed(files_), "page_id")
 
 
 @query("SELECT page_id, coalesce(nullif(regexp_extract(rtrim(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), '[^/](\\.[^./]+)$', 1), ''), '.audio') AS extension FROM pages")
@@ -176,18 +191,18 @@ def language_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zipped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("archive"), F.concat(F.lit("d/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("html"))
+    rows = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 500).cast("long").alias("archive"), F.concat(F.lit("d/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("html"))
     return archives.zip_members(rows, "archive", "path", "html").select("archive", F.col("zipped").alias("content"), F.lit("application/zip").alias("mime"))
 
 
-@query("SELECT page_id % 20 AS archive, count(*) AS members, cast(sum(octet_length(encode(html))) AS BIGINT) AS n_bytes, cast(0 AS BIGINT) AS errors FROM pages GROUP BY 1")
+@query("SELECT page_id // 500 AS archive, count(*) AS members, cast(sum(octet_length(encode(html))) AS BIGINT) AS n_bytes, cast(0 AS BIGINT) AS errors FROM pages GROUP BY 1")
 def archive_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of archives that are packed from pages; one row an archive."""
     rows = archives.explode_archives(zipped_pages(spark, sf_dir))
     return rows.groupBy("archive").agg(F.count("member").alias("members"), F.sum(F.octet_length("member")).cast("long").alias("n_bytes"), F.count("error").alias("errors"))
 
 
-@query("SELECT page_id % 20 AS archive, 'd/p' || cast(page_id AS VARCHAR) || '.html' AS member_path, sha256(html) AS sha256 FROM pages")
+@query("SELECT page_id // 500 AS archive, 'd/p' || cast(page_id AS VARCHAR) || '.html' AS member_path, sha256(html) AS sha256 FROM pages")
 def archive_rezip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives opened, packed again and opened once more: each member's digest."""
     opened = archives.explode_archives(zipped_pages(spark, sf_dir))
@@ -216,8 +231,77 @@ def office_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return office.office_text(rows).select("doc_id", "text")
 
 
-@query("SELECT count(*) >= 14 AS has_files, true AS has_bytes FROM (VALUES " + ", ".join("(1)" for _ in range(14)) + ")")
+def _pptx(shapes: list[str]) -> bytes:
+    from xml.sax.saxutils import escape
+
+    spaces = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for n, shape in enumerate(shapes, 1):
+            z.writestr(f"ppt/slides/slide{n}.xml", f"<p:sld {spaces}><p:cSld><p:spTree><p:sp><p:txBody><a:p><a:r><a:t>{escape(shape)}</a:t></a:r></a:p></p:txBody></p:sp></p:spTree></p:cSld></p:sld>")
+    return out.getvalue()
+
+
+@query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10) || chr(10)) AS text FROM documents")
+def slides_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as slides, a slide a line, and read again."""
+    @F.pandas_udf("binary")
+    def as_pptx(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _pptx((t or "").split("\n")))
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", as_pptx("text").alias("content"), F.lit(mime.PPTX).alias("mime"))
+    return office.office_text(rows).select("doc_id", "text")
+
+
+FORMATS = ["application/x-tar", "application/gzip", "application/x-bzip2", "application/zstd", "application/x-7z-compressed", "application/zip"]
+
+
+def _packed(kind: int, name: str, data: bytes) -> bytes:
+    import bz2
+    import gzip
+    import tarfile
+
+    if kind == 0:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as t:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+    if kind == 3:
+        import zstandard
+
+        return zstandard.compress(data)
+    return [gzip.compress, bz2.compress][kind - 1](data) if kind in (1, 2) else data
+
+
+@query("""
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'p/' || cast(page_id AS VARCHAR) WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 'extracted_file' END AS member_path,
+  CASE WHEN page_id % 6 < 4 THEN sha256(html) END AS sha256, CASE page_id % 6 WHEN 4 THEN 'unsupported_archive' WHEN 5 THEN 'BadZipFile: File is not a zip file' END AS error FROM pages
+""")
+def archive_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as tar, gzip, bzip2 and zstd files, as a type without a reader, and as broken zip files: members, or errors as rows."""
+    @F.pandas_udf("binary")
+    def pack(page_id: pd.Series, html: pd.Series) -> pd.Series:
+        return pd.Series([_packed(i % 6, f"p/{i}", h.encode()) for i, h in zip(page_id, html)])
+
+    rows = table(spark, sf_dir, "pages").select("page_id", pack("page_id", "html").alias("content"), F.get(F.lit(FORMATS), (F.col("page_id") % 6).cast("int")).alias("mime"))
+    return archives.explode_archives(rows).select("page_id", "member_path", F.sha2("member", 256).alias("sha256"), "error")
+
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}.parquet' AS name, (SELECT count(*) FROM {t}) AS n_rows" for t in TABLES))
 def src_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files themselves, as bytes."""
-    found = files.read_files(spark, sf_dir, "*.parquet")
-    return found.agg((F.count("*") >= 14).alias("has_files"), (F.min("length") > 0).alias("has_bytes"))
+    """The table files themselves, as bytes: each file's name, and the rows that its whole bytes hold."""
+    @F.pandas_udf("long")
+    def rows_in(contents: pd.Series) -> pd.Series:
+        import pyarrow.parquet as pq
+
+        return contents.map(lambda c: pq.read_metadata(io.BytesIO(c)).num_rows)
+
+    found = files.read_files(spark, sf_dir, "*.parquet").withColumn("n_rows", rows_in("content"))
+    # a table may be one file or a folder of them
+    name = F.concat(F.regexp_extract("path", r"([^/]+)\.parquet(?:/[^/]*)?$", 1), F.lit(".parquet"))
+    return found.groupBy(name.alias("name")).agg(F.sum("n_rows").alias("n_rows"))

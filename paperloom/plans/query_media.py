@@ -146,6 +146,16 @@ def chunk_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("user_id", F.inline(chunks.chunk_intervals(d, F.col("cuts"), MAX_MS)))
 
 
+@query("SELECT event_id, 0 AS chunk_id, 0 AS start_ms, 1000 * (event_id % 600 + 1) AS end_ms FROM events")
+def short_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings not longer than the longest chunk, one as long: a chunk each, whatever the silences are."""
+    duration = (1000 * (F.col("event_id") % 600 + 1)).cast("long")
+    silence = F.array(F.struct((duration / 4).cast("long").alias("start_ms"), (duration / 2).cast("long").alias("end_ms")))
+    rows = table(spark, sf_dir, "events").select("event_id", duration.alias("duration_ms"), silence.alias("silences"))
+    planned = rows.withColumn("cuts", chunks.cut_points(F.col("duration_ms"), F.col("silences"), MIN_MS, MAX_MS))
+    return planned.select("event_id", F.inline(chunks.chunk_intervals(F.col("duration_ms"), F.col("cuts"), MAX_MS)))
+
+
 @query(f"""
 SELECT w.user_id, low, high, min(struct_pack(a := start_ms, b := end_ms)).a AS start_ms, min(struct_pack(a := start_ms, b := end_ms)).b AS end_ms FROM
 (SELECT user_id, k * 600000 + 300000 AS low, k * 600000 + 600000 AS high FROM (SELECT DISTINCT user_id FROM ({SILENCES_SQL})), range(6) r(k)) w

@@ -25,10 +25,10 @@ def task_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.final_states(states(spark, sf_dir), "user_id", "ts", "event_id", ["task_status", "result"])
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_custkey < 500 ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 20")
+@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 20")
 def task_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of a listing; the limit is the feature."""
-    rows = table(spark, sf_dir, "orders").where("o_custkey < 500").select("o_orderkey", "o_custkey", "o_orderdate")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return tasks.task_page(rows, [F.col("o_orderdate").desc(), F.col("o_orderkey")], offset=20, limit=10)
 
 
@@ -49,14 +49,14 @@ def job_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", status.alias("status")).withColumn("finished", tasks.is_terminal(F.col("status")))
 
 
-WEBHOOK_SQL = "SELECT event_id, ts, user_id AS task_id, CASE WHEN event_id % 5 <> 0 THEN 'job-' || cast(user_id + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR) END AS job_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'processing' ELSE 'completed' END AS status FROM events"
+WEBHOOK_SQL = "SELECT event_id, ts, user_id AS task_id, CASE WHEN event_id % 5 <> 0 THEN 'job-' || cast(user_id + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR) END AS job_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'processing' ELSE 'completed' END AS status, CASE WHEN event_id % 11 = 0 THEN 'error' ELSE 'completed' END AS route_status FROM events"
 OWN_SQL = "SELECT DISTINCT user_id AS task_id, CASE WHEN user_id % 10 <> 4 THEN 'job-' || cast(user_id AS VARCHAR) END AS task_job_id FROM events"
 
 
 def webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     job = F.when(n % 5 != 0, F.concat(F.lit("job-"), (user + F.when(n % 7 == 0, 1).otherwise(0)).cast("string")))
-    return table(spark, sf_dir, "events").select(n, "ts", user.alias("task_id"), job.alias("job_id"), F.when(kind == "error", "error").when(kind == "view", "processing").otherwise("completed").alias("status"))
+    return table(spark, sf_dir, "events").select(n, "ts", user.alias("task_id"), job.alias("job_id"), F.when(kind == "error", "error").when(kind == "view", "processing").otherwise("completed").alias("status"), F.when(n % 11 == 0, "error").otherwise("completed").alias("route_status"))
 
 
 def own_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def own_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT event_id, w.task_id, CASE WHEN task_job_id IS NULL AND status = 'error' THEN 'Transcription job ID is required' WHEN task_job_id IS NULL OR NOT coalesce(task_job_id = job_id, false) THEN 'Transcription job ID does not match'
+SELECT event_id, w.task_id, CASE WHEN task_job_id IS NULL THEN 'Transcription job ID is required' WHEN route_status = 'error' THEN '' WHEN job_id IS NULL OR task_job_id <> job_id THEN 'Transcription job ID does not match'
   WHEN status <> 'completed' THEN 'Transcription job status is error' ELSE 'ok' END AS outcome FROM ({WEBHOOK_SQL}) w LEFT JOIN ({OWN_SQL}) t ON t.task_id = w.task_id
 """)
 def webhook_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ def test_quota(spark):
     owed = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5), ("d", 5)], "user_id string, pages long")
     quotas = spark.createDataFrame([("a", Decimal(5), False), ("b", Decimal(4), False), ("c", None, True)], "user_id string, quota decimal(38,18), is_unlimited boolean")
     assert {r.user_id: r.allowed for r in billing.gate(owed, quotas, "user_id", F.col("pages")).collect()} == {"a": True, "b": False, "c": True, "d": False}
-    assert {r.user_id for r in plans.gated(owed, quotas, "user_id", "pages").collect()} == {"a", "c"}
+    assert {r.user_id: r.message for r in plans.gated(owed, quotas, "user_id", "pages").collect()} == {"a": None, "b": "insufficient_quota", "c": None, "d": "insufficient_quota"}
 
 
 def test_usage(spark):
@@ -108,8 +108,12 @@ def test_webhooks(spark):
     hooks = spark.createDataFrame([("t", "j", "completed", 2), ("t", "j", "completed", 1), ("t", "x", "completed", 1), ("n", "j", "completed", 1), ("n", None, "error", 1), ("t", "j", "error", 3), ("?", "j", "completed", 1)], "task_id string, job_id string, status string, ts int")
     own = spark.createDataFrame([("t", "j"), ("n", None)], "task_id string, task_job_id string")
     got = {(r.task_id, r.job_id, r.status): r.outcome for r in tasks.match_webhooks(hooks, own).collect()}
-    assert got["t", "j", "completed"] == "ok" and got["t", "x", "completed"] == got["n", "j", "completed"] == got["?", "j", "completed"] == "Transcription job ID does not match"
-    assert got["n", None, "error"] == "Transcription job ID is required" and got["t", "j", "error"] == "Transcription job status is error"
+    assert got["t", "j", "completed"] == "ok" and got["t", "x", "completed"] == "Transcription job ID does not match"
+    # a task without a job id, or no task at all: the same error for every webhook
+    assert {got["n", None, "error"], got["n", "j", "completed"], got["?", "j", "completed"]} == {"Transcription job ID is required"}
+    routed = tasks.match_webhooks(hooks.withColumn("route_status", F.lit("error")), own)
+    assert {(r.task_id, r.outcome) for r in routed.collect()} == {("t", ""), ("n", tasks.NO_JOB), ("?", tasks.NO_JOB)}
+    assert got["t", "j", "error"] == "Transcription job status is error"
     once = tasks.first_webhooks(hooks, "ts", "status", [])
     assert once.count() == 5 and once.where("task_id = 't' AND job_id = 'j'").first().ts == 1
 
@@ -180,3 +184,16 @@ def test_transcription_and_translation_plans(spark):
     assert r.merged.split("\n") == [f"7:0:0:{10 * MIN}", f"7:1:{10 * MIN}:{20 * MIN}", f"7:2:{20 * MIN}:{25 * MIN}"] and r.cost == 25 and r.job_id == "job-7-0"
     t = plans.translated(spark.createDataFrame([(1, " x "), (2, None)], "k int, text string"), "k", stub("t ")).collect()
     assert {r.k: (r.result, r.usage_amount) for r in t} == {1: ("t x", 1), 2: ("", 1)}
+
+
+def test_quotas_of_one_asset_and_variant(spark):
+    """Another variant's quota does not count; two rows of one fail; the raising form says what is missing."""
+    rows = [("a", "coin", "ocr", 1.0, False), ("a", "coin", "other", 99.0, False), ("b", "coin", "other", 99.0, True)]
+    quotas = spark.createDataFrame(rows, "user_id string, asset string, variant string, quota double, is_unlimited boolean")
+    owed = spark.createDataFrame([("a", 5, "ocr"), ("b", 1, "ocr"), ("a", 7, "direct")], "user_id string, pages int, route string")
+    gated = billing.gate(owed, quotas, "user_id", F.col("pages"), "coin", "ocr", F.col("route") == "direct")
+    assert sorted((r.user_id, r.pages, r.allowed) for r in gated.collect()) == [("a", 5, False), ("a", 7, True), ("b", 1, False)]
+    with pytest.raises(Exception, match="more than one quota"):
+        billing.gate(owed, quotas, "user_id", F.col("pages"), "coin").collect()
+    with pytest.raises(Exception, match="You have only 1.0 coins, while you need 5 coins"):
+        billing.required(gated.where("user_id = 'a'"), F.col("pages")).collect()
