@@ -138,11 +138,11 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[
         yield flush()
 
 
-def pack_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+def pack_blocks(rows: DataFrame, block_bytes: int, level: int = 5) -> DataFrame:
     """block, rows: one row a block, its rows compressed. The text is the last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))
         for name, table in _blocks_of(batches, block_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=options) as writer:

@@ -6,8 +6,9 @@ log(target / raw) over its n-grams divided by their number; it is kept if the sc
 `threshold`, a constant. A base rule comes before: too few words, or too many words in repeated
 windows, fail.
 
-N-grams do not share keys whatever the input's size: keys have as many bits as leave 2 ** SPARE_BITS
-of them to a counted n-gram. Frequent n-grams thus never cover for rare ones.
+Keys have as many bits as leave 2 ** SPARE_BITS of them to a counted n-gram, so some 20 or more to a
+distinct one, whatever the input's size: the share of rare n-grams that frequent ones cover for is
+small and does not grow with the corpus.
 
 Scale: the model is never in one place; see block_counts. Exchanged: the compressed text once, and
 per block and distinct n-gram about 2.5 bytes there and 1 back. The ids of all trusted documents,
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import block_counts as bc
 from paperloom.llm.words import Block, blocks, inside_words, mix, repeated, window_hashes
 
-SPARE_BITS = 5
+SPARE_BITS = 3
 THRESHOLD = -0.15
 PRIOR = 10
 MIN_WORDS = 20
@@ -177,7 +178,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | Non
     size, raw, target = (x or 0 for x in sizes.agg(F.sum("size"), F.sum("raw"), F.sum("target")).first())
     bits = bc.key_bits(raw, spare_bits)
 
-    packed = bc.pack_blocks(documents.select(*keep, F.col(id_col).cast("long").alias("\tid"), F.col(text_col).alias("\ttext")), block_bytes)
+    packed = bc.pack_blocks(documents.select(*keep, F.col(id_col).cast("long").alias("\tid"), F.col(text_col).alias("\ttext")), block_bytes, level=9)
     answers = bc.answered(bc.asked(packed, _grams(trusted, bits), _KINDS, bc.n_ranges(size)), _KINDS)
     score = _score(len(keep), keep + names, threshold, bits, raw / target if target else 0.0)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
