@@ -6,14 +6,16 @@ that share a band hash are candidates; candidates are verified on their full shi
 
 Documents with equal sets are one node, however many there are. Every bucket of a band gives a
 star of candidate edges around its least node, never all pairs, and connected candidates form a
-group. A group is verified exhaustively inside tasks: at most BLOCK nodes meet in one task, a
-larger group is cut into parts of that size and every two parts meet in a task of their own, so
-no group lands in one task and pairs are counted, not emitted. Because every pair of a group is
-verified, no link found by any band is lost to a bucket's size.
+group. A group is verified exhaustively inside tasks: a group of more than BLOCK nodes or
+BLOCK_SHINGLES shingles is cut into parts of about that size and every two parts meet in a task of
+their own, so no group lands in one task and pairs are counted, not emitted. Because every pair of
+a group is verified, no link found by any band is lost to a bucket's size. (Verifying bucket by
+bucket would send a document's shingles once for each of its bands; a group sends them once.)
 
 Scale: two narrow passes over the texts; the second takes only documents that have candidates,
 after a join on doc_id that carries their text once. Band rows are 24 bytes. Nodes and classes are
-64-bit digests of shingle sets. Components are found by distributed contraction.
+64-bit digests of shingle sets. Components are found by distributed contraction. Small groups are
+bundled by their shingles, some BUNDLE_SHINGLES a task, however long their texts are.
 
 Result: one row per document: doc_id; class_id, the least doc_id of its connected component;
 n_links, the number of other documents of similarity 0.8 or more; copy_id, the least doc_id
@@ -43,7 +45,8 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 320
 BLOCK = 256
-BUNDLE = 2_000
+BLOCK_SHINGLES = 1 << 20
+BUNDLE_SHINGLES = 1 << 20
 _VALUE_BITS = 44
 
 
@@ -107,7 +110,8 @@ def _signer(width: int, bands: int, rows_each: int):
                 counts = np.zeros(high - low + 1, dtype=np.int32)
                 counts[rows[first] + 1] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(nodes), lists], names=["doc_id", "node", "bands"])
+                sizes = np.bincount(rows, minlength=high - low)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(nodes), pa.array(sizes, pa.int64()), lists], names=["doc_id", "node", "size", "bands"])
 
     return run
 
@@ -193,24 +197,25 @@ def _verifier(threshold: float):
     return run
 
 
-def ngram_jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, recall: float = RECALL, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     bands, rows_each = choose_bands(threshold, recall)
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    signed = cut(documents.mapInArrow(_signer(width, bands, rows_each), "doc_id long, node long, bands array<long>"), "signatures")
-    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
+    signed = cut(documents.mapInArrow(_signer(width, bands, rows_each), "doc_id long, node long, size long, bands array<long>"), "signatures")
+    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
 
     banded = nodes.select(F.explode("bands").alias("key"), "node")
     stars = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key", "a")
     groups = connected_components(banded.join(stars, "key").select("a", F.col("node").alias("b")))
 
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = nodes.select("node", "copy_id", "copies").join(groups, "node").join(sizes, "component")
-    read = documents.join(members.withColumnRenamed("copy_id", "doc_id"), "doc_id").select("text", "node", "component", "copies", "n")
-    sets = read.mapInArrow(_reader(width), "node long, component long, copies long, n long, shingles array<long>")
-    parts = F.ceil(F.col("n") / block).cast("long")
-    n_bundles = max(1, -(-groups.count() // BUNDLE))
+    grouped = nodes.select("node", "copy_id", "copies", "size").join(groups, "node")
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_shingles)).cast("long")
+    sizes = cut(grouped.groupBy("component").agg(parts.alias("parts"), F.sum("size").alias("size")), "groups")
+    n_bundles = max(1, -(-(sizes.where("parts = 1").agg(F.sum("size")).first()[0] or 0) // BUNDLE_SHINGLES))
+    members = grouped.drop("size").join(sizes.drop("size"), "component")
+    read = documents.join(members.withColumnRenamed("copy_id", "doc_id"), "doc_id").select("text", "node", "component", "copies", "parts")
+    sets = read.mapInArrow(_reader(width), "node long, component long, copies long, parts long, shingles array<long>")
     dealt = (
-        sets.withColumn("parts", parts)
+        sets
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         .withColumn("i", F.least("part", "other"))

@@ -42,8 +42,8 @@ def test_empty_table(empty):
     assert nj.ngram_jaccard_join(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_groups_of_near_copies_whole_and_cut_into_parts(spark, block):
+@pytest.mark.parametrize("block, block_shingles", [(256, 1 << 20), (8, 1 << 20), (256, 900)])
+def test_groups_of_near_copies_whole_and_cut_into_parts(spark, block, block_shingles):
     r, rows = random.Random(3), []
     for g in range(4):
         base = prose(100 + g, 150).split(" ")
@@ -54,7 +54,7 @@ def test_groups_of_near_copies_whole_and_cut_into_parts(spark, block):
             rows.append((1000 * g + k, " ".join(text)))
     rows += [(9000 + k, rows[30][1]) for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert found(nj.ngram_jaccard_join(df, block=block)) == brute(rows)
+    assert found(nj.ngram_jaccard_join(df, block=block, block_shingles=block_shingles)) == brute(rows)
 
 
 def test_bands_reach_the_recall():
