@@ -103,8 +103,21 @@ def cuts(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
 
 def distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Keys and counts of several (keys, counts, ...) merged: ascending keys, summed counts."""
-    found, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return found, [np.bincount(place, weights=np.concatenate([p[j] for p in parts]), minlength=len(found)).astype(np.int64) for j in range(1, len(parts[0]))]
+    order, first, found = _ordered([p[0] for p in parts])
+    if not len(found):
+        return found, [np.empty(0, np.int64) for _ in parts[0][1:]]
+    return found, [np.add.reduceat(np.concatenate([p[j] for p in parts])[order], first, dtype=np.int64) for j in range(1, len(parts[0]))]
+
+
+def _ordered(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts all keys (each array ascends, so runs are merged), where each distinct one then begins, and those."""
+    whole = np.concatenate(keys)
+    order = np.argsort(whole, kind="stable")
+    if len(order) < 1 << 32:
+        order = order.astype(np.uint32)
+    whole = whole[order]
+    first = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1]))) if len(whole) else np.empty(0, np.int64)
+    return order, first, whole[first]
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[bytes, pa.Table]]:
@@ -183,14 +196,18 @@ def answered(asks: DataFrame, kinds: Kinds, sums: Callable[[dict[str, list[np.nd
         totals: dict[str, list[np.ndarray]] = {}
         for kind, n in kinds.items():
             each = [unpack_keys(x.as_py()) for x in table[kind]]
-            found, place = np.unique(np.concatenate(each), return_inverse=True)
             ends = np.cumsum([len(k) for k in each])[:-1]
+            order, first, found = _ordered(each)
             del each
-            counts = [unpack_counts(x.as_py(), n) for x in table[f"{kind}_counts"]]
-            # sums of floats are exact to 2 ** 53
-            totals[kind] = [np.bincount(place, weights=np.concatenate([c[j] for c in counts]), minlength=len(found)).astype(np.int64) for j in range(n)]
-            del counts
-            out.append([pack_counts([t[p] for t in totals[kind]]) for p in np.split(place, ends)])
+            place = np.empty(len(order), dtype=order.dtype)
+            place[order] = np.repeat(np.arange(len(first), dtype=order.dtype), np.diff(np.append(first, len(order))))
+            del order, first
+            places = np.split(place, ends)
+            totals[kind] = [np.zeros(len(found), dtype=np.int64) for _ in range(n)]
+            for p, x in zip(places, table[f"{kind}_counts"]):
+                for total, c in zip(totals[kind], unpack_counts(x.as_py(), n)):
+                    total[p] += c  # a block has a key once
+            out.append([pack_counts([t[p] for t in totals[kind]]) for p in places])
         more = [pa.array([int(x)] * table.num_rows, pa.int64()) for x in (sums(totals) if sums else [])]
         return pa.table([table["block"], table["range"], *(pa.array(x, pa.binary()) for x in out), *more], names=[*names, *sum_names])
 

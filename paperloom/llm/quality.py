@@ -95,6 +95,11 @@ def base_measures(block: Block) -> dict[str, np.ndarray]:
     return out
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Integers that are not negative, held in 4 bytes where they fit."""
+    return x.astype(np.uint32) if int(x.max(initial=0)) < 1 << 32 else x
+
+
 def _is_trusted(ids: pa.Array, trusted: np.ndarray) -> np.ndarray:
     found = np.isin(ids.fill_null(-1).to_numpy(zero_copy_only=False), trusted)
     return found & ids.is_valid().to_numpy(zero_copy_only=False)
@@ -131,15 +136,16 @@ def _grams(trusted, bits: int):
         for low, _, block in blocks(texts):
             keys, rows = ngram_buckets(block, bits)
             found, place = np.unique(keys, return_inverse=True)
-            parts.append((found, np.bincount(place, minlength=len(found)), np.bincount(place[of_target[rows + low]], minlength=len(found))))
+            counts = np.bincount(place, minlength=len(found)), np.bincount(place[of_target[rows + low]], minlength=len(found))
+            parts.append((found, *(_narrow(c) for c in counts)))
         found, counts = bc.distinct(parts)
         return {"grams": (found, bits, counts)}
 
     return run
 
 
-def _score(n_keep: int, schema_names: list[str], threshold: float, bits: int, scale: float):
-    names = schema_names[n_keep:]
+def _score(kept_at: list[int], schema_names: list[str], threshold: float, bits: int, scale: float):
+    names = schema_names[len(kept_at) :]
     reordered = "documents came in another order when they were read again; write the table first"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -147,7 +153,11 @@ def _score(n_keep: int, schema_names: list[str], threshold: float, bits: int, sc
             raise ValueError(reordered)
         table = bc.open_block(left["rows"][0])
         texts = table.column(table.num_columns - 1)
-        each = [(block, *np.unique(keys, return_inverse=True), rows) for _, _, block in blocks(texts) for keys, rows in [ngram_buckets(block, bits)]]
+        each = []
+        for _, _, block in blocks(texts):
+            keys, rows = ngram_buckets(block, bits)
+            own, place = np.unique(keys, return_inverse=True)
+            each.append((block, own, _narrow(place), _narrow(rows)))
         found = np.unique(np.concatenate([x[1] for x in each]))
         raw, target = bc.totals_of(right, _KINDS)["grams"]
         if len(raw) != len(found):
@@ -162,7 +172,7 @@ def _score(n_keep: int, schema_names: list[str], threshold: float, bits: int, sc
         out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED_PERCENT * out["n_words"])
         out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
-        return pa.table([table.column(i) for i in range(n_keep)] + [pa.array(out[k]) for k in names], names=schema_names)
+        return pa.table([table.column(i) for i in kept_at] + [pa.array(out[k]) for k in names], names=schema_names)
 
     return run
 
@@ -178,7 +188,10 @@ def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | Non
     size, raw, target = (x or 0 for x in sizes.agg(F.sum("size"), F.sum("raw"), F.sum("target")).first())
     bits = bc.key_bits(raw, spare_bits)
 
-    packed = bc.pack_blocks(documents.select(*keep, F.col(id_col).cast("long").alias("\tid"), F.col(text_col).alias("\ttext")), block_bytes, level=9)
+    # a kept text travels once: it is the last column of a block
+    other = [c for c in keep if c != text_col]
+    kept_at = [other.index(c) if c != text_col else len(other) + 1 for c in keep]
+    packed = bc.pack_blocks(documents.select(*other, F.col(id_col).cast("long").alias("\tid"), F.col(text_col).alias("\ttext")), block_bytes, level=9)
     answers = bc.answered(bc.asked(packed, _grams(trusted, bits), _KINDS, bc.n_ranges(size)), _KINDS)
-    score = _score(len(keep), keep + names, threshold, bits, raw / target if target else 0.0)
+    score = _score(kept_at, keep + names, threshold, bits, raw / target if target else 0.0)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
