@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from paperloom.llm.words import blocks
+from paperloom.llm.words import blocks, release_memory
 
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
@@ -169,22 +169,39 @@ def open_block(packed: bytes | pa.BinaryScalar) -> pa.Table:
     return pa.ipc.open_stream(packed.as_py() if isinstance(packed, pa.Scalar) else packed).read_all()
 
 
-def asked(packed: DataFrame, grams: Callable[[pa.Table], Grams], kinds: Kinds, ranges: int) -> DataFrame:
-    """Of each block and hash range, the keys with the block's counts. packed: block, rows."""
+def _asks(blocks_in: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[bytes, pa.Table]]], rows: DataFrame, grams: Callable[[pa.Table], Grams], kinds: Kinds, ranges: int) -> DataFrame:
     names = ["range", "block", *kinds, *(f"{kind}_counts" for kind in kinds)]
 
+    def ask(name: bytes, found: Grams) -> pa.RecordBatch:
+        at = {kind: cuts(found[kind][0], found[kind][1], ranges) for kind in kinds}
+        used = np.flatnonzero(sum(np.diff(x) for x in at.values()))
+        each = {kind: [slice(x[r], x[r + 1]) for r in used] for kind, x in at.items()}
+        columns = [[pack_keys(found[kind][0][p]) for p in each[kind]] for kind in kinds]
+        columns += [[pack_counts([c[p] for c in found[kind][2]]) for p in each[kind]] for kind in kinds]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([name] * len(used), pa.binary()), *(pa.array(c, pa.binary()) for c in columns)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, table in blocks_in(batches):
+            yield ask(name, grams(table))
+        release_memory()
+
+    return rows.mapInArrow(run, ", ".join(["range int", *(f"{n} binary" for n in names[1:])]))
+
+
+def asked(packed: DataFrame, grams: Callable[[pa.Table], Grams], kinds: Kinds, ranges: int) -> DataFrame:
+    """Of each block and hash range, the keys with the block's counts. packed: block, rows."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Table]]:
         for batch in batches:
             for name, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = grams(open_block(rows))
-                at = {kind: cuts(found[kind][0], found[kind][1], ranges) for kind in kinds}
-                used = np.flatnonzero(sum(np.diff(x) for x in at.values()))
-                each = {kind: [slice(x[r], x[r + 1]) for r in used] for kind, x in at.items()}
-                columns = [[pack_keys(found[kind][0][p]) for p in each[kind]] for kind in kinds]
-                columns += [[pack_counts([c[p] for c in found[kind][2]]) for p in each[kind]] for kind in kinds]
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([name] * len(used), pa.binary()), *(pa.array(c, pa.binary()) for c in columns)], names=names)
+                yield name, open_block(rows)
+
+    return _asks(opened, packed, grams, kinds, ranges)
+
 
-    return packed.mapInArrow(run, ", ".join(["range int", *(f"{n} binary" for n in names[1:])]))
+def asked_of_rows(rows: DataFrame, block_bytes: int, grams: Callable[[pa.Table], Grams], kinds: Kinds, ranges: int) -> DataFrame:
+    """As `asked` of `pack_blocks` of the same rows, in one Python worker a task and without packing."""
+    return _asks(lambda batches: _blocks_of(batches, block_bytes), rows, grams, kinds, ranges)
 
 
 def answered(asks: DataFrame, kinds: Kinds, sums: Callable[[dict[str, list[np.ndarray]]], list[int]] | None = None, sum_names: tuple[str, ...] = ()) -> DataFrame:
@@ -208,6 +225,7 @@ def answered(asks: DataFrame, kinds: Kinds, sums: Callable[[dict[str, list[np.nd
                 for total, c in zip(totals[kind], unpack_counts(x.as_py(), n)):
                     total[p] += c  # a block has a key once
             out.append([pack_counts([t[p] for t in totals[kind]]) for p in places])
+        release_memory()
         more = [pa.array([int(x)] * table.num_rows, pa.int64()) for x in (sums(totals) if sums else [])]
         return pa.table([table["block"], table["range"], *(pa.array(x, pa.binary()) for x in out), *more], names=[*names, *sum_names])
 

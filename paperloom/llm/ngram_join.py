@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.components import connected_components
 from paperloom.llm.shared import cut
-from paperloom.llm.words import Block, blocks, mix, window_hashes
+from paperloom.llm.words import Block, blocks, mix, release_memory, window_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -112,6 +112,7 @@ def _signer(width: int, bands: int, rows_each: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                 sizes = np.bincount(rows, minlength=high - low)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(nodes), pa.array(sizes, pa.int64()), lists], names=["doc_id", "node", "size", "bands"])
+        release_memory()
 
     return run
 
@@ -129,6 +130,7 @@ def _reader(width: int):
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
                 rest = [batch.column(i).slice(low, high - low).take(pa.array(same)) for i in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, lists], names=[*batch.schema.names[1:], "shingles"])
+        release_memory()
 
     return run
 
@@ -192,6 +194,7 @@ def _verifier(threshold: float):
                 links &= part[a:b, None] != part[None, a:b]
             n_links[a:b] = links @ copies[a:b]
             root[a:b] = node[a:b][_roots(links)]
+        release_memory()
         return pa.table({"node": node, "n_links": n_links, "root": root})
 
     return run

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.words import release_memory
+
 CAPACITY = 2048
 GROUP_PIECES = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -94,6 +96,8 @@ def encode_pieces(documents: DataFrame, make: Callable[[], Callable[[str], np.nd
                     docs.append(doc_id), piece.append(k), start.append(a), length.append(b - a)
                     crc.append(zlib.crc32(ids[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del encode
+        release_memory()
 
     return documents.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, PIECES)
 

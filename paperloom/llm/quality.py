@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import block_counts as bc
-from paperloom.llm.words import Block, blocks, inside_words, mix, repeated, window_hashes
+from paperloom.llm.words import Block, blocks, inside_words, mix, release_memory, repeated, window_hashes
 
 SPARE_BITS = 3
 THRESHOLD = -0.15
@@ -170,6 +170,8 @@ def _score(kept_at: list[int], schema_names: list[str], threshold: float, bits:
             total = np.bincount(rows, weights=model[np.searchsorted(found, keys)][place], minlength=n)
             parts.append({"score": total / np.maximum(np.bincount(rows, minlength=n), 1)} | base_measures(block))
         out = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        del each
+        release_memory()
         out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEATED_PERCENT * out["n_words"])
         out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
         return pa.table([table.column(i) for i in kept_at] + [pa.array(out[k]) for k in names], names=schema_names)
@@ -191,7 +193,8 @@ def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | Non
     # a kept text travels once: it is the last column of a block
     other = [c for c in keep if c != text_col]
     kept_at = [other.index(c) if c != text_col else len(other) + 1 for c in keep]
-    packed = bc.pack_blocks(documents.select(*other, F.col(id_col).cast("long").alias("\tid"), F.col(text_col).alias("\ttext")), block_bytes, level=9)
-    answers = bc.answered(bc.asked(packed, _grams(trusted, bits), _KINDS, bc.n_ranges(size)), _KINDS)
+    rows = documents.select(*other, F.col(id_col).cast("long").alias("\tid"), F.col(text_col).alias("\ttext"))
+    packed = bc.pack_blocks(rows, block_bytes, level=9)
+    answers = bc.answered(bc.asked_of_rows(rows, block_bytes, _grams(trusted, bits), _KINDS, bc.n_ranges(size)), _KINDS)
     score = _score(kept_at, keep + names, threshold, bits, raw / target if target else 0.0)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)

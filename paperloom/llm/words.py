@@ -7,6 +7,7 @@ Hashes have 64 bits and depend on the bytes alone.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -164,3 +165,11 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     twice = twice[np.concatenate(([True], twice[1:] != twice[:-1]))]
     at = np.minimum(np.searchsorted(twice, keys), len(twice) - 1)
     return twice[at] == keys
+
+
+def release_memory() -> None:
+    """Return what this Python worker holds unused: it stays alive beside the workers of other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
