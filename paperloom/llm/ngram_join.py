@@ -15,7 +15,7 @@ bucket would send a document's shingles once for each of its bands; a group send
 Scale: two narrow passes over the texts; the second takes only documents that have candidates,
 after a join on doc_id that carries their text once. Band rows are 24 bytes. Nodes and classes are
 64-bit digests of shingle sets. Components are found by distributed contraction. Small groups are
-bundled by their shingles, some BUNDLE_SHINGLES a task, however long their texts are.
+bundled, some BUNDLE nodes or BUNDLE_SHINGLES shingles at a time, however long their texts are.
 
 Result: one row per document: doc_id; class_id, the least doc_id of its connected component;
 n_links, the number of other documents of similarity 0.8 or more; copy_id, the least doc_id
@@ -46,6 +46,7 @@ RECALL = 0.9999
 MAX_HASHES = 320
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
+BUNDLE = 500
 BUNDLE_SHINGLES = 1 << 20
 _VALUE_BITS = 44
 
@@ -212,9 +213,10 @@ def ngram_jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, width
 
     grouped = nodes.select("node", "copy_id", "copies", "size").join(groups, "node")
     parts = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_shingles)).cast("long")
-    sizes = cut(grouped.groupBy("component").agg(parts.alias("parts"), F.sum("size").alias("size")), "groups")
-    n_bundles = max(1, -(-(sizes.where("parts = 1").agg(F.sum("size")).first()[0] or 0) // BUNDLE_SHINGLES))
-    members = grouped.drop("size").join(sizes.drop("size"), "component")
+    sizes = cut(grouped.groupBy("component").agg(parts.alias("parts"), F.count("*").alias("n"), F.sum("size").alias("size")), "groups")
+    n_small, shingles = (x or 0 for x in sizes.where("parts = 1").agg(F.sum("n"), F.sum("size")).first())
+    n_bundles = max(1, -(-n_small // BUNDLE), -(-shingles // BUNDLE_SHINGLES))
+    members = grouped.drop("size").join(sizes.select("component", "parts"), "component")
     read = documents.join(members.withColumnRenamed("copy_id", "doc_id"), "doc_id").select("text", "node", "component", "copies", "parts")
     sets = read.mapInArrow(_reader(width), "node long, component long, copies long, parts long, shingles array<long>")
     dealt = (
