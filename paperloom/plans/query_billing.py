@@ -27,9 +27,9 @@ def quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
 COIN = {"asset": "coin", "variant": "ocr"}
 
 
-@query(f"SELECT event_id, e.user_id, coalesce(is_unlimited, false) OR coalesce(quota >= cast(value * 10 AS BIGINT), false) AS allowed FROM events e LEFT JOIN ({QUOTA_SQL}) q ON q.user_id = e.user_id")
+@query(f"SELECT event_id, e.user_id, coalesce(is_unlimited, false) OR coalesce(quota >= cast(floor(value * 10) AS BIGINT), false) AS allowed FROM events e LEFT JOIN ({QUOTA_SQL}) q ON q.user_id = e.user_id")
 def quota_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tasks = table(spark, sf_dir, "events").select("event_id", "user_id", F.round(F.col("value") * 10).cast("long").alias("pages"))
+    tasks = table(spark, sf_dir, "events").select("event_id", "user_id", F.floor(F.col("value") * 10).alias("pages"))
     return billing.gate(tasks, quotas(spark, sf_dir), "user_id", F.col("pages"), **COIN).select("event_id", "user_id", "allowed")
 
 
@@ -43,7 +43,7 @@ SELECT event_id, CASE WHEN kind = 'direct' THEN 'completed' WHEN pages = 0 OR NO
   CASE WHEN kind = 'direct' THEN NULL WHEN pages = 0 THEN 'Failed to prepare pages for file type: ' || mime WHEN NOT allowed THEN 'insufficient_quota' END AS message,
   kind <> 'direct' AND pages > 0 AND allowed AS metered
 FROM (SELECT event_id, pages, kind, mime, coalesce(is_unlimited, false) OR coalesce(quota >= pages, false) AS allowed FROM
-  (SELECT event_id, user_id, cast(value * 10 AS BIGINT) % 400 AS pages, CASE WHEN event_type = 'signup' THEN 'direct' ELSE 'ocr' END AS kind, CASE WHEN event_type = 'view' THEN 'image/png' ELSE 'application/pdf' END AS mime FROM events) e
+  (SELECT event_id, user_id, cast(floor(value * 10) AS BIGINT) % 400 AS pages, CASE WHEN event_type = 'signup' THEN 'direct' ELSE 'ocr' END AS kind, CASE WHEN event_type = 'view' THEN 'image/png' ELSE 'application/pdf' END AS mime FROM events) e
   LEFT JOIN ({QUOTA_SQL}) q ON q.user_id = e.user_id)
 """
 
@@ -54,7 +54,7 @@ def ocr_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     route = F.when(kind == "signup", "direct").otherwise("ocr").alias("route")
     mime = F.when(kind == "view", "image/png").otherwise("application/pdf").alias("mime")
-    tasks = table(spark, sf_dir, "events").select("event_id", "user_id", (F.round(F.col("value") * 10).cast("long") % 400).alias("pages"), route, mime)
+    tasks = table(spark, sf_dir, "events").select("event_id", "user_id", (F.floor(F.col("value") * 10) % 400).alias("pages"), route, mime)
     gated = billing.gate(tasks, quotas(spark, sf_dir), "user_id", F.col("pages"), **COIN, bypass=F.col("route") == "direct")
     return pages.task_outcomes(gated).select("event_id", "task_status", "message", "metered")
 
