@@ -37,13 +37,19 @@ _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _MARKUP = re.compile(r"[>\"']")
 _NOT_LETTER = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"\d")
+#: A reference to a number far beyond the last code point; converting thousands of digits would fail.
+_LONG_REFERENCE = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{7,});?")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 #: Elements without an end tag; elements whose content is not text; elements that stay inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OPAQUE = frozenset("script style template noscript iframe svg math object select textarea".split())
+#: Of these, the first end at their end tag alone; in the others a block's tag ends what has no end tag, and always in a drawing or a formula.
+RAW, DRAWN = frozenset("script style".split()), frozenset("svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_BLOCK_TAG = re.compile(r"<(?:/?(?:p|div|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|td|th|section|article|main|header|footer|nav|aside|blockquote|pre|form|figure)|/(?:body|html))(?=[\s/>])", re.I)
+_LINK_TAG = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _LIMIT = frozenset("html body table ul ol dl div section article main aside nav header footer form blockquote".split())
 MARK = "\ue000"  # stands in training pages where main text begins a block
 
@@ -120,6 +126,13 @@ class _Scanner:
         self.page, self.at, self.quotes = page, 0, True
         self.last_quote = {'"': page.rfind('"'), "'": page.rfind("'")}
         self.last_end = page.rfind(">")
+        self.ahead: dict[object, re.Match[str] | None] = {}
+
+    def following(self, key: object, pattern: str | re.Pattern[str]) -> re.Match[str] | None:
+        """The next match from here on; each is searched for once, so that all calls together read the page once a pattern."""
+        if key not in self.ahead or (self.ahead[key] and self.ahead[key].start() < self.at):
+            self.ahead[key] = re.compile(pattern, re.I).search(self.page, self.at) if isinstance(pattern, str) else pattern.search(self.page, self.at)
+        return self.ahead[key]
 
     def tag_end(self, at: int) -> int:
         """The place of the sign that ends a tag; a sign within quotes that close does not. -1 if the page ends before."""
@@ -160,23 +173,35 @@ class _Scanner:
         return page[low:], "", False, ""
 
     def skip(self, name: str) -> None:
-        """On past the end tag of an element whose content is no text."""
-        m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(self.page, self.at)
-        end = self.page.find(">", m.end()) if m else -1
+        """On past the end tag of an element whose content is no text, or to the block's tag that ends it."""
+        close = self.following(f"/{name}", rf"</{name}(?=[\s/>])")
+        if name not in RAW and (close is None or name in DRAWN):
+            block = self.following("block", _BLOCK_TAG)
+            foreign = close is not None and (f := self.following("foreign", r"<foreignobject")) is not None and f.start() < close.start()
+            if block is not None and not foreign and (close is None or block.start() < close.start()):
+                self.at = block.start()
+                return
+        end = self.page.find(">", close.end()) if close else -1
         self.at = end + 1 if end >= 0 else len(self.page)
 
+    def link_closes(self) -> bool:
+        """Whether a link that opens here has an end tag of its own."""
+        found = self.following("link", _LINK_TAG)
+        return found is not None and found[1] == "/"
+
 
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks in page order, each with the innermost element that is open."""
     out: list[Block] = []
     pieces: list[str] = []
     opened, scanner = _OpenElements(), _Scanner(page)
-    linked = links = 0
+    linked = links = 0  # a link is 2 up to its end tag, 1 up to its block's end where it has none
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, links
+        links = 0 if links == 1 else links
         if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
+            text = " ".join(html.unescape(_LONG_REFERENCE.sub("\ufffd", "".join(pieces))).split())
             pieces.clear()
             if text:
                 out.append(Block(opened.stack[-1] if opened.stack else None, text, linked))
@@ -196,7 +221,7 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if name in INLINE:
             if name == "a":
-                links = 0 if ending else 1
+                links = 0 if ending else 2 if scanner.link_closes() else 1
             continue
         flush()
         if name in VOID:
@@ -412,9 +437,9 @@ def training_pages(n: int = 300, seed: int = 11) -> list[str]:
             ]
         )()
 
-    def article() -> str:
-        parts = [f"<h1>{MARK}{words(3, 10)}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.randint(1, 10)):
+    def article(bare: bool = False) -> str:
+        parts = [f"<h1>{MARK}{words(3, 10)}</h1>"] if r.random() < (0.3 if bare else 0.85) else []
+        for _ in range(r.choice([1, 1, 2, 3, 5]) if bare else r.randint(1, 10)):
             kind = r.random()
             if kind < 0.68:
                 parts.append(f"<p>{prose(MARK)}</p>")
@@ -432,10 +457,19 @@ def training_pages(n: int = 300, seed: int = 11) -> list[str]:
                 parts.append(f"<figure><img src=x><figcaption>{prose(MARK)}</figcaption></figure>")
             else:
                 parts.append(f"<div>{prose(MARK)}</div>")
-            if r.random() < 0.2:
+            if r.random() < (0.05 if bare else 0.2):
                 parts.append(extra())
         return "".join(parts)
 
+    def bare_page() -> str:
+        """An article and hardly anything else."""
+        body = article(True)
+        body = r.choice(["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "{}", "{}"]).format(body)
+        head = r.choice(["", "<head></head>", f"<head><title>{words(2, 6)}</title></head>"])
+        out = box(["nav", "header"], "menu", link_list()) if r.random() < 0.15 else ""
+        foot = box(["footer", "div"], "footer", f"&copy; {word()}") if r.random() < 0.2 else ""
+        return f"<html>{head}<body>{out}{body}{foot}</body></html>"
+
     def page() -> str:
         title = words(3, 8)
         head = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{title}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>"
@@ -466,7 +500,7 @@ def training_pages(n: int = 300, seed: int = 11) -> list[str]:
         whole = head + "".join(out) + body + "".join(after) + foot
         return whole if r.random() < 0.1 else whole + "</body></html>"
 
-    return [page() for _ in range(n)]
+    return [bare_page() if k % 6 == 5 else page() for k in range(n)]
 
 
 _fitted: list[BlockModel] = []

@@ -68,8 +68,8 @@ def test_table(spark, sf_dir):
 
 @pytest.mark.parametrize(
     "page",
-    ["<a " * 330_000, "<x>" * 100_000, '<div class="a b">' * 60_000 + "t" + "</div>" * 60_000, "<x-a>" * 60_000 + "</x-b>" * 60_000, '<a ">' * 200_000, "<script>" + "</script" * 120_000, "<p><table>" + "<x-q>" * 100_000, "<" * 1_000_000, '<div class="' + 'class=" ' * 100_000 + ">"],
-    ids=["open tags", "nested", "nested with words", "stray ends", "quotes", "script ends", "open paragraph", "signs", "attributes"],
+    ["<a " * 330_000, "<x>" * 100_000, '<div class="a b">' * 60_000 + "t" + "</div>" * 60_000, "<x-a>" * 60_000 + "</x-b>" * 60_000, '<a ">' * 200_000, "<script>" + "</script" * 120_000, "<p><table>" + "<x-q>" * 100_000, "<" * 1_000_000, "<svg><p>" * 100_000, "<iframe><a>" * 90_000, '<div class="' + 'class=" ' * 100_000 + ">"],
+    ids=["open tags", "nested", "nested with words", "stray ends", "quotes", "script ends", "open paragraph", "signs", "drawings", "frames", "attributes"],
 )
 def test_hostile_pages_take_seconds(page):
     """A megabyte of each; a quadratic pass would take minutes."""
@@ -108,3 +108,66 @@ def test_pages_written_by_hand():
         got, wanted = Counter(text(page).split()), Counter(expected.split())
         hit, found, truth = hit + (got & wanted).total(), found + got.total(), truth + wanted.total()
     assert hit >= 0.95 * found and hit >= 0.95 * truth, (hit, found, truth)
+
+
+ONE = "The river rose by a metre on Sunday night, and many roads were closed."
+TWO = "Rain is expected until Thursday, said the office in the morning news."
+THREE = "People were asked to stay at home and to keep away from the bridges."
+
+
+@pytest.mark.parametrize(
+    "body, expected",
+    [
+        (f"<article><p>{ONE}</p></article>", ONE),
+        (f"<article><p>{ONE}</p><p>{TWO}</p><p>{THREE}</p></article>", f"{ONE} {TWO} {THREE}"),
+        (f"<p>{ONE}</p>", ONE),
+        (f"<p>{ONE}</p><p>{TWO}</p><p>{THREE}</p>", f"{ONE} {TWO} {THREE}"),
+        (f"<main><p>{ONE}</p></main>", ONE),
+        (f"<article><h1>Flood</h1><p>{ONE}</p><svg><path d='x'><p>{TWO}</p><p>{THREE}</p></article>", f"Flood {ONE} {TWO} {THREE}"),
+        (f"<article><h1>Flood</h1><p>{ONE}</p><iframe src=x><p>{TWO}</p><p>{THREE}</p></article>", f"Flood {ONE} {TWO} {THREE}"),
+        (f"<article><h1>Flood</h1><p>{ONE} <a href=x>more</p><p>{TWO}</p><p>{THREE}</p></article>", f"Flood {ONE} more {TWO} {THREE}"),
+        (f"<article><h1>Flood</h1><p>{ONE}</p><svg><text>drawn</text></svg><p>{TWO}</p></article>", f"Flood {ONE} {TWO}"),
+    ],
+    ids=["one block", "no heading", "plain body of one", "plain body", "main of one", "open drawing", "open frame", "open link", "drawing"],
+)
+def test_no_main_text_is_lost(body, expected):
+    assert text(f"<html><body>{body}</body></html>") == expected
+
+
+@pytest.mark.parametrize("digits", ["9" * 5000, "x" + "9" * 5000, "X" + "0" * 5000 + "f" * 8])
+def test_references_of_many_digits(spark, digits):
+    page = f"<html><body><article><h1>Flood</h1><p>{ONE} &#{digits}; x</p></article></body></html>"
+    assert text(page) == f"Flood {ONE} \ufffd x"
+    assert ex.extract_main_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text == text(page)
+
+
+def test_blocks_against_the_standard_parser(spark, sf_dir):
+    """All text of the blocks of the whole table is what the standard library's parser finds outside scripts and the like."""
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.hidden = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ex.OPAQUE:
+                self.hidden.append(tag)
+            if tag not in ex.INLINE:
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if self.hidden and tag == self.hidden[-1]:
+                self.hidden.pop()
+            if tag not in ex.INLINE:
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        parser = Texts()
+        parser.feed(row.html or "")
+        parser.close()
+        assert " ".join(b.text for b in ex.leaf_blocks(row.html or "")).split() == "".join(parser.out).split()

@@ -71,7 +71,7 @@ def test_empty_table(spark, empty):
     assert q.quality_rules(empty, spark.createDataFrame([(1, 1, None)], LABELS)).count() == 0
 
 
-@pytest.mark.parametrize("size", ["sf0.01", "sf0.1", "check_s"])
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_labelled_junk_goes_whatever_the_size(spark, sf_dir, size):
     """Of junk that the base rule leaves none is kept, of good documents and of unlabelled ones as many on each table."""
     folder = sf_dir.replace("sf0.001", size)
