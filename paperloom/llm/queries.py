@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import extraction, fingerprints, lm, mixing, ngram_join, packing, pii, quality, substrings, token_counts
+from paperloom.llm import extraction, fingerprints, lm, mixing, ngram_join, packing, pii, quality, spelling, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
