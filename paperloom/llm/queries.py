@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import extraction, fingerprints, lm, mixing, ngram_join, packing, pii, quality, spelling, substrings, token_counts
+from paperloom.llm import collocations, extraction, fingerprints, licenses, lm, mixing, ngram_join, packing, pii, quality, spelling, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,9 +79,50 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_BASE_ROWS = ", ".join(f"({p.split()}, '{label}')" for p, label in licenses.BASE.items())
+_TEMPLATE_ROWS = ", ".join(f"('{label}', {words}, {need})" for label, words, need in licenses.template_sets(licenses.TEMPLATES, licenses.THRESHOLD))
+OP12_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  starts AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+  places AS (SELECT id, i - 1 AS start, label FROM starts, (VALUES {_BASE_ROWS}) b(p, label) WHERE w[i:i + len(p) - 1] = p),
+  base AS (SELECT id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(label) AS stated FROM places GROUP BY id),
+  blocks AS (SELECT id, w[s + 1:s + {licenses.BLOCK_WORDS}] AS block FROM (SELECT id, w, unnest(range(0, greatest(1, len(w) - {licenses.BLOCK_WORDS // 2}), {licenses.BLOCK_WORDS // 2})) AS s FROM docs)),
+  pairs AS (SELECT id, label, len(list_intersect(words, block)) AS common, len(words) AS n, need FROM blocks, (VALUES {_TEMPLATE_ROWS}) t(label, words, need)),
+  method AS (SELECT id, max(common / n) AS score, list(label) AS found FROM pairs WHERE common >= need GROUP BY id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(list_distinct(stated)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(stated, found))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0)::DOUBLE END AS score
+FROM docs LEFT JOIN base USING (id) LEFT JOIN method USING (id)
+"""
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  parts AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+  places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM parts),
+  grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, range(1, 6) t(k) WHERE i + k - 1 <= len(w)),
+  f AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 100),
+  sizes AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+  candidates AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+  inner_phrases AS (SELECT c.lang, c.a, array_to_string(c.w[i:i + m - 1], ' ') AS phrase FROM candidates c, range(2, 5) t(m), range(1, 5) u(i) WHERE m < c.k AND i + m - 1 <= c.k),
+  free AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM inner_phrases p WHERE p.lang = c.lang AND p.phrase = c.phrase AND 100 * p.a >= 100 * c.a)),
+  cuts AS (SELECT c.lang, c.phrase, c.a, j.k, x.f AS l, y.f AS r, s.n, (1000::HUGEINT * c.a * s.n) // (x.f::HUGEINT * y.f) AS score FROM free c, range(1, 5) j(k), f x, f y, sizes s
+    WHERE j.k < c.k AND x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j.k], ' ') AND y.lang = c.lang AND y.phrase = array_to_string(c.w[j.k + 1:], ' ') AND s.lang = c.lang),
+  weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, cast(score AS BIGINT) AS score FROM weakest QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_license_scan": OP12_SQL, "op13_phrase_collocations": OP13_SQL}
