@@ -5,16 +5,19 @@ word by place. Of two words at distance 1 the edit touches two bigrams of each a
 stand in both in one order, so the first of those is among the three rarest of both words: only these
 three of a word are joined. Equal places are not enough: the edit lies wholly left or wholly right
 of that bigram, so either both words agree up to it, at the same place from the left, or they agree
-from it on, at the same place from the right. The join key is that agreeing part, which states bigram,
-place and position limit at once; lengths differ by one at most; the edit distance is verified.
+from it on, at the same place from the right. The join key is that agreeing part with the length of
+the shorter word, which states bigram, place, position and length limits at once. Where the agreeing
+part is less than half a word, a half of the other part is in the key too, the one or the other: the
+edit spares one of them. Candidates are verified by their edit distance.
 
 Of a word's near words the most frequent, at `factor` times its own count or more, is its form. Forms
 are followed to the last by doubling: each step up multiplies the count by `factor`, so paths are short.
 
 Scale: texts are read once, narrow, and only distinct words are exchanged, with counts combined in each
 task. The bigrams' frequencies are the one table that tasks get whole: words have 90 different letters,
-hence 8,100 bigrams at most. Join keys that many words share are dealt over parts, every two of which
-meet in a task of their own, so no task holds a whole key. Only pairs at distance 1 leave the join.
+hence 8,100 bigrams at most. Keys are hashed; words that meet by chance are verified like others. Keys
+that many words share are dealt over parts, every two of which meet in a task of their own, so no task
+holds a whole key. Only pairs at distance 1 leave the join.
 
 Cases: null and empty texts have no words. A null id counts as the text `null` in the planted edits.
 Repeated rows count as often as they stand. Words of any length are compared whole. Ties of the most
@@ -60,18 +63,33 @@ def bigram_frequencies(words: DataFrame) -> np.ndarray:
 
 
 def _agreeing_parts(frequency: np.ndarray):
-    """(key, word) for the rarest bigrams of each word: the word up to the bigram, and the word from it on."""
+    """(key, word) for the rarest bigrams of each word, as the shorter of a pair (or of equal length) and as the longer."""
     rank = np.lexsort((np.arange(1 << 16), frequency)).argsort().tolist()
 
+    def keys_of(word: str) -> Iterator[str]:
+        data, n = word.encode("latin-1"), len(word)
+        rarest = sorted((rank[a << 8 | b], k) for k, (a, b) in enumerate(zip(data, data[1:])))[:PREFIX]
+        for _, k in rarest:
+            for side, agreed, other in (("<", word[: k + 2], word[k + 2 :]), (">", word[k:], word[:k])):
+                for shorter in (n, n - 1):
+                    left = shorter - len(agreed)  # letters of the shorter word's other part
+                    if left < 0:
+                        continue
+                    name = f"{side}{shorter} {agreed}"
+                    if 2 * len(agreed) >= shorter:
+                        yield name
+                    else:
+                        half = left // 2
+                        yield f"{name} {other[:half]}+"
+                        yield f"{name} +{other[len(other) - (left - half) :]}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, words = [], []
             for word in batch.column(0).to_pylist():
-                data = word.encode("latin-1")
-                rarest = sorted((rank[a << 8 | b], k) for k, (a, b) in enumerate(zip(data, data[1:])))[:PREFIX]
-                for _, k in rarest:
-                    keys += (f"<{word[: k + 2]}", f">{word[k:]}")
-                words += [word] * (2 * len(rarest))
+                found = list(keys_of(word))
+                keys += found
+                words += [word] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string())], names=["key", "word"])
 
     return run
@@ -79,19 +97,25 @@ def _agreeing_parts(frequency: np.ndarray):
 
 def near_pairs(words: DataFrame, part: int = PART) -> DataFrame:
     """(a, b), a < b: all pairs of distinct words at edit distance 1. words: `word`, distinct, of letters up to U+00FF, five or more."""
-    members = cut(words.select("word").mapInArrow(_agreeing_parts(bigram_frequencies(words)), "key string, word string"), "agreeing")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    kept = members.join(sizes, "key").withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("mine", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
+    members = words.select("word").mapInArrow(_agreeing_parts(bigram_frequencies(words)), "key string, word string")
+    members = cut(members.select(F.xxhash64("key").alias("key"), "word"), "members")
+    hot = cut(members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > part), "hot_keys")
+    near = (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
+
+    own = members.join(hot, "key", "left_anti").repartition("key")
+    met = own.select("key", F.col("word").alias("a")).join(own.select("key", F.col("word").alias("b")), "key").where(F.col("a") < F.col("b"))
+
+    split = members.join(hot, "key").withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("mine", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int"))
 
     def side(name: str, low: Column, high: Column) -> DataFrame:
         # each two parts of a key meet once: a part goes out as first with itself and those behind, as second with itself and those before
-        return kept.select("key", F.col("word").alias(name), F.col("mine").alias(f"{name}_part"), F.explode(F.sequence(low, high)).alias("other"))
+        return split.select("key", F.col("word").alias(name), F.col("mine").alias(f"{name}_part"), F.explode(F.sequence(low, high)).alias("other"))
 
     first = side("a", F.col("mine"), F.col("parts") - 1).withColumnRenamed("other", "b_part")
     second = side("b", F.lit(0), F.col("mine")).withColumnRenamed("other", "a_part")
-    met = first.join(second, ["key", "a_part", "b_part"]).where((F.col("a_part") < F.col("b_part")) | (F.col("a") < F.col("b")))
-    near = (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
-    return met.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met_in_parts = first.join(second, ["key", "a_part", "b_part"]).where((F.col("a_part") < F.col("b_part")) | (F.col("a") < F.col("b")))
+    found = met.where(near).select("a", "b").unionByName(met_in_parts.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return found.distinct()
 
 
 def followed(forms: DataFrame) -> DataFrame:
