@@ -60,30 +60,43 @@ def test_whole_table(spark, sf_dir):
         assert sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({queries.OP13_SQL})").fetchall()) == expected
 
 
-@pytest.mark.parametrize("hot", [None, {}, {"en": {b"x", b"x\0x", b"x\0x\0x", b"the", b"a"}}])
-def test_edge_rows(edge, edge_rows, hot):
+def words_of(*beginnings):
+    return [b.split(b" ") for b in beginnings]
+
+
+@pytest.mark.parametrize("plan", [None, co.Plan(), co.Plan([b"the", b"x", "é".encode()], {"en": words_of(b"x", b"x x", b"x x x", b"the", b"a")})])
+def test_edge_rows(edge, edge_rows, plan):
     """Also where beginnings are dealt further that are not frequent, and with blocks of one text."""
     expected = brute([(r[2], r[1]) for r in edge_rows], least=3, top=25)
-    assert found(co.collocations(edge, least=3, top=25, hot=hot, block_bytes=1)) == expected and expected
+    assert found(co.collocations(edge, least=3, top=25, plan=plan, block_bytes=1)) == expected and expected
 
 
 def test_separators_controls_ties_and_nulls(spark):
     texts = ["a b", "A\tb c", "a\x01 b c", "a\x08b\x00 c", "\x00 \x00 d", "a,b a;b:a!b?a.b\na b\x0bc d\re f", "é É ñ", "  a   b  ", "", None, "x x x x x x x x", " a b c"]
     rows = [(lang, t) for t in texts for lang in ("en", None, "und", "fr")] * 3
     df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "lang string, text string, n long, rank long, f long").repartition(5)
-    for hot in (None, {"en": {b"a", b"x", b"x\0x"}, "und": {b"a"}}):
-        assert found(co.collocations(df, least=2, top=7, hot=hot)) == brute(rows, least=2, top=7)
+    for plan in (None, co.Plan([b"x", b"a"], {"en": words_of(b"a", b"x", b"x x"), "und": words_of(b"a")})):
+        assert found(co.collocations(df, least=2, top=7, plan=plan)) == brute(rows, least=2, top=7)
 
 
 def test_hot_beginnings_share_the_work(spark):
     """A pair that begins a third of all suffixes is dealt by what follows it."""
     rows = [("en", " ".join(f"hot pair w{k * 7 + j} v{j % 5}" for j in range(40))) for k in range(60)]
     df = spark.createDataFrame(rows, "lang string, text string")
-    hot = co.hot_beginnings(df, 5)
-    assert {b"hot", b"hot\0pair"} <= hot["en"]
-    deals = {co._deal(f"hot\0pair\0w{k}\0x".encode(), hot["en"]) for k in range(100)}
-    assert len(deals) > 90
-    assert found(co.collocations(df, least=20, hot=hot)) == brute(rows, least=20)
+    plan = co.sampled_plan(df, 5)
+    code = plan.dictionary.encode
+    assert {code([b"hot"]), code([b"hot", b"pair"])} <= plan.hot["en"]
+    suffixes = pa.array([code([b"hot", b"pair", b"w%d" % k, b"x"]) for k in range(100)], pa.binary())
+    assert len(set(co.deals(suffixes, co._hash_codes(plan.hot["en"]), 5).tolist())) > 90
+    assert found(co.collocations(df, least=20, plan=plan)) == brute(rows, least=20)
+
+
+def test_codes():
+    words = [f"w{k}".encode() for k in range(70_000)]
+    d = co.Dictionary(words)
+    for some in ([b"w0"], [b"w254", b"w255", b"w64769"], [b"w64770", b"\xff\xfe", b"w1"], []):
+        assert d.decode(d.encode(some)) == some
+    assert len({d.encode([w]) for w in words}) == len(words) and b"\0" not in d.encode(words[:64_770])
 
 
 def test_counts_past_64_bits(spark):
@@ -95,18 +108,19 @@ def test_counts_past_64_bits(spark):
 def test_stack_over_small_batches():
     """Counts do not depend on where a batch of sorted suffixes ends."""
     texts = [prose(3, 300), "b a b a b a b a b", "a"]
-    suffixes = co.Suffixes(pa.array(texts, pa.large_string()), 5)
+    d = co.Dictionary([b"a", "é".encode()])
+    suffixes = co.Suffixes(pa.array(texts, pa.large_string()), 5, d)
     rows = sorted((s for s in suffixes.strings(0, suffixes.n).to_pylist()), reverse=True)
     results = set()
     for size in (1, 3, 7, 1000):
-        stack = co.PhraseStack(5, 2, {})
+        stack = co.PhraseStack(5, 2, co._hash_codes(()))
         for k in range(0, len(rows), size):
             part = pa.array(rows[k : k + size], pa.binary())
-            stack.read("en", part, np.ones(len(part), dtype=np.int64))
-        stack.end_language()
-        results.add(tuple(sorted(stack.closed, key=str)))
+            stack.read(part, np.ones(len(part), dtype=np.int64))
+        stack.end()
+        results.add(tuple(sorted(((p and b" ".join(d.decode(p)).decode(), n) for p, n in stack.closed), key=str)))
     f, n = brute_counts([("en", t) for t in texts])
-    assert results == {tuple(sorted([("en", " ".join(p), c) for p, c in f["en"].items() if c >= 2] + [("en", None, n["en"])], key=str))}
+    assert results == {tuple(sorted([(" ".join(p), c) for p, c in f["en"].items() if c >= 2] + [(None, n["en"])], key=str))}
 
 
 def test_empty_table(empty):
