@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from paperloom.plans import query_billing, query_documents, query_media, query_tasks  # noqa: F401
+    from paperloom.plans import query_billing, query_documents, query_files, query_media, query_tasks  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import joined_in_order, strip
+from paperloom.functions.text import joined_in_order, normalize_text, strip
 
 
 def quiet_runs(samples: DataFrame, key: str, order: list[str], quiet: Column, at: str, min_run: int) -> DataFrame:
@@ -67,11 +67,11 @@ def job_cost(ms: Column, price: float) -> Column:
 
 
 def merge_chunks(results: DataFrame, key: str, price: float) -> DataFrame:
-    """One row a task: stripped texts by start and id, blank ones dropped; the sum of rounded-up chunk costs; first error and first job."""
+    """One row a task: stripped texts by start and id, blank ones dropped, two line feeds between, normalised; the sum of rounded-up chunk costs; first error and first job."""
     order = F.struct("start_ms", "chunk_id")
     ms = chunk_milliseconds(F.col("audio_duration_ms"), F.col("start_ms"), F.col("end_ms"))
     return results.groupBy(key).agg(
-        joined_in_order(order, strip(F.col("text")), "\n").alias("merged"),
+        normalize_text(joined_in_order(order, strip(F.col("text")), "\n\n")).alias("merged"),
         F.sum(chunk_cost(ms, price)).alias("cost"),
         F.min_by(F.col("error"), F.when(F.col("error").isNotNull(), F.col("chunk_id"))).alias("first_error"),
         F.min_by("job_id", order).alias("job_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import mime as mimes
 from paperloom.functions.text import normalize_text
 from paperloom.operators import billing, chunks, pages
-from paperloom.providers import Provider, apply_provider
+from paperloom.providers import Provider, apply_function, apply_provider
 from paperloom.sources.archives import explode_archives
 from paperloom.sources.office import office_text
 
@@ -34,6 +34,17 @@ def archive_texts(files: DataFrame, key: str, recognise: Provider) -> DataFrame:
     return direct.unionByName(seen).unionByName(failed)
 
 
+def process_members(files: DataFrame, key: str, make: Provider, strict: bool = False, concurrency: int = 10) -> DataFrame:
+    """key, member_path, text, error: a caller's function of each member's path and bytes, plain or a coroutine, ten at a time in a task.
+
+    A member that fails is a row with its error, or fails the whole with `strict`; archives that cannot be read are rows as well.
+    """
+    opened = explode_archives(files.select(key, "content", "mime")).select(key, "member_path", "member", F.col("error").alias("unreadable"))
+    done = apply_function(opened.where("member IS NOT NULL").select(key, "member_path", "member"), make, ["member_path", "member"], strict=strict, concurrency=concurrency)
+    failed = opened.where("member IS NULL").select(key, "member_path", F.lit(None).cast("string").alias("text"), F.col("unreadable").alias("error"))
+    return done.select(key, "member_path", "text", "error").unionByName(failed)
+
+
 def translated(tasks: DataFrame, key: str, translate: Provider) -> DataFrame:
     """key, result, usage_amount: one unit a text, whether the model answered or not."""
     done = apply_provider(tasks.select(key, "text"), translate, "text", target="translation")

@@ -114,12 +114,12 @@ def quiet_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.quiet_runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("value") < 5, "ts", 2)
 
 
-#: Recordings of an hour; silences by event.
+#: Recordings of an hour, one a user; silences by event.
 SILENCES_SQL = "SELECT user_id, (event_id * 7919) % 3600000 AS start_ms, least(3600000, (event_id * 7919) % 3600000 + 750 + event_id % 5000) AS end_ms FROM events WHERE value < 20"
 DURATION, MIN_MS, MAX_MS = 3_600_000, 300_000, 600_000
 CUTS_SQL = f"""
 WITH RECURSIVE s AS MATERIALIZED ({SILENCES_SQL}), c(user_id, cut_at) AS (
- SELECT DISTINCT user_id, cast(0 AS BIGINT) FROM s
+ SELECT DISTINCT user_id, cast(0 AS BIGINT) FROM events
  UNION ALL
  SELECT c.user_id, cast(coalesce(min(struct_pack(a := s.start_ms, b := s.end_ms, m := (s.start_ms + s.end_ms) // 2)).m, least({DURATION}, c.cut_at + {MAX_MS})) AS BIGINT)
  FROM c LEFT JOIN s ON s.user_id = c.user_id AND s.end_ms >= least({DURATION}, c.cut_at + {MIN_MS}) AND s.start_ms <= least({DURATION}, c.cut_at + {MAX_MS}) AND (s.start_ms + s.end_ms) // 2 > c.cut_at
@@ -131,7 +131,7 @@ SELECT user_id, cut_at FROM c WHERE cut_at > 0
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.col("event_id") * 7919) % DURATION
     silence = F.struct(start.alias("start_ms"), F.least(F.lit(DURATION), start + 750 + F.col("event_id") % 5000).alias("end_ms"))
-    return table(spark, sf_dir, "events").where("value < 20").groupBy("user_id").agg(F.collect_list(silence).alias("silences")).withColumn("duration_ms", F.lit(DURATION).cast("long"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.when(F.col("value") < 20, silence)).alias("silences")).withColumn("duration_ms", F.lit(DURATION).cast("long"))
 
 
 @query(CUTS_SQL)
@@ -158,7 +158,7 @@ def short_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 SELECT w.user_id, low, high, min(struct_pack(a := start_ms, b := end_ms)).a AS start_ms, min(struct_pack(a := start_ms, b := end_ms)).b AS end_ms FROM
-(SELECT user_id, k * 600000 + 300000 AS low, k * 600000 + 600000 AS high FROM (SELECT DISTINCT user_id FROM ({SILENCES_SQL})), range(6) r(k)) w
+(SELECT user_id, k * 600000 + 300000 AS low, k * 600000 + 600000 AS high FROM (SELECT DISTINCT user_id FROM events), range(6) r(k)) w
 LEFT JOIN ({SILENCES_SQL}) s ON s.user_id = w.user_id AND end_ms >= low AND start_ms <= high GROUP BY ALL
 """)
 def first_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +187,7 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.merge_chunks(chunk_results(spark, sf_dir), "conv_id", 3.0)
 
 
-@query(f"SELECT conv_id, coalesce(string_agg(trim(text, ' ' || chr(10)), chr(10) ORDER BY start_ms, chunk_id) FILTER (trim(text, ' ' || chr(10)) <> ''), '') AS merged FROM ({RESULTS_SQL}) GROUP BY conv_id")
+@query(f"SELECT conv_id, coalesce(string_agg(trim(text, ' ' || chr(10)), chr(10) || chr(10) ORDER BY start_ms, chunk_id) FILTER (trim(text, ' ' || chr(10)) <> ''), '') AS merged FROM ({RESULTS_SQL}) GROUP BY conv_id")
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir).select("conv_id", "merged")
 
@@ -227,7 +227,7 @@ def fallback_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT user_id, string_agg('chunk ' || cast(user_id AS VARCHAR) || ':' || cast(chunk_id AS VARCHAR) || ':' || cast(start_ms AS VARCHAR) || ':' || cast(cut_at AS VARCHAR), chr(10) ORDER BY start_ms) AS merged,
+SELECT user_id, string_agg('chunk ' || cast(user_id AS VARCHAR) || ':' || cast(chunk_id AS VARCHAR) || ':' || cast(start_ms AS VARCHAR) || ':' || cast(cut_at AS VARCHAR), chr(10) || chr(10) ORDER BY start_ms) AS merged,
   cast(sum(ceil(cast(cut_at - start_ms AS DOUBLE) / 60000 * 1.0::DOUBLE)) AS BIGINT) AS cost, cast(NULL AS VARCHAR) AS first_error, 'job-' || cast(user_id AS VARCHAR) || '-0' AS job_id
 FROM (SELECT user_id, cut_at, row_number() OVER (PARTITION BY user_id ORDER BY cut_at) - 1 AS chunk_id, coalesce(lag(cut_at) OVER (PARTITION BY user_id ORDER BY cut_at), 0) AS start_ms FROM ({CUTS_SQL})) GROUP BY user_id
 """)

@@ -36,11 +36,6 @@ def read_transcripts(payloads: DataFrame, key: str, payload: str = "payload") ->
     return rows.select(key, F.col("seq").cast("long").alias("seq"), row["type"].alias("type"), row["start_time"].alias("start_time"), row["end_time"].alias("end_time"), first["content"].alias("content"), first["language"].alias("language"), "job_id", "duration", "predicted_language")
 
 
-def write_markdown(texts: DataFrame, folder: str, path: str = "out_path", text: str = "text") -> None:
-    """Texts that are not empty, as Parquet rows of path and text; a reader lays them out as files."""
-    texts.where(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(path).alias("path"), F.col(text).alias("text")).write.mode("overwrite").parquet(folder)
-
-
 def append_events(events: DataFrame, folder: str) -> None:
     """State changes are appended; the latest one of a task is its state."""
     events.write.mode("append").parquet(folder)

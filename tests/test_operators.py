@@ -60,7 +60,7 @@ def test_chunks_merge_in_order_with_costs(spark):
     rows = [(1, 1, 60, 90, "j1", " b \n", 980_000, None), (1, 0, 0, 60, "j0", "a", None, None), (1, 2, 90, 120, "j2", "  ", 0, "late"), (1, 3, 60, 90, "j3", "c", 1, "early")]
     df = spark.createDataFrame(rows, "task long, chunk_id int, start_ms long, end_ms long, job_id string, text string, audio_duration_ms long, error string")
     r = chunks.merge_chunks(df, "task", 3.0).first()
-    assert r.merged == "a\nb\nc" and r.job_id == "j0" and r.first_error == "late" and r.cost == 49 + 1 + 1 + 1
+    assert r.merged == "a\n\nb\n\nc" and r.job_id == "j0" and r.first_error == "late" and r.cost == 49 + 1 + 1 + 1
 
 
 def test_cost_operand_order(spark):
@@ -181,7 +181,7 @@ def test_retries(spark):
 def test_transcription_and_translation_plans(spark):
     rec = spark.createDataFrame([(7, 25 * MIN, [])], "task long, duration_ms long, silences array<struct<start_ms:long,end_ms:long>>")
     r = plans.transcribed(rec, "task", stub(), 1.0, 5 * MIN, 10 * MIN).first()
-    assert r.merged.split("\n") == [f"7:0:0:{10 * MIN}", f"7:1:{10 * MIN}:{20 * MIN}", f"7:2:{20 * MIN}:{25 * MIN}"] and r.cost == 25 and r.job_id == "job-7-0"
+    assert r.merged.split("\n\n") == [f"7:0:0:{10 * MIN}", f"7:1:{10 * MIN}:{20 * MIN}", f"7:2:{20 * MIN}:{25 * MIN}"] and r.cost == 25 and r.job_id == "job-7-0"
     t = plans.translated(spark.createDataFrame([(1, " x "), (2, None)], "k int, text string"), "k", stub("t ")).collect()
     assert {r.k: (r.result, r.usage_amount) for r in t} == {1: ("t x", 1), 2: ("", 1)}
 

@@ -106,8 +106,6 @@ def test_files_and_sinks(spark, tmp_path):
     assert [bytes(r.content) for r in files.read_files(spark, str(tmp_path / "in")).collect()] == [b"abc"]
     (tmp_path / "p.prompt").write_text("Say\nwhat you see.")
     assert files.read_prompt(spark, str(tmp_path / "p.prompt")) == "Say\nwhat you see."
-    files.write_markdown(spark.createDataFrame([("a.md", "x"), ("b.md", ""), ("c.md", None)], "out_path string, text string"), str(tmp_path / "out"))
-    assert [r.path for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a.md"]
     for _ in range(2):
         files.append_events(spark.createDataFrame([(1, "init")], "t int, status string"), str(tmp_path / "events"))
     assert spark.read.parquet(str(tmp_path / "events")).count() == 2
