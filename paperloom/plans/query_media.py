@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from paperloom.functions import text
 from paperloom.operators import chunks, transcripts
 from paperloom.plans import documents as plans
 from paperloom.providers import stub
-from paperloom.sources import files
+from paperloom.sources import audio, files
 
 #: Tokens: words and marks of conversations, half a second each; turns differ in language.
 TOKENS_SQL = """
@@ -240,3 +241,50 @@ def transcribe_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def translate_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
     return plans.translated(rows, "id", stub("[translated] ")).select("id.conv_id", "id.turn", "result", "usage_amount")
+
+
+#: A recording a conversation: each turn speaks for 5 ms a letter and is followed by a pause, of which some are too short to be silences.
+SOUND_SQL = """
+SELECT conv_id, turn, 5 * length(text) AS loud, 250 * (1 + (conv_id + 3 * turn) % 7) AS pause FROM conversations
+"""
+PAUSES_SQL = f"""
+SELECT conv_id, cast(sum(loud + pause) OVER w - pause AS BIGINT) AS start_ms, cast(sum(loud + pause) OVER w AS BIGINT) AS end_ms, pause FROM ({SOUND_SQL}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+"""
+SOUND_MIN, SOUND_MAX = 6_000, 14_000
+
+
+def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id and content: the bytes of a PCM container."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", (5 * F.length("text")).alias("loud"), (250 * (1 + (F.col("conv_id") + 3 * F.col("turn")) % 7)).cast("int").alias("pause")))).alias("turns"))
+
+    @F.pandas_udf("binary")
+    def recorded(turns: pd.Series) -> pd.Series:
+        return turns.map(lambda t: audio.encode(audio.tone([x for r in t for x in ((r["loud"], True), (r["pause"], False))])))
+
+    return turns.select("conv_id", recorded("turns").alias("content"))
+
+
+@query(f"SELECT conv_id, (SELECT cast(max(end_ms) AS BIGINT) FROM ({PAUSES_SQL}) e WHERE e.conv_id = p.conv_id) AS duration_ms, start_ms, end_ms FROM ({PAUSES_SQL}) p WHERE pause >= 750")
+def sound_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences of 750 ms and more, 40 dB below full scale, from the bytes of recordings."""
+    return audio.sound_table(sounds(spark, sf_dir), "conv_id").select("conv_id", "duration_ms", F.inline("silences"))
+
+
+SOUND_CUTS_SQL = f"""
+WITH RECURSIVE p AS MATERIALIZED ({PAUSES_SQL}), d AS (SELECT conv_id, max(end_ms) AS d FROM p GROUP BY conv_id), s AS (SELECT conv_id, start_ms, end_ms FROM p WHERE pause >= 750), c(conv_id, cut_at) AS (
+ SELECT conv_id, cast(0 AS BIGINT) FROM d
+ UNION ALL
+ SELECT c.conv_id, cast(coalesce(min(struct_pack(a := s.start_ms, b := s.end_ms, m := (s.start_ms + s.end_ms) // 2)).m, least(d.d, c.cut_at + {SOUND_MAX})) AS BIGINT)
+ FROM c JOIN d ON d.conv_id = c.conv_id LEFT JOIN s ON s.conv_id = c.conv_id AND s.end_ms >= least(d.d, c.cut_at + {SOUND_MIN}) AND s.start_ms <= least(d.d, c.cut_at + {SOUND_MAX}) AND (s.start_ms + s.end_ms) // 2 > c.cut_at
+ WHERE c.cut_at < d.d GROUP BY c.conv_id, c.cut_at, d.d)
+SELECT conv_id, row_number() OVER w - 1 AS chunk_id, start_ms, end_ms, printf('chunk_%04d.wav', row_number() OVER w - 1) AS name, cast(8 * (end_ms - start_ms) AS BIGINT) AS n_samples FROM (
+ SELECT conv_id, coalesce(lag(cut_at) OVER (PARTITION BY conv_id ORDER BY cut_at), 0) AS start_ms, cut_at AS end_ms FROM c JOIN d USING (conv_id) WHERE cut_at > 0 AND d > {SOUND_MAX}
+ UNION ALL SELECT conv_id, 0, d FROM d WHERE d <= {SOUND_MAX}) WINDOW w AS (PARTITION BY conv_id ORDER BY start_ms)
+"""
+
+
+@query(SOUND_CUTS_SQL)
+def sound_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From bytes to chunks: decoded, silences found, cut points planned, and each chunk a container again, of so many samples."""
+    cut = audio.cut_chunks(sounds(spark, sf_dir), "conv_id", SOUND_MIN, SOUND_MAX)
+    return cut.select("conv_id", "chunk_id", "start_ms", "end_ms", "name", (F.octet_length("content") - 44).cast("long").alias("n_samples"))

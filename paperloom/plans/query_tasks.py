@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.catalog import query, table
 from paperloom.operators import tasks
+from paperloom.streaming import jobs
 
 STATUS_SQL = "CASE event_type WHEN 'signup' THEN 'init' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'error' END"
 
@@ -82,3 +83,23 @@ def ownership_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     user, caller = F.when(F.col("event_id") % 3 != 0, F.col("user_id") % 5), F.col("user_id") % 7
     who, allowed = tasks.owner(user, caller, F.col("event_type") == "signup")
     return table(spark, sf_dir, "events").select("event_id", who.alias("owner"), allowed.alias("allowed"))
+
+
+JOBS_SQL = """
+SELECT task_id, CASE WHEN task_id % 9 <> 2 THEN 'job-' || cast(task_id AS VARCHAR) END AS job_id, submitted_ms FROM (SELECT user_id AS task_id, min(epoch_us(ts)) // 1000 AS submitted_ms FROM events GROUP BY user_id)
+"""
+
+
+@query(f"""
+SELECT task_id, job_id, CASE WHEN job_id IS NULL OR due IS NULL OR due > 480 THEN 'error' ELSE status END AS status, CASE WHEN job_id IS NULL THEN 'not submitted' WHEN due IS NULL OR due > 480 THEN 'timed out' END AS message,
+  CASE WHEN job_id IS NULL THEN 0 WHEN due <= 480 THEN due ELSE 480 END AS polls, submitted_ms + CASE WHEN job_id IS NULL THEN 0 WHEN due <= 480 THEN due ELSE 480 END * 3600000 AS decided_ms
+FROM (SELECT task_id, job_id, submitted_ms, status, greatest(1, cast(ceil((at_ms - submitted_ms) / 3600000) AS BIGINT)) AS due FROM ({JOBS_SQL}) t LEFT JOIN
+  (SELECT 'job-' || cast(user_id AS VARCHAR) AS job_id, min(epoch_us(ts) // 1000) AS at_ms, arg_min(s, (epoch_us(ts), s)) AS status FROM (SELECT user_id, ts, CASE event_type WHEN 'purchase' THEN 'completed' ELSE 'error' END AS s FROM events WHERE event_type IN ('purchase', 'error')) GROUP BY user_id) e USING (job_id))
+""")
+def job_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as the log of a remote job: an hour between polls, twenty days at most, some never submitted."""
+    events = table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), "event_type")
+    job = F.concat(F.lit("job-"), F.col("user_id").cast("string"))
+    started = events.groupBy("user_id").agg(F.min("at_ms").alias("submitted_ms")).select(F.col("user_id").alias("task_id"), F.when(F.col("user_id") % 9 != 2, job).alias("job_id"), "submitted_ms")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "error").otherwise("processing")
+    return jobs.replayed_jobs(started, events.select(job.alias("job_id"), "at_ms", status.alias("status")), 3_600_000, 20 * 86_400_000)

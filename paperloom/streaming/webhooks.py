@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -65,3 +67,81 @@ def write_batches(stream: DataFrame, checkpoint: str, handle: Callable[[DataFram
 
 def metered(matched: DataFrame) -> DataFrame:
     return matched.where("outcome = 'ok'").select("task_id", "job_id", F.lit(1).cast("long").alias("units"))
+
+
+def meter_once(matched: DataFrame, ledger: str, batch_id: int) -> None:
+    """Add a batch's accepted webhooks to the ledger, each task and job once, whatever is replayed.
+
+    The batch is a folder of its own that a replay replaces, and what earlier batches metered is left
+    out of it: a batch that was killed half-way, or comes twice, leaves the ledger as if it had come once.
+    """
+    spark = matched.sparkSession
+    schema = "task_id string, job_id string, units long, batch_id long"
+    try:
+        earlier = spark.read.schema(schema).parquet(ledger).where(F.col("batch_id") < batch_id)
+    except AnalysisException:  # the first batch
+        earlier = spark.createDataFrame([], schema)
+    fresh = metered(matched).groupBy("task_id", "job_id").agg(F.max("units").alias("units"))
+    fresh.join(earlier.select("task_id", "job_id"), ["task_id", "job_id"], "left_anti").write.mode("overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+
+
+def log_states(states: DataFrame, log: str, batch_id: int) -> None:
+    """A batch of task states (task_id, status, event_ts and others) as a folder of its own; a replay replaces it."""
+    states.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+
+
+def current_tasks(log: DataFrame, columns: list[str]) -> DataFrame:
+    """The task table that the log stands for: of each task the first terminal state, else the latest."""
+    terminal = F.col("status").isin(*TERMINAL)
+    time = F.unix_micros(F.col("event_ts").cast("timestamp"))
+    rank = F.struct(terminal.alias("t"), F.when(terminal, -time).otherwise(time).alias("m"), F.col("status").alias("s"))
+    return log.groupBy("task_id").agg(F.max_by(F.struct("status", "event_ts", *columns), rank).alias("row")).select("task_id", "row.*")
+
+
+class Waiters:
+    """Callers on the driver that wait for a task's final state, released by the batches of a stream."""
+
+    def __init__(self) -> None:
+        self._changed = threading.Condition()
+        self._waiting: dict[str, int] = {}
+        self._final: dict[str, str] = {}
+
+    def wait(self, task_id: str, timeout: float | None = None) -> str | None:
+        """The final status, or None if it does not come in time."""
+        with self._changed:
+            self._waiting[task_id] = self._waiting.get(task_id, 0) + 1
+            self._changed.wait_for(lambda: task_id in self._final, timeout)
+            status = self._final.get(task_id)
+            self._waiting[task_id] -= 1
+            if not self._waiting[task_id]:
+                del self._waiting[task_id]
+                self._final.pop(task_id, None)
+            return status
+
+    def waited(self) -> list[str]:
+        with self._changed:
+            return list(self._waiting)
+
+    def release(self, states: DataFrame) -> None:
+        """Of a batch of task_id and status, only the tasks that someone waits for reach the driver."""
+        wanted = self.waited()
+        if not wanted:
+            return
+        found = states.where(F.col("task_id").isin(wanted) & F.col("status").isin(*TERMINAL)).groupBy("task_id").agg(F.min("status").alias("status")).collect()
+        with self._changed:
+            self._final.update({r["task_id"]: r["status"] for r in found if r["task_id"] in self._waiting})
+            self._changed.notify_all()
+
+
+def releasing(waiters: Waiters, handle: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A batch function that first does its work and then releases those who wait for it."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            handle(batch, batch_id)
+            waiters.release(batch)
+        finally:
+            batch.unpersist()
+
+    return run
