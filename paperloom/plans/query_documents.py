@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from paperloom.operators import pages, tasks
 from paperloom.operators.languages import LANGUAGES, with_language
 from paperloom.plans import documents as plans
 from paperloom.providers import stub
-from paperloom.sources import archives, files, office
+from paperloom.sources import archives, files, office, pdf
 
 PADDED = "concat(chr(9) || ' ', replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10) || ' ')"
 
@@ -305,3 +306,79 @@ def src_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a table may be one file or a folder of them
     name = F.concat(F.regexp_extract("path", r"([^/]+)\.parquet(?:/[^/]*)?$", 1), F.lit(".parquet"))
     return found.groupBy(name.alias("name")).agg(F.sum("n_rows").alias("n_rows"))
+
+
+def _pdf(n_pages: int, kind: str = "table") -> bytes:
+    """A file of so many empty pages, ten to a node of the tree. Kinds: table, stream (objects in streams), lost (no cross-references), uncounted (no Count), changed (a later section adds a page), other (no PDF)."""
+    if kind == "other":
+        return b"no pages" * n_pages
+    nodes = [range(low, min(low + 10, n_pages)) for low in range(0, n_pages, 10)]
+    first = 3 + len(nodes)
+    count = lambda n: "" if kind == "uncounted" else f" /Count {n}"
+    objects = {1: "<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Kids [{' '.join(f'{3 + k} 0 R' for k in range(len(nodes)))}]{count(n_pages)} >>"}
+    for k, pages_of in enumerate(nodes):
+        objects[3 + k] = f"<< /Type /Pages /Parent 2 0 R /Kids [{' '.join(f'{first + p} 0 R' for p in pages_of)}]{count(len(pages_of))} >>"
+    for p in range(n_pages):
+        objects[first + p] = f"<< /Type /Page /Parent {3 + p // 10} 0 R /MediaBox [0 0 612 792] /Note (a \\) paren (in) it % no comment) >>"
+    out = bytearray(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n")
+
+    def table(places: dict[int, int], size: int, more: str = "") -> None:
+        start = len(out)
+        runs: list[list[int]] = []
+        for number in sorted(places):
+            if runs and runs[-1][-1] == number - 1:
+                runs[-1].append(number)
+            else:
+                runs.append([number])
+        body = "".join(f"{r[0]} {len(r)}\n" + "".join(f"{places[x]:010d} 00000 n \n" for x in r) for r in runs)
+        out.extend(f"xref\n0 1\n0000000000 65535 f \n{body}trailer\n<< /Size {size} /Root 1 0 R{more} >>\nstartxref\n{start}\n%%EOF\n".encode())
+
+    if kind == "stream":
+        texts = [objects[k].encode() for k in sorted(objects)]
+        offsets = [sum(len(t) + 1 for t in texts[:k]) for k in range(len(texts))]
+        head = " ".join(f"{k} {o}" for k, o in zip(sorted(objects), offsets)).encode() + b"\n"
+        packed, number = zlib.compress(head + b"\n".join(texts) + b"\n"), len(objects) + 1
+        place = len(out)
+        out += f"{number} 0 obj\n<< /Type /ObjStm /N {len(texts)} /First {len(head)} /Filter /FlateDecode /Length {len(packed)} >>\nstream\n".encode() + packed + b"\nendstream\nendobj\n"
+        start = len(out)
+        rows = [(0, 0, 0), *((2, number, k) for k in range(len(texts))), (1, place, 0), (1, start, 0)]
+        above, plain = bytes(7), bytearray()
+        for a, b, c in rows:
+            row = bytes([a]) + b.to_bytes(4, "big") + c.to_bytes(2, "big")
+            plain += b"\x02" + bytes((x - y) & 255 for x, y in zip(row, above))
+            above = row
+        body = zlib.compress(bytes(plain))
+        out += f"{number + 1} 0 obj\n<< /Type /XRef /Size {number + 2} /W [1 4 2] /Root 1 0 R /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 7 >> /Length {len(body)} >>\nstream\r\n".encode() + body + f"\nendstream\nendobj\nstartxref\n{start}\n%%EOF".encode()
+        return bytes(out)
+    places = {}
+    for number, value in objects.items():
+        places[number] = len(out)
+        out += f"{number} 0 obj\n{value}\nendobj\n".encode()
+    table(places, len(objects) + 1)
+    if kind == "lost":
+        return bytes(out[: out.rindex(b"xref\n0 1")]) + b"startxref\n99999999\n%%EOF"
+    if kind == "changed":
+        previous, size = out.rindex(b"xref\n0 1"), len(objects) + 2
+        later = {2: len(out)}
+        out += f"2 0 obj\n<< /Type /Pages /Kids [{' '.join(f'{3 + k} 0 R' for k in range(len(nodes)))} {size - 1} 0 R] /Count {n_pages + 1} >>\nendobj\n".encode()
+        later[size - 1] = len(out)
+        out += f"{size - 1} 0 obj\n<< /Type /Page /Parent 2 0 R >>\nendobj\n".encode()
+        table(later, size, f" /Prev {previous}")
+    return bytes(out)
+
+
+PDF_KINDS = ["table", "stream", "lost", "uncounted", "changed", "other"]
+
+
+@query("""
+SELECT page_id, CASE WHEN k < 5 THEN n + CASE WHEN k = 4 THEN 1 ELSE 0 END END AS n_pages, CASE WHEN k = 5 THEN 'not a PDF' END AS error, CASE WHEN k < 5 THEN n + CASE WHEN k = 4 THEN 1 ELSE 0 END ELSE 0 END AS units
+FROM (SELECT page_id, page_id % 6 AS k, length(html) % 37 AS n FROM pages)
+""")
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and billed units of PDF files, counted from their bytes, in several forms of the format."""
+    @F.pandas_udf("binary")
+    def made(page_id: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_pdf(k, PDF_KINDS[i % 6]) for i, k in zip(page_id, n)])
+
+    rows = table(spark, sf_dir, "pages").select("page_id", made("page_id", (F.length("html") % 37)).alias("content"))
+    return pdf.page_counts(rows, "page_id").select("page_id", "n_pages", "error", mime.page_units(F.lit(mime.PDF), F.col("n_pages")).alias("units"))
