@@ -52,6 +52,11 @@ def first_overlap(windows: DataFrame, silences: DataFrame, key: str) -> DataFram
     return both.groupBy(key, "low", "high").agg(least.alias("s")).select(key, "low", "high", F.col("s.start_ms").alias("start_ms"), F.col("s.end_ms").alias("end_ms"))
 
 
+def minutes_to_ms(minutes: Column) -> Column:
+    """Settings in minutes as milliseconds; whole minutes exactly."""
+    return (minutes * 60 * 1000).cast("long")
+
+
 def chunk_milliseconds(job_ms: Column, start_ms: Column, end_ms: Column) -> Column:
     """The job's own duration; the planned one where it is missing or zero."""
     return F.coalesce(F.nullif(job_ms, F.lit(0)), end_ms - start_ms)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,34 @@ def explode_pages(documents: DataFrame, key: str, text: Column, separator: str =
     return documents.select(key, F.inline(parts))
 
 
+def prepare_pages(files: DataFrame, key: str, render: Callable[[], Callable[[bytes], list[bytes]]], convert: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+    """key, page_no from 0, content, error: a file's pages by its type (key, mime, content).
+
+    PDF files go through `render` (their pages as images), images that are not JPEG through `convert`, JPEG
+    images pass; other types have no pages. Both are factories, called once a task; a file that
+    fails has one row with its error and no content. Only files that need it reach Python.
+    """
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rendered, converted = render(), convert()
+        for batch in batches:
+            for k, (mime_type, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                error = None
+                try:
+                    found = list(rendered(content)) if mime_type == mime.PDF else [converted(content)]
+                except Exception as e:
+                    found, error = [None], str(e) or type(e).__name__
+                if found:
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * n)), pa.array(range(n), pa.int64()), pa.array(found, pa.binary()), pa.array([error] * n, pa.string())], names=[key, "page_no", "content", "error"])
+
+    needed = F.col("mime").isin([mime.PDF, *mime.CONVERTED_IMAGES])
+    made = files.where(needed).select(key, "mime", "content").mapInArrow(run, f"`{key}` {kind}, page_no bigint, content binary, error string")
+    passed = files.where("mime = 'image/jpeg'").select(key, F.lit(0).cast("long").alias("page_no"), "content", F.lit(None).cast("string").alias("error"))
+    return made.unionByName(passed)
+
+
 def merge_pages(pages: DataFrame, key: str, text: str = "content", order: str = "page_no") -> DataFrame:
     """One row a document: its pages' texts that are not empty, in order, two line feeds between; and its units, all pages counted.
 

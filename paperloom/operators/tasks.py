@@ -17,9 +17,12 @@ def final_states(events: DataFrame, key: str, at: str, tie: str, columns: list[s
     return events.groupBy(key).agg(latest).select(key, F.col(f"last.{at}").alias(at), F.col(f"last.{tie}").alias(tie), *[F.col(f"last.{c}").alias(c) for c in columns])
 
 
-def task_page(tasks: DataFrame, order: list[Column], offset: int = 0, limit: int = 10, max_limit: int = 100) -> DataFrame:
+def task_page(tasks: DataFrame, order: list[Column], offset: int = 0, limit: int = 10, max_limit: int = 100, user: object = None, user_col: str = "user_id") -> DataFrame:
+    """A page of a listing, of one user's tasks if `user` is given. The order decides on all rows, so it should be total."""
     if offset < 0 or not 1 <= limit <= max_limit:
         raise ValueError("offset must be 0 or more, limit from 1 to the maximum")
+    if user is not None:
+        tasks = tasks.where(F.col(user_col) == F.lit(user))
     return tasks.orderBy(*order).offset(offset).limit(limit)
 
 
@@ -82,3 +85,25 @@ def collision_free(paths: DataFrame, archive: str, path: str, order: str) -> Dat
     """Output paths made unique within an archive: a repeat gets its number before the suffix. Ordered by the member's own path."""
     n = F.row_number().over(Window.partitionBy(archive, path).orderBy(order)).cast("long")
     return paths.withColumn("repeat_no", n).withColumn(path, F.when(F.col("repeat_no") == 1, F.col(path)).otherwise(F.concat(F.regexp_replace(path, r"\.md$", ""), F.lit("-"), F.col("repeat_no").cast("string"), F.lit(".md"))))
+
+
+#: Columns that a webhook's payload leaves out, and that a search leaves out besides the fields that are searched by themselves.
+WEBHOOK_EXCLUDED: tuple[str, ...] = ()
+SEARCH_EXCLUDED = ("consumptions",)
+
+
+def without(rows: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
+    """All columns but the excluded ones; names that are not there are no error."""
+    return rows.drop(*excluded)
+
+
+def insert_document(rows: DataFrame, key: str, status: str = "init", **fixed: Column) -> DataFrame:
+    """key and `document`: each row as it is inserted, a JSON object of its columns that are not null, then `fixed` ones, then the status."""
+    columns = [F.col(f"`{c}`") for c in rows.columns if c not in fixed and c != "task_status"]
+    document = F.struct(*columns, *(c.alias(name) for name, c in fixed.items()), F.lit(status).alias("task_status"))
+    return rows.select(key, F.to_json(document, {"ignoreNullFields": "true"}).alias("document"))
+
+
+def webhook_payload(rows: DataFrame, key: str, excluded: tuple[str, ...] = WEBHOOK_EXCLUDED) -> DataFrame:
+    """key and `payload`: what a task's webhook sends, nulls included."""
+    return rows.select(key, F.to_json(F.struct(*[F.col(f"`{c}`") for c in without(rows, excluded).columns]), {"ignoreNullFields": "false"}).alias("payload"))

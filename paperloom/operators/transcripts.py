@@ -54,3 +54,11 @@ def transcript_json(tokens: DataFrame, key: str) -> DataFrame:
     """key, json: the tokens in order as a JSON array."""
     rows = F.array_sort(F.collect_list(F.struct("seq", "type", "start_time", "end_time", "content", "language")))
     return tokens.groupBy(key).agg(F.to_json(rows).alias("json"))
+
+
+def subtitles_of_arrays(timings: Column, sentences: Column) -> Column:
+    """SRT of an array of (start, end) and one of sentences, in their order. Arrays of different lengths fail the query; null or empty ones give an empty text."""
+    pairs = F.arrays_zip(timings.alias("t"), sentences.alias("s"))
+    entries = F.transform(pairs, lambda p, i: F.concat_ws("\n", (i + 1).cast("string"), F.concat(srt_time(F.get(p["t"], F.lit(0))), F.lit(" --> "), srt_time(F.get(p["t"], F.lit(1)))), F.coalesce(p["s"], F.lit("")), F.lit("")))
+    alike = F.coalesce(F.size(timings), F.lit(0)) == F.coalesce(F.size(sentences), F.lit(0))
+    return F.when(alike, F.coalesce(F.array_join(entries, "\n"), F.lit(""))).otherwise(F.raise_error(F.lit("timings and sentences differ in number")))

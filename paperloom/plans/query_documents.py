@@ -16,7 +16,8 @@ from paperloom.operators import pages, tasks
 from paperloom.operators.languages import LANGUAGES, with_language
 from paperloom.plans import documents as plans
 from paperloom.providers import stub
-from paperloom.sources import archives, files, office, pdf
+from paperloom.sources import archives, file_sink, files, office, pdf
+from paperloom.sources.staging import staging_folder
 
 PADDED = "concat(chr(9) || ' ', replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10) || ' ')"
 
@@ -382,3 +383,68 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "pages").select("page_id", made("page_id", (F.length("html") % 37)).alias("content"))
     return pdf.page_counts(rows, "page_id").select("page_id", "n_pages", "error", mime.page_units(F.lit(mime.PDF), F.col("n_pages")).alias("units"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'application/zip' WHEN page_id % 3 = 2 AND page_id % 2 = 0 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN page_id % 3 = 2 THEN 'application/zip' ELSE 'text/html' END AS mime FROM pages")
+def mime_sniff_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types by the first 2,048 bytes, as for files on disk: a part name further on is not seen."""
+    kind = F.col("page_id") % 3
+    far = F.concat(F.unhex(F.lit("504B0304")), F.encode(F.repeat(F.lit("-"), 3000), "UTF-8"), F.encode(F.lit("word/"), "UTF-8"))
+    near = F.concat(F.unhex(F.lit("504B0304")), F.encode(F.lit("word/"), "UTF-8"))
+    content = F.when(kind == 1, far).when((kind == 2) & (F.col("page_id") % 2 == 0), near).when(kind == 2, far).otherwise(F.encode("html", "UTF-8"))
+    return table(spark, sf_dir, "pages").select("page_id", mime.sniff(content, 2048).alias("mime"))
+
+
+@query("""
+SELECT page_id, unnest(range(n)) AS page_no, CASE WHEN k = 0 THEN 'rendered ' || cast(unnest(range(n)) AS VARCHAR) WHEN k = 1 THEN 'converted ' || url WHEN k = 2 THEN url END AS content, CASE WHEN k = 4 THEN 'cannot convert' END AS error
+FROM (SELECT page_id, url, page_id % 6 AS k, CASE page_id % 6 WHEN 0 THEN page_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 4 THEN 1 ELSE 0 END AS n FROM pages)
+""")
+def page_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by type: a caller's functions render PDF files and convert images, JPEG passes, other types have none."""
+    kind = F.get(F.lit([mime.PDF, "image/png", "image/jpeg", "text/html", "image/webp", mime.DOCX]), (F.col("page_id") % 6).cast("int"))
+    content = F.when(F.col("page_id") % 6 == 0, (F.col("page_id") % 4).cast("string")).otherwise(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", kind.alias("mime"), F.encode(F.when(F.col("page_id") % 6 == 4, "bad").otherwise(content), "UTF-8").alias("content"))
+
+    def converter():
+        def convert(data: bytes) -> bytes:
+            if data == b"bad":
+                raise ValueError("cannot convert")
+            return b"converted " + data
+
+        return convert
+
+    found = pages.prepare_pages(rows, "page_id", lambda: lambda data: [b"rendered %d" % k for k in range(int(data))], converter)
+    return found.select("page_id", "page_no", F.decode("content", "UTF-8").alias("content"), "error")
+
+
+@query("SELECT item_id AS name, text AS prompt FROM (SELECT 'p' || cast(item_id AS VARCHAR) AS item_id, text FROM benchmark)")
+def prompt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts staged as prompt files, and read whole."""
+    folder = staging_folder(spark, "prompts")
+    name = F.concat(F.lit("p"), F.col("item_id").cast("string"), F.lit(".prompt"))
+    file_sink.write_files(table(spark, sf_dir, "benchmark").select(name.alias("path"), "text"), folder, content="text")
+    return files.read_prompts(spark, folder)
+
+
+@query(f"SELECT doc_id, coalesce(string_agg('corrected: ' || trim(content), chr(10) || chr(10) ORDER BY page_no) FILTER (trim(content) <> ''), '') AS merged, count(*) AS units FROM ({PAGES_SQL}) GROUP BY doc_id")
+def page_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages through the stub model and, where it finds a text, through a second one that corrects it."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
+    return plans.recognise_pages(pages.explode_pages(documents, "doc_id", F.col("text")), "doc_id", stub(), stub("corrected: "))
+
+
+@query("""
+SELECT archive, member_path, CASE k WHEN 0 THEN 'page ' || cast(page_id AS VARCHAR) || chr(10) || chr(10) || url WHEN 1 THEN 'read ' || chr(65533) || 'PNG' || chr(13) || chr(10) || chr(26) || chr(10) || cast(page_id AS VARCHAR) ELSE '' END AS text FROM
+(SELECT page_id // 50 AS archive, page_id, url, page_id % 4 AS k, 'm' || cast(page_id AS VARCHAR) || CASE page_id % 4 WHEN 0 THEN '.docx' WHEN 1 THEN '.png' WHEN 2 THEN '.zip' ELSE '.txt' END AS member_path FROM pages)
+""")
+def archive_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of office documents, images, archives and plain files: each member through the reader of its type; nested archives stay closed."""
+    @F.pandas_udf("binary")
+    def made(page_id: pd.Series, url: pd.Series) -> pd.Series:
+        return pd.Series([_docx([f"page {i}", u]) if i % 4 == 0 else b"\x89PNG\r\n\x1a\n%d" % i if i % 4 == 1 else b"PK\x05\x06" + bytes(18) if i % 4 == 2 else u.encode() for i, u in zip(page_id, url)])
+
+    suffix = F.get(F.lit([".docx", ".png", ".zip", ".txt"]), (F.col("page_id") % 4).cast("int"))
+    rows = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 50).cast("long").alias("archive"), F.concat(F.lit("m"), F.col("page_id").cast("string"), suffix).alias("path"), made("page_id", "url").alias("content"))
+    zipped = archives.zip_members(rows, "archive", "path", "content").select("archive", F.col("zipped").alias("content"), F.lit("application/zip").alias("mime"))
+    found = plans.archive_texts(zipped, "archive", stub("read "))
+    return found.select("archive", "member_path", F.coalesce("text", F.lit("")).alias("text"))

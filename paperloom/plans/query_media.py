@@ -77,11 +77,14 @@ def srt_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.srt_time(F.col("value") * 977.0).alias("srt"))
 
 
-@query(f"""
+SRT_SQL = f"""
 SELECT conv_id, string_agg(entry, chr(10) ORDER BY sentence_no) AS srt FROM
 (SELECT conv_id, sentence_no, cast(row_number() OVER (PARTITION BY conv_id ORDER BY sentence_no) AS VARCHAR) || chr(10) || {srt_time_sql('start_time')} || ' --> ' || {srt_time_sql('end_time')} || chr(10) || sentence || chr(10) AS entry FROM ({SENTENCES_SQL}))
 GROUP BY conv_id
-""")
+"""
+
+
+@query(SRT_SQL)
 def srt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.subtitles(transcripts.sentences(tokens(spark, sf_dir), "conv_id"), "conv_id")
 
@@ -288,3 +291,16 @@ def sound_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From bytes to chunks: decoded, silences found, cut points planned, and each chunk a container again, of so many samples."""
     cut = audio.cut_chunks(sounds(spark, sf_dir), "conv_id", SOUND_MIN, SOUND_MAX)
     return cut.select("conv_id", "chunk_id", "start_ms", "end_ms", "name", (F.octet_length("content") - 44).cast("long").alias("n_samples"))
+
+
+@query(SRT_SQL)
+def srt_of_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtitles from an array of timings and one of sentences, which must be as long."""
+    found = transcripts.sentences(tokens(spark, sf_dir), "conv_id")
+    rows = found.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("sentence_no", F.array("start_time", "end_time").alias("t"), "sentence"))).alias("rows"))
+    return rows.select("conv_id", transcripts.subtitles_of_arrays(F.transform("rows", lambda r: r["t"]), F.transform("rows", lambda r: r["sentence"])).alias("srt"))
+
+
+@query("SELECT event_id, cast((event_id % 90) * 60 * 1000 AS BIGINT) AS ms FROM events")
+def minutes_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", chunks.minutes_to_ms(F.col("event_id") % 90).alias("ms"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.catalog import query, table
 from paperloom.operators import tasks
 from paperloom.streaming import jobs
+from paperloom.streaming import webhooks as webhook_states
 
 STATUS_SQL = "CASE event_type WHEN 'signup' THEN 'init' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'error' END"
 
@@ -103,3 +104,52 @@ def job_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     started = events.groupBy("user_id").agg(F.min("at_ms").alias("submitted_ms")).select(F.col("user_id").alias("task_id"), F.when(F.col("user_id") % 9 != 2, job).alias("job_id"), "submitted_ms")
     status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "error").otherwise("processing")
     return jobs.replayed_jobs(started, events.select(job.alias("job_id"), "at_ms", status.alias("status")), 3_600_000, 20 * 86_400_000)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders) ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+def task_page_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of one user's listing."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    user = rows.agg(F.min("o_custkey")).first()[0]
+    return tasks.task_page(rows, [F.col("o_orderdate").desc(), F.col("o_orderkey")], user=user, user_col="o_custkey").select("o_orderkey", "o_orderdate")
+
+
+DOCUMENT_SQL = "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'https://host.example/' || cast(event_id AS VARCHAR) END AS file_url, CASE WHEN event_id % 4 = 1 THEN event_type END AS note, user_id FROM events"
+
+
+def created_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    return table(spark, sf_dir, "events").select(n, F.when(n % 3 != 0, F.concat(F.lit("https://host.example/"), n.cast("string"))).alias("file_url"), F.when(n % 4 == 1, F.col("event_type")).alias("note"), "user_id")
+
+
+@query(f"""
+SELECT event_id, '{{"event_id":' || cast(event_id AS VARCHAR) || coalesce(',"file_url":"' || file_url || '"', '') || coalesce(',"note":"' || note || '"', '') || ',"user_id":' || cast(user_id AS VARCHAR) || ',"tenant_id":"t1","task_status":"init"}}' AS document FROM ({DOCUMENT_SQL})
+""")
+def insert_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Created tasks as they are inserted, without the fields that are null."""
+    return tasks.insert_document(created_tasks(spark, sf_dir), "event_id", tenant_id=F.lit("t1"))
+
+
+@query(f"""
+SELECT event_id, '{{"event_id":' || cast(event_id AS VARCHAR) || ',"file_url":' || coalesce('"' || file_url || '"', 'null') || ',"user_id":' || cast(user_id AS VARCHAR) || '}}' AS payload FROM ({DOCUMENT_SQL})
+""")
+def webhook_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What webhooks of tasks send, all fields but an excluded one."""
+    return tasks.webhook_payload(created_tasks(spark, sf_dir), "event_id", ("note", "not there"))
+
+
+@query("SELECT event_id, user_id, event_type AS asset FROM events")
+def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage rows as a search sees them: without their consumptions."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("asset"), F.array(F.struct("value")).alias("consumptions"))
+    return tasks.without(rows, tasks.SEARCH_EXCLUDED)
+
+
+@query(f"""
+SELECT task_id, arg_max(status, (t, CASE WHEN t THEN -m ELSE m END, status)) AS status, arg_max(event_id, (t, CASE WHEN t THEN -m ELSE m END, status)) AS event_id
+FROM (SELECT user_id AS task_id, {STATUS_SQL} AS status, event_id, epoch_us(ts) AS m, {STATUS_SQL} IN ('completed', 'error') AS t FROM events) GROUP BY task_id
+""")
+def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task table that a log of states stands for: the first terminal state of each task, else its latest."""
+    log = states(spark, sf_dir).select(F.col("user_id").alias("task_id"), F.col("task_status").alias("status"), F.col("ts").alias("event_ts"), "event_id")
+    return webhook_states.current_tasks(log, ["event_id"]).select("task_id", "status", "event_id")

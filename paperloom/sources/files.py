@@ -19,6 +19,12 @@ def read_prompt(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def read_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """name, prompt: all prompt files below a folder, whole."""
+    rows = read_files(spark, folder, "*.prompt")
+    return rows.select(F.regexp_extract("path", r"([^/]+)\.prompt$", 1).alias("name"), F.decode("content", "UTF-8").alias("prompt"))
+
+
 def parse_form(text: Column, schema: str) -> tuple[Column, Column]:
     """A JSON form field as a struct, and whether it is acceptable. Empty and missing fields are null and acceptable."""
     given = or_default(text, F.lit(None).cast("string"))

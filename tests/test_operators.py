@@ -197,3 +197,24 @@ def test_quotas_of_one_asset_and_variant(spark):
         billing.gate(owed, quotas, "user_id", F.col("pages"), "coin").collect()
     with pytest.raises(Exception, match="You have only 1.0 coins, while you need 5 coins"):
         billing.required(gated.where("user_id = 'a'"), F.col("pages")).collect()
+
+
+def test_subtitles_need_as_many_timings_as_sentences(spark):
+    kinds = "t array<array<double>>, s array<string>"
+    srt = transcripts.subtitles_of_arrays(F.col("t"), F.col("s")).alias("srt")
+    rows = [([[0.0, 1.5], [86400.25, 90000.0]], ["a", "b"]), ([], []), (None, None)]
+    got = [r.srt for r in spark.createDataFrame(rows, kinds).select(srt).collect()]
+    assert got == ["1\n00:00:00,000 --> 00:00:01,500\na\n\n2\n00:00:00,250 --> 01:00:00,000\nb\n", "", ""]
+    for bad in [([[0.0, 1.0]], []), (None, ["a"])]:
+        with pytest.raises(Exception, match="differ in number"):
+            spark.createDataFrame([bad], kinds).select(srt).collect()
+
+
+def test_pages_by_type(spark):
+    from paperloom.functions import mime
+
+    rows = [(1, mime.PDF, b"2"), (2, mime.PDF, b"x"), (3, "image/png", b"p"), (4, "image/jpeg", b"j"), (5, "text/plain", b"t"), (6, None, b"n"), (7, mime.PDF, b"0")]
+    df = spark.createDataFrame(rows, "k int, mime string, content binary")
+    found = pages.prepare_pages(df, "k", lambda: lambda d: [d] * int(d), lambda: lambda d: d.upper())
+    got = sorted((r.k, r.page_no, None if r.content is None else bytes(r.content), r.error) for r in found.collect())
+    assert got[:2] == [(1, 0, b"2", None), (1, 1, b"2", None)] and got[2][2] is None and "invalid literal" in got[2][3] and got[3:] == [(3, 0, b"P", None), (4, 0, b"j", None)]
