@@ -1,4 +1,8 @@
-"""A compressed FM-index over integer sequences: wavelet matrix of the Burrows-Wheeler transform, searched in lockstep."""
+"""A compressed FM-index over integer sequences: wavelet matrix of the Burrows-Wheeler transform, searched in lockstep.
+
+Backward search keeps an interval of suffixes; common-prefix lengths of neighbouring suffixes widen it
+where a match must give up its last symbols, and least values over intervals tell whose suffixes it holds.
+"""
 
 from __future__ import annotations
 
@@ -66,45 +70,108 @@ def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
 
 
-class FMIndex:
-    """Over texts of symbols 1.. that each end with a 0; `depth` is the length of match that is told apart."""
+class Minima:
+    """Least values of ranges, from minima of all runs of 1, 2, 4, ... values."""
 
-    def __init__(self, text: np.ndarray, n_symbols: int, depth: int) -> None:
-        order, new = suffix_ranks(text, depth)
-        self.n, self.depth = len(text), depth
-        self.wavelet = WaveletMatrix(text[order - 1], n_symbols)
-        self.smaller = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n_symbols))[:-1]))
-        self.classes = BitVector(new)
-        self.class_start = np.append(np.flatnonzero(new), len(text))
-        self._order = order
+    def __init__(self, values: np.ndarray) -> None:
+        self.levels = [values]
+        while 2 << len(self.levels) - 1 <= len(values):
+            last, half = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of low:high, which are not empty."""
+        out = np.empty(len(low), dtype=self.levels[0].dtype)
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        for k in np.unique(level):
+            mine = np.flatnonzero(level == k)
+            values = self.levels[k]
+            out[mine] = np.minimum(values[low[mine]], values[high[mine] - (1 << int(k))])
+        return out
 
-    def least_of_class(self, value: np.ndarray) -> np.ndarray:
-        """For each class of suffixes with equal first `depth` symbols, the least value among where they begin."""
-        return np.minimum.reduceat(value[self._order], self.class_start[:-1])
+    def run_before(self, at: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """The least place from which on all values up to and with `at` reach the floor; `at` + 1 if its own does not."""
+        at = at + 1
+        for k in range(len(self.levels) - 1, -1, -1):
+            step = 1 << k
+            ahead = at - step
+            ok = ahead >= 0
+            ok[ok] = self.levels[k][ahead[ok]] >= floor[ok]
+            at = np.where(ok, ahead, at)
+        return at
+
+    def run_behind(self, at: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """The first place from `at` on whose value is below the floor, or the number of values."""
+        n = len(self.levels[0])
+        for k in range(len(self.levels) - 1, -1, -1):
+            ok = at + (1 << k) <= n
+            ok[ok] = self.levels[k][at[ok]] >= floor[ok]
+            at = np.where(ok, at + (1 << k), at)
+        return at
 
-    def forget_order(self) -> None:
-        """Searching needs the wavelet matrix and the class bits alone."""
-        del self._order
 
-    def matches(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """At each place of the streamed texts, the class of the next `depth` symbols, or -1 where the text ends sooner.
+class FMIndex:
+    """Over texts of symbols 1.. that each end with a 0. Matches are measured up to `depth` symbols; `value` is given for each place."""
+
+    def __init__(self, text: np.ndarray, n_symbols: int, depth: int, value: np.ndarray) -> None:
+        order, _ = suffix_ranks(text, depth)
+        self.n, self.depth, self.n_symbols = len(text), depth, n_symbols
+        self.wavelet = WaveletMatrix(text[order - 1], n_symbols)
+        self.smaller = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n_symbols))[:-1]))
+        self.values = Minima(value[order])
+        self.common = Minima(self._common_prefixes(text, order))
+
+    def _common_prefixes(self, text: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Of each suffix with the one before it in order, up to `depth`; 0 for the first."""
+        out = np.zeros(self.n, dtype=np.uint8 if self.depth < 256 else np.int32)
+        here, a, b = np.arange(1, self.n), order[1:], order[:-1]
+        for k in range(self.depth):
+            ok = (a + k < self.n) & (b + k < self.n)
+            ok[ok] = text[a[ok] + k] == text[b[ok] + k]
+            here, a, b = here[ok], a[ok], b[ok]
+            out[here] = k + 1
+        return out
 
-        All texts go backwards in lockstep. Each holds the interval of suffixes that match what it
-        has read, `depth` symbols at most: once it reads more, the last symbol is given up by
-        widening the interval to its class. The texts streamed are ones that are indexed, so no
-        step empties an interval. Sizes must not ascend.
+    def _extended(self, low: np.ndarray, high: np.ndarray, depth: np.ndarray, symbol: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The intervals of matches cut to `depth` symbols with one more before them, and whether these hold a suffix whose value is below."""
+        whole = depth == 0
+        low = np.where(whole, 0, self.common.run_before(low, depth) - 1)
+        high = np.where(whole, self.n, self.common.run_behind(high, depth))
+        both = self.wavelet.rank(np.concatenate((symbol, symbol)), np.concatenate((low, high)))
+        low, high = self.smaller[symbol] + both[: len(symbol)], self.smaller[symbol] + both[len(symbol) :]
+        found = high > low
+        found[found] = self.values.least(low[found], high[found]) < below[found]
+        return low, high, found
+
+    def statistics(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Matching statistics: at each place of the streamed texts, how many of the symbols from there on also stand, one after the other, where
+        the value is below the text's own bound; `depth` at most. Symbols out of range stand nowhere.
+
+        All texts go backwards in lockstep. Each holds the interval of its match; where one more symbol leaves nothing below the bound,
+        the match gives up last symbols, as few as will do (found by halving, as fewer symbols never match less). Sizes must not ascend.
         """
-        out = np.full(len(text), -1, dtype=np.int64)
-        low, high = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), self.n, dtype=np.int64)
+        out = np.zeros(len(text), dtype=np.int64)
+        low, high, length = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), self.n, dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
         for step in range(int(sizes.max(initial=0))):
             active = int(np.searchsorted(-sizes, -step, side="left"))
             at = starts[:active] + sizes[:active] - 1 - step
-            symbol = text[at]
-            both = self.wavelet.rank(np.concatenate((symbol, symbol)), np.concatenate((low[:active], high[:active])))
-            low[:active] = self.smaller[symbol] + both[:active]
-            high[:active] = self.smaller[symbol] + both[active:]
-            if step + 1 >= self.depth:
-                own = self.classes.rank(low[:active] + 1) - 1
-                low[:active], high[:active] = self.class_start[own], self.class_start[own + 1]
-                out[at] = own
+            known = (text[at] > 0) & (text[at] < self.n_symbols)
+            lanes = np.flatnonzero(known)
+            gone = np.flatnonzero(~known)
+            low[gone], high[gone], length[gone] = 0, self.n, 0
+            symbol = text[at[lanes]]
+            # the depth that holds, -1 for none; first what is there, then by halving below it
+            best, top = np.full(len(lanes), -1, dtype=np.int64), np.minimum(length[lanes], self.depth - 1)
+            a, b = np.zeros(len(lanes), dtype=np.int64), top.copy()
+            new_low, new_high = np.zeros(len(lanes), dtype=np.int64), np.full(len(lanes), self.n, dtype=np.int64)
+            rest, tried = np.arange(len(lanes)), top
+            while len(rest):
+                x, y, ok = self._extended(low[lanes[rest]], high[lanes[rest]], tried, symbol[rest], below[lanes[rest]])
+                hit = rest[ok]
+                best[hit], new_low[hit], new_high[hit] = tried[ok], x[ok], y[ok]
+                a[hit], b[rest[~ok]] = tried[ok] + 1, tried[~ok] - 1
+                rest = rest[a[rest] <= b[rest]]
+                tried = (a[rest] + b[rest] + 1) // 2
+            low[lanes], high[lanes], length[lanes] = new_low, new_high, best + 1
+            out[at] = length[:active]
         return out

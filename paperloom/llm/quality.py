@@ -1,7 +1,8 @@
 """Quality rules: n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Words and word pairs of every whole text are counted by hash in two multinomials: one over all
-documents (raw), one over all trusted documents (target). A document's score is the sum of
+documents (raw), one over trusted documents (target; all of them up to TRUSTED, then the TRUSTED least by a hash of
+the id). A document's score is the sum of
 log(target / raw) over its n-grams divided by their number; it is kept if the score reaches
 `threshold`, a constant. A base rule comes before: too few words, or too many words in repeated
 windows, fail.
@@ -11,8 +12,8 @@ distinct one, whatever the input's size: the share of rare n-grams that frequent
 small and does not grow with the corpus.
 
 Scale: the model is never in one place; see block_counts. Exchanged: the compressed text once, and
-per block and distinct n-gram about 2.5 bytes there and 1 back. The ids of all trusted documents,
-8 bytes each, are broadcast.
+per block and distinct n-gram about 2.5 bytes there and 1 back. The ids of trusted documents are
+broadcast, at most 8 MB at any size of input.
 
 Blocks are packed twice, once to ask and once to score. Rows that come in another order the second
 time (as after a shuffle without a total order) make the query fail, never a wrong score; write
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 from paperloom.llm import block_counts as bc
 from paperloom.llm.words import Block, blocks, inside_words, mix, release_memory, repeated, window_hashes
 
+#: The labelled rows that the target is fitted on, at most.
+TRUSTED = 1_000_000
 SPARE_BITS = 3
 THRESHOLD = -0.15
 PRIOR = 10
@@ -105,10 +108,11 @@ def _is_trusted(ids: pa.Array, trusted: np.ndarray) -> np.ndarray:
     return found & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> np.ndarray:
-    """Of all trusted documents: quality 1, toxic 0 or null. Ascending."""
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int = TRUSTED) -> np.ndarray:
+    """Of trusted documents (quality 1, toxic 0 or null), `most` at most. Ascending."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col(id_col).isNotNull())
-    return np.sort(good.select(F.col(id_col).cast("long").alias("id")).distinct().toArrow()["id"].to_numpy())
+    ids = good.select(F.col(id_col).cast("long").alias("id")).distinct()
+    return np.sort(ids.orderBy(F.xxhash64("id"), "id").limit(most).toArrow()["id"].to_numpy())
 
 
 def _size(trusted):

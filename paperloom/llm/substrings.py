@@ -1,29 +1,30 @@
 """Substring dedup: words covered by a window of 50 words that also starts in a document with a smaller doc_id are removed.
 
-A compressed FM-index per shard (see fm_index): texts are searched backwards over wavelet
-matrices, which gives at every place the class of the next 50 words among all that the shard
-holds, and with it the least doc_id where they stand. Intervals are reported where that is smaller
-than the document's own.
+A compressed FM-index per shard (see fm_index): texts are streamed through it backwards over wavelet
+matrices, which gives matching statistics: at every place, how many of the next words also stand in what the
+shard holds of documents with smaller ids. A match that grows until no such document has it gives up its
+last words. Places where 50 words match are reported.
 
 What a shard must hold: every window of 50 words has an anchor, its run of ANCHOR words with the
 least hash; equal windows have equal anchors. First only anchors' hashes are counted; those found
 in one document alone end there. For the others, each document sends the segment of words that
-the windows of an anchor cover. Equal segments are one, under the least doc_id; a shard is dealt
-by anchor, so equal windows meet in one index. Anchors found in more than HOT documents are split:
-each of their windows is a segment of its own, dealt by its whole hash.
+the windows of an anchor cover. Equal segments are indexed and streamed once, under the least doc_id: in
+documents with greater ids they go whole. A shard is dealt by anchor, so equal windows meet in one index.
+Anchors found in more than HOT documents are split: each of their windows is a segment of its own, dealt by
+its whole hash.
 
 Scale: exchanged are the anchors' hashes (about one in 20 words), the text once to the documents
 that share anchors and once for the result, and distinct shared segments at 6 bytes a word. A
-shard's index is built in one task from about SHARD_WORDS words. Documents with equal segments
-send small rows, joined with the answers under adaptive skew handling.
+shard's index is built in one task from about SHARD_WORDS words. Joins by anchor or segment are salted by
+document: those of hot anchors over SALTS tasks each, so boilerplate is not one task's.
 
 Words have 48-bit hashes inside segments: two windows are taken as equal in error only if they
 differ in nothing but words of equal hashes.
 
 Cases: null texts have no words; texts of fewer than 50 words lose none. Rows with a null doc_id
-are kept whole and remove nothing. Rows with one doc_id do not remove each other's words; the
-ranges found for either are removed from both where they reach. An empty table gives no rows.
-Extra columns are ignored.
+are kept whole and remove nothing. Rows with one doc_id do not remove each other's words, and each loses
+its own; they are told apart by a 64-bit hash of the text. An empty table gives no rows. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ from paperloom.llm.words import _BASE, _BASE_INVERSE, Block, _power, blocks, mix
 WINDOW = 50
 ANCHOR = 12
 HOT = 5_000
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
+SALTS = 16
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _PLACE_BITS = np.uint64(28)
 
@@ -80,11 +82,12 @@ class Anchors:
 def _anchor_keys(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, texts = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for low, _, block in blocks(batch.column(1)):
                 found = Anchors(block, window, anchor)
                 _, once = np.unique(mix(found.key.view(np.uint64) + mix(found.row.astype(np.uint64))), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.key[once]), pa.array(ids[low + found.row[once]])], names=["key", "doc_id"])
+                rows = low + found.row[once]
+                yield pa.RecordBatch.from_arrays([pa.array(found.key[once]), pa.array(ids[rows]), pa.array(texts[rows])], names=["key", "doc_id", "row"])
 
     return run
 
@@ -97,12 +100,12 @@ def _span_digests(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
 
 
 def _segments(window: int, anchor: int):
-    """Rows of two kinds: occurrences (doc_id, start; no words), and once a task each distinct segment's words with a doc_id."""
+    """Rows of two kinds: occurrences (doc_id, row, start; no words), and once a task each distinct segment's words with a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[tuple[int, int], int] = {}
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, texts = batch.column(0).to_numpy(), batch.column(3).to_numpy()
             wanted = batch.column(2)
             sizes = np.diff(wanted.offsets.to_numpy())
             flat = wanted.flatten()
@@ -119,59 +122,62 @@ def _segments(window: int, anchor: int):
                 is_hot = np.zeros(len(ask), dtype=bool)
                 is_hot[shared] = hot[mine][order][at[shared]]
                 low, high, key, row = (x[shared & ~is_hot] for x in (found.low, found.high, found.key, found.row))
+                split = np.zeros(len(low), dtype=bool)
                 if is_hot.any():  # each window alone, under its own hash
                     n = (found.high - found.low + 1)[is_hot]
                     single = np.repeat(found.low[is_hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     low, high = np.concatenate((low, single)), np.concatenate((high, single))
                     row = np.concatenate((row, np.repeat(found.row[is_hot], n)))
+                    split = np.concatenate((split, np.ones(len(single), dtype=bool)))
                     key = np.concatenate((key, _span_digests(found.words, single, single + window).view(np.int64)))
                 digest = _span_digests(found.words, low, high + window).view(np.int64)
                 doc = ids[start + row]
                 packed = found.words.view(np.uint8).reshape(-1, 8)[:, :6]
-                new_key, new_digest, new_doc, new_words = [], [], [], []
-                for k, d, i, a, b in zip(key.tolist(), digest.tolist(), doc.tolist(), low.tolist(), high.tolist()):
+                new_key, new_digest, new_doc, new_words, new_split = [], [], [], [], []
+                for k, d, i, a, b, x in zip(key.tolist(), digest.tolist(), doc.tolist(), low.tolist(), high.tolist(), split.tolist()):
                     before = least.get((k, d))
                     if before is None or i < before:
                         least[k, d] = i
-                        new_key.append(k), new_digest.append(d), new_doc.append(i)
+                        new_key.append(k), new_digest.append(d), new_doc.append(i), new_split.append(x)
                         new_words.append(packed[a : b + window].tobytes() if before is None else b"")
                 starts = low - block.first_word[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([pa.array(key), pa.array(new_key, pa.int64())]), pa.concat_arrays([pa.array(digest), pa.array(new_digest, pa.int64())]), pa.concat_arrays([pa.array(doc), pa.array(new_doc, pa.int64())]), pa.concat_arrays([pa.array(starts), pa.nulls(len(new_key), pa.int64())]), pa.concat_arrays([pa.nulls(len(key), pa.binary()), pa.array(new_words, pa.binary())])],
-                    names=["key", "digest", "doc_id", "start", "words"],
-                )
+                more = pa.nulls(len(new_key), pa.int64())
+                columns = [(pa.array(key), pa.array(new_key, pa.int64())), (pa.array(digest), pa.array(new_digest, pa.int64())), (pa.array(doc), pa.array(new_doc, pa.int64())), (pa.array(texts[start + row]), more), (pa.array(starts), more)]
+                columns += [(pa.array(split), pa.array(new_split, pa.bool_())), (pa.nulls(len(key), pa.binary()), pa.array(new_words, pa.binary()))]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["key", "digest", "doc_id", "row", "start", "split", "words"])
 
     return run
 
 
 def _search(window: int):
-    """Index a shard's distinct segments, stream them through, and tell runs of windows with one least doc_id."""
+    """Index a shard's distinct segments, stream them through, and tell each one's runs of windows that documents with smaller ids have."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, digest, doc = (table[c].to_numpy() for c in ("key", "digest", "doc_id"))
+        key, digest, doc, split = (table[c].to_numpy() for c in ("key", "digest", "doc_id", "split"))
         texts = [np.frombuffer(x.as_py(), dtype=np.uint8).reshape(-1, 6) for x in table["words"]]
         sizes = np.array([len(t) for t in texts])
         order = np.argsort(-sizes, kind="stable")
-        key, digest, doc, sizes = key[order], digest[order], doc[order], sizes[order]
+        key, digest, doc, split, sizes = key[order], digest[order], doc[order], split[order], sizes[order]
         wide = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
         wide[:, :6] = np.concatenate([texts[k] for k in order])
         names, symbol = np.unique(wide.view(np.uint64).reshape(-1), return_inverse=True)
         starts = np.cumsum(sizes + 1) - sizes - 1
         text = np.zeros(len(symbol) + len(sizes), dtype=np.int64)
         text[np.arange(len(symbol)) + np.repeat(np.arange(len(sizes)), sizes)] = symbol + 1
-        index = FMIndex(text, len(names) + 1, window)
-        least = index.least_of_class(np.repeat(doc, sizes + 1))
-        index.forget_order()
-        found = index.matches(text, starts, sizes)
+        rank = np.unique(doc, return_inverse=True)[1].astype(np.int32)
+        index = FMIndex(text, len(names) + 1, window, np.repeat(rank, sizes + 1))
+        found = index.statistics(text, starts, sizes, rank)
+        del index
         n = sizes - window + 1
         owner = np.repeat(np.arange(len(sizes)), n)
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        value = least[found[starts[owner] + offset]]
-        first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1]))))
+        hits = np.flatnonzero(found[starts[owner] + offset] >= window)
+        owner, offset = owner[hits], offset[hits]
+        first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)))) if len(hits) else hits
         length = np.diff(np.append(first, len(owner)))
-        runs = pa.StructArray.from_arrays([pa.array(offset[first]), pa.array(length), pa.array(value[first])], names=["offset", "length", "least"])
+        runs = pa.StructArray.from_arrays([pa.array(offset[first]), pa.array(length)], names=["offset", "length"])
         cuts = np.searchsorted(owner[first], np.arange(len(sizes) + 1)).astype(np.int32)
-        return pa.table([pa.array(key), pa.array(digest), pa.ListArray.from_arrays(pa.array(cuts), runs)], names=["key", "digest", "runs"])
+        return pa.table([pa.array(key), pa.array(digest), pa.array(doc), pa.array(split), pa.array(sizes), pa.ListArray.from_arrays(pa.array(cuts), runs)], names=["key", "digest", "least", "split", "size", "runs"])
 
     return run
 
@@ -191,25 +197,33 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_ranges(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id and `ranges`: the word ranges (low, high; end exclusive, perhaps overlapping) to remove. documents: doc_id, text."""
+    """doc_id, row and `ranges`: the word ranges (low, high; end exclusive, perhaps overlapping) to remove. documents: doc_id, text, row (a hash of the text)."""
     documents = documents.where("doc_id IS NOT NULL")
-    anchors = documents.mapInArrow(_anchor_keys(window, anchor), "key long, doc_id long")
+    anchors = documents.select("doc_id", "text", "row").mapInArrow(_anchor_keys(window, anchor), "key long, doc_id long, row long")
     shared = anchors.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("key", (F.col("n") > hot).alias("hot"))
-    wanted = anchors.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "hot")).alias("wanted"))
-    sent = cut(documents.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_segments(window, anchor), "key long, digest long, doc_id long, start long, words binary"), "segments")
-
-    segments = sent.where("words IS NOT NULL").groupBy("key", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
+    salt = F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS)).cast("int").alias("salt")
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    met = anchors.select("key", "doc_id", "row", salt).join(shared.select("key", "hot", each), ["key", "salt"])
+    wanted = met.groupBy("doc_id", "row").agg(F.collect_list(F.struct("key", "hot")).alias("wanted"))
+    sent = documents.join(wanted, ["doc_id", "row"]).select("doc_id", "text", "wanted", "row").mapInArrow(_segments(window, anchor), "key long, digest long, doc_id long, row long, start long, split boolean, words binary")
+    sent = cut(sent, "segments")
+
+    segments = sent.where("words IS NOT NULL").groupBy("key", "digest", "split").agg(F.min("doc_id").alias("doc_id"), F.max("words").alias("words"))
     n_words = sent.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, -(-n_words // (6 * shard_words)))
-    answers = segments.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInArrow(_search(window), "key long, digest long, runs array<struct<offset:long, length:long, least:long>>")
-    smaller = F.filter("runs", lambda r: r["least"] < F.col("doc_id"))
-    ranges = F.transform(smaller, lambda r: F.struct((F.col("start") + r["offset"]).alias("low"), (F.col("start") + r["offset"] + r["length"] + F.lit(window - 1)).alias("high")))
-    hit = sent.where("words IS NULL").select("key", "digest", "doc_id", "start").join(answers, ["key", "digest"]).select("doc_id", ranges.alias("ranges")).where(F.size("ranges") > 0)
-    return hit.groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    answers = segments.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInArrow(_search(window), "key long, digest long, least long, split boolean, size long, runs array<struct<offset:long, length:long>>")
+    # windows of hot anchors have an answer for each salt
+    salts = F.when(F.col("split"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    answers = answers.select("key", "digest", "least", "size", "runs", F.explode(salts).alias("salt"))
+    asks = sent.where("words IS NULL").select("key", "digest", "doc_id", "row", "start", F.when(F.col("split"), salt).otherwise(F.lit(0)).alias("salt"))
+    whole = F.array(F.struct(F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high")))
+    parts = F.transform("runs", lambda r: F.struct((F.col("start") + r["offset"]).alias("low"), (F.col("start") + r["offset"] + r["length"] + F.lit(window - 1)).alias("high")))
+    hit = asks.join(answers, ["key", "digest", "salt"]).select("doc_id", "row", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(parts).alias("ranges")).where(F.size("ranges") > 0)
+    return hit.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def substring_dedup(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of SCHEMA for every document."""
-    documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
     ranges = cut(repeated_ranges(documents, window, anchor, hot, shard_words), "ranges")
-    return documents.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_remove, SCHEMA)
+    return documents.join(ranges, ["doc_id", "row"], "left").select("doc_id", "text", "ranges").mapInArrow(_remove, SCHEMA)

@@ -94,3 +94,10 @@ def test_toxic_text_of_good_form_is_not_caught(spark, sf_dir):
     toxic = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1 AND toxic = 1").select("doc_id")
     got = q.quality_rules(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).join(toxic, "doc_id").where("NOT base_failed").collect()
     assert len(got) == 40 and sum(r.kept for r in got) == 40 and "toxic text of good form" in q.__doc__
+
+
+def test_trusted_documents_are_bounded(spark):
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(50)] * 2 + [(99, 1, 1), (None, 1, 0), (98, 0, 0)], LABELS)
+    assert q.trusted_ids(labels).tolist() == list(range(50))
+    few = q.trusted_ids(labels, most=7)
+    assert len(set(few)) == 7 and (few == q.trusted_ids(labels.repartition(3), most=7)).all()
