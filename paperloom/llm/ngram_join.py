@@ -13,7 +13,7 @@ a group is verified, no link found by any band is lost to a bucket's size. (Veri
 bucket would send a document's shingles once for each of its bands; a group sends them once.)
 
 Scale: two narrow passes over the texts; the second takes only documents that have candidates,
-after a join on doc_id that carries their text once. Band rows are 24 bytes. Nodes and classes are
+after a join on doc_id and a hash of the text that carries their text once. Band rows are 24 bytes. Nodes and classes are
 64-bit digests of shingle sets. Components are found by distributed contraction. Small groups are
 bundled, some BUNDLE nodes or BUNDLE_SHINGLES shingles at a time, however long their texts are.
 
@@ -23,7 +23,8 @@ with the same shingle set; n_copies, how many have it.
 
 Cases: a text of fewer than five words has its whole word sequence as its one shingle. Texts
 without words (null, empty, white space) equal each other and link to nothing else. Rows without a
-doc_id are left out. A repeated doc_id counts as another document. An empty table gives no rows.
+doc_id are documents like others; class_id and copy_id are null where no document of the class, or no copy,
+has one. A repeated doc_id counts as another document. An empty table gives no rows.
 Extra columns are ignored.
 """
 
@@ -112,7 +113,7 @@ def _signer(width: int, bands: int, rows_each: int):
                 counts[rows[first] + 1] = bands
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                 sizes = np.bincount(rows, minlength=high - low)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(nodes), pa.array(sizes, pa.int64()), lists], names=["doc_id", "node", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(nodes), pa.array(sizes, pa.int64()), lists], names=["doc_id", "row", "node", "size", "bands"])
         release_memory()
 
     return run
@@ -203,21 +204,22 @@ def _verifier(threshold: float):
 
 def ngram_jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, recall: float = RECALL, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     bands, rows_each = choose_bands(threshold, recall)
-    documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    signed = cut(documents.mapInArrow(_signer(width, bands, rows_each), "doc_id long, node long, size long, bands array<long>"), "signatures")
-    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row"))
+    signed = cut(documents.mapInArrow(_signer(width, bands, rows_each), "doc_id long, row long, node long, size long, bands array<long>"), "signatures")
+    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.min(F.struct("row", "doc_id")).alias("reader"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
 
     banded = nodes.select(F.explode("bands").alias("key"), "node")
     stars = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key", "a")
     groups = connected_components(banded.join(stars, "key").select("a", F.col("node").alias("b")))
 
-    grouped = nodes.select("node", "copy_id", "copies", "size").join(groups, "node")
+    grouped = nodes.select("node", "reader", "copies", "size").join(groups, "node")
     parts = F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_shingles)).cast("long")
     sizes = cut(grouped.groupBy("component").agg(parts.alias("parts"), F.count("*").alias("n"), F.sum("size").alias("size")), "groups")
     n_small, shingles = (x or 0 for x in sizes.where("parts = 1").agg(F.sum("n"), F.sum("size")).first())
     n_bundles = max(1, -(-n_small // BUNDLE), -(-shingles // BUNDLE_SHINGLES))
     members = grouped.drop("size").join(sizes.select("component", "parts"), "component")
-    read = documents.join(members.withColumnRenamed("copy_id", "doc_id"), "doc_id").select("text", "node", "component", "copies", "parts")
+    one = (F.col("row") == F.col("reader.row")) & F.col("doc_id").eqNullSafe(F.col("reader.doc_id"))
+    read = documents.join(members, one).select("text", "node", "component", "copies", "parts")
     sets = read.mapInArrow(_reader(width), "node long, component long, copies long, parts long, shingles array<long>")
     dealt = (
         sets

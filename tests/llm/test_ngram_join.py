@@ -8,7 +8,6 @@ from tests.llm.conftest import prose, words
 
 def brute(rows):
     """(doc_id, class_id, n_links, n_copies) over all pairs."""
-    rows = [r for r in rows if r[0] is not None]
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for _, t in rows]
     root, links = list(range(len(rows))), [0] * len(rows)
 
@@ -27,11 +26,12 @@ def brute(rows):
     members = {}
     for k, r in enumerate(rows):
         members.setdefault(top(k), []).append(r[0])
-    return sorted((r[0], min(members[top(k)]), links[k], sum(s == sets[k] for s in sets)) for k, r in enumerate(rows))
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    return sorted(((r[0], least(members[top(k)]), links[k], sum(s == sets[k] for s in sets)) for k, r in enumerate(rows)), key=str)
 
 
 def found(df):
-    return sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in df.collect())
+    return sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in df.collect()), key=str)
 
 
 def test_edge_rows(edge, edge_rows):
@@ -57,6 +57,14 @@ def test_groups_of_near_copies_whole_and_cut_into_parts(spark, block, block_shin
     assert found(nj.ngram_jaccard_join(df, block=block, block_shingles=block_shingles)) == brute(rows)
 
 
+def test_rows_without_ids_and_of_one_id(spark):
+    a, b, c = prose(80, 90), prose(81, 90), prose(82, 90)
+    near = a.replace(" ", "  ", 3).rsplit(" ", 1)[0]
+    rows = [(None, a), (None, near), (None, b), (None, b), (4, b), (4, c), (4, c), (4, None), (None, ""), (6, c.rsplit(" ", 2)[0]), (None, prose(83, 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(nj.ngram_jaccard_join(df)) == brute(rows)
+
+
 def test_bands_reach_the_recall():
     bands, rows = nj.choose_bands()
     assert bands * rows <= nj.MAX_HASHES and 1 - (1 - 0.8**rows) ** bands >= nj.RECALL
