@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import mixing, ngram_join, packing, pii, quality
@@ -32,15 +32,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # every id and text is a document of its own to the join, under a key that is never null
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit("")))
-    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # every id and text is a document of its own to the join, under a key that is never null; a digest keeps those apart whose keys meet by chance
+    id_of, text_of = F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit(""))
+    rows = docs.select(F.xxhash64(id_of, text_of).alias("key"), F.md5(F.concat_ws(":", id_of, text_of)).alias("digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     classes = ngram_join.ngram_jaccard_join(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
     ids = rows.select("key", F.col("row.doc_id").alias("id")).distinct()
     order = F.struct(F.col("id").isNull().alias("unknown"), "id", "key")
     first = classes.select(F.col("doc_id").alias("key"), "class_id").distinct().join(ids, "key").groupBy("class_id").agg(F.min(order).alias("first"))
     kept = rows.join(first.select("first.key"), "key", "left_semi")
-    return kept.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
+    return kept.groupBy("key", "digest").agg(F.min_by("row", _order(docs)).alias("row")).select("row.*")
+
+
+def _order(docs: DataFrame) -> Column:
+    """An order of whole rows, column by column; those whose type has none go by their JSON."""
+    columns = [F.col("row")[f.name] for f in docs.schema]
+    return F.struct(*[F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else c for f, c in zip(docs.schema, columns)])
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
