@@ -16,7 +16,7 @@ from paperloom.operators import pages, tasks
 from paperloom.operators.languages import LANGUAGES, with_language
 from paperloom.plans import documents as plans
 from paperloom.providers import stub
-from paperloom.sources import archives, file_sink, files, office, pdf
+from paperloom.sources import archives, file_sink, files, images, office, pdf
 from paperloom.sources.staging import staging_folder
 
 PADDED = "concat(chr(9) || ' ', replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10) || ' ')"
@@ -448,3 +448,39 @@ def archive_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     zipped = archives.zip_members(rows, "archive", "path", "content").select("archive", F.col("zipped").alias("content"), F.lit("application/zip").alias("mime"))
     found = plans.archive_texts(zipped, "archive", stub("read "))
     return found.select("archive", "member_path", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _grey_png(data: bytes, width: int = 64) -> bytes:
+    """Bytes as a grey image of rows of so many pixels, the last one filled with black."""
+    height = max(1, -(-len(data) // width))
+    data = data.ljust(width * height, b"\0")
+    chunk = lambda name, body: len(body).to_bytes(4, "big") + name + body + zlib.crc32(name + body).to_bytes(4, "big")
+    head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    rows = b"".join(b"\0" + data[k : k + width] for k in range(0, len(data), width))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("binary")
+    def drawn(page_id: pd.Series, html: pd.Series) -> pd.Series:
+        return pd.Series([h.encode() if i % 5 == 4 else _grey_png(h.encode()) for i, h in zip(page_id, html)])
+
+    return table(spark, sf_dir, "pages").select("page_id", drawn("page_id", "html").alias("content"))
+
+
+IMAGES_SQL = "SELECT page_id, page_id % 5 = 4 AS broken, hex(encode(html)) AS h, greatest(1, (octet_length(encode(html)) + 63) // 64) AS height FROM pages"
+
+
+@query(f"SELECT page_id, CASE WHEN NOT broken THEN cast(64 AS BIGINT) END AS width, CASE WHEN NOT broken THEN cast(height AS BIGINT) END AS height, CASE WHEN NOT broken THEN sha256(unhex(regexp_replace(rpad(h, cast(height * 128 AS INTEGER), '0'), '(..)', '\\1\\1\\1', 'g'))) END AS sha256, CASE WHEN broken THEN 'not a PNG' END AS error FROM ({IMAGES_SQL})")
+def image_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' bytes as grey PNG images, decoded to RGB; some are no images."""
+    found = images.rgb_table(page_images(spark, sf_dir), "page_id")
+    return found.select("page_id", "width", "height", F.sha2("rgb", 256).alias("sha256"), "error")
+
+
+@query(f"SELECT page_id, CASE WHEN NOT broken THEN 'image/jpeg' END AS mime, CASE WHEN NOT broken THEN cast(height AS BIGINT) END AS height, CASE WHEN broken THEN 'not a PNG' END AS error FROM ({IMAGES_SQL})")
+def image_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images as JPEG: the type that their bytes have, and the height that their frame header states."""
+    found = images.jpeg_table(page_images(spark, sf_dir), "page_id")
+    frame = F.regexp_extract(F.hex("jpeg"), "FFC0001108([0-9A-F]{4})", 1)
+    return found.select("page_id", F.when(F.col("jpeg").isNotNull(), mime.sniff(F.col("jpeg"))).alias("mime"), F.conv(F.nullif(frame, F.lit("")), 16, 10).cast("long").alias("height"), "error")
