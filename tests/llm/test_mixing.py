@@ -123,3 +123,11 @@ def test_main_path_is_native(spark, edge):
     labelled = spark.createDataFrame([(0, "en"), (1, "fr")], "doc_id long, domain string")
     plan = mixing.mixed_documents(edge, labelled, TARGETS)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def test_few_passes_read_the_documents(spark, sf_dir):
+    """Rehearsed on cells, the fit ends after a few steps over the documents, and says how."""
+    documents = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    mixed, fit = mixing.mixed_with_fit(documents, documents.where("doc_id % 2 = 0").select("doc_id", documents.lang.alias("domain")), TARGETS)
+    assert fit.met and fit.steps <= 12 and mixed.count() >= documents.count()
+    assert sum(fit.reached) == pytest.approx(sum(fit.targets), rel=1e-4)
