@@ -9,8 +9,11 @@ frequent n-gram costs one entry a block, and no task holds the whole model.
 Keys have as many bits as leave 2 ** spare keys to a counted n-gram, so the chance that two
 n-grams share a key does not grow with the corpus. Integers travel as compressed byte planes.
 
-Scale: rows exchanged are blocks x ranges until a row holds one key; from there (some 10 TB) the
-exchange is that of a grouping by n-gram with partial aggregation.
+Scale: with some hundred GB, blocks x ranges would be rows of a few keys each. From MOST_RANGES ranges on,
+counts therefore go through two levels: blocks ask by coarse range, groups of blocks are merged there and
+ask by fine range as one, and the totals come back the same way. Rows then hold some hundred keys at every
+size up to some 100 TB, their number grows with the input to the power 1.5 over a whole level and no
+faster than the keys, and the range of a frequent n-gram gets one entry a group of blocks.
 """
 
 from __future__ import annotations
@@ -24,11 +27,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from paperloom.llm.shared import cut
 from paperloom.llm.words import blocks, release_memory
 
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
+#: Ranges up to which blocks ask them directly; a block of 8 MB then has some hundred keys for each.
+MOST_RANGES = 8192
 #: name of a kind of n-gram -> (ascending distinct keys, their bits, one array of counts or more)
 Grams = dict[str, tuple[np.ndarray, int, list[np.ndarray]]]
 Kinds = dict[str, int]  # name -> how many arrays of counts
@@ -233,6 +240,68 @@ def answered(asks: DataFrame, kinds: Kinds, sums: Callable[[dict[str, list[np.nd
     return asks.groupBy("range").applyInArrow(run, schema)
 
 
+def _merge(kinds: Kinds, bits: Kinds, ranges: int):
+    """The asks of a group of blocks for a coarse range as one block's, cut by fine ranges."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        found, counts = {}, {}
+        for kind, n in kinds.items():
+            parts = [(unpack_keys(k.as_py()), *unpack_counts(c.as_py(), n)) for k, c in zip(table[kind], table[f"{kind}_counts"])]
+            found[kind], counts[kind] = distinct(parts)
+        at = {kind: cuts(found[kind], bits[kind], ranges) for kind in kinds}
+        used = np.flatnonzero(sum(np.diff(x) for x in at.values()))
+        each = {kind: [slice(x[r], x[r + 1]) for r in used] for kind, x in at.items()}
+        columns = [[pack_keys(found[kind][p]) for p in each[kind]] for kind in kinds]
+        columns += [[pack_counts([c[p] for c in counts[kind]]) for p in each[kind]] for kind in kinds]
+        name = int(key[0].as_py()).to_bytes(8, "big") + int(key[1].as_py()).to_bytes(8, "big")
+        release_memory()
+        return pa.table([pa.array(used, pa.int32()), pa.array([name] * len(used), pa.binary()), *(pa.array(c, pa.binary()) for c in columns)], names=["range", "block", *kinds, *(f"{kind}_counts" for kind in kinds)])
+
+    return run
+
+
+def _part(kinds: Kinds):
+    """The totals of a group of blocks dealt out to its blocks, each in the order of its own keys."""
+
+    def run(asks: pa.Table, answers: pa.Table) -> pa.Table:
+        totals, out = totals_of(answers, kinds), []
+        for kind in kinds:
+            each = [unpack_keys(x.as_py()) for x in asks[kind]]
+            found = _ordered(each)[2]
+            out.append([pack_counts([t[np.searchsorted(found, keys)] for t in totals[kind]]) for keys in each])
+        release_memory()
+        return pa.table([asks["block"], asks["range"], *(pa.array(x, pa.binary()) for x in out)], names=["block", "range", *(f"{kind}_totals" for kind in kinds)])
+
+    return run
+
+
+def totalled(
+    asks: Callable[[int], DataFrame], ranges: int, blocks_in_all: int, bits: Kinds, kinds: Kinds, sums: Callable[[dict[str, list[np.ndarray]]], list[int]] | None = None, sum_names: tuple[str, ...] = (), most_ranges: int = MOST_RANGES
+) -> tuple[DataFrame, DataFrame | None]:
+    """The answers to `asks` (a function of the number of ranges) by block, in one level or two; and a row of sums for each range, where asked for.
+
+    bits: of each kind's keys. blocks_in_all may be an estimate.
+    """
+    if ranges <= most_ranges:
+        found = answered(asks(ranges), kinds, sums, sum_names)
+        if not sums:
+            return found, None
+        found = cut(found, "ngram-totals")
+        return found.drop(*sum_names), found.select("range", *sum_names).distinct()
+    coarse = math.isqrt(ranges - 1) + 1
+    fine = -(-ranges // coarse)
+    groups = max(1, -(-blocks_in_all // coarse))
+    dealt = cut(asks(coarse).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))), "asks")
+    names = ", ".join(["range int", "block binary", *(f"{kind} binary" for kind in kinds), *(f"{kind}_counts binary" for kind in kinds)])
+    merged = dealt.groupBy("range", "group").applyInArrow(_merge(kinds, bits, coarse * fine), names)
+    found = cut(answered(merged, kinds, sums, sum_names), "ngram-totals")
+    number = lambda low: F.conv(F.hex(F.substring("block", low, 8)), 16, 10).cast("long")
+    of_group = found.drop(*sum_names).withColumn("coarse", number(1)).withColumn("group", number(9))
+    schema = ", ".join(["block binary", "range int", *(f"{kind}_totals binary" for kind in kinds)])
+    back = dealt.groupBy("range", "group").cogroup(of_group.groupBy("coarse", "group")).applyInArrow(_part(kinds), schema)
+    return back, found.select("range", *sum_names).distinct() if sums else None
+
+
 def totals_of(answers: pa.Table, kinds: Kinds) -> dict[str, list[np.ndarray]]:
     """A block's answers joined to whole arrays, in the order of its keys."""
     answers = answers.sort_by("range")

@@ -224,13 +224,13 @@ def _score(totals: Totals, bits: int, smoothing: Smoothing):
     return run
 
 
-def lm_scores(documents: DataFrame, block_bytes: int = bc.BLOCK_BYTES, range_bytes: int = bc.RANGE_BYTES, smoothing: Smoothing = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(documents: DataFrame, block_bytes: int = bc.BLOCK_BYTES, range_bytes: int = bc.RANGE_BYTES, most_ranges: int = bc.MOST_RANGES, smoothing: Smoothing = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of SCHEMA for every document; those that are not held out train."""
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = documents.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     bits = bc.key_bits(size, SPARE_BITS - 2)  # a token has four bytes or more, as a rule
     packed = cut(bc.pack_blocks(documents, block_bytes), "blocks")
-    answers = cut(bc.answered(bc.asked(packed, _grams(bits), _KINDS, bc.n_ranges(size, range_bytes)), _KINDS, _sums, _SUMS), "ngram-totals")
-    totals = Totals(*answers.select("range", *_SUMS).distinct().agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in _SUMS]).first())
-    replies = answers.select("block", "range", *(f"{kind}_totals" for kind in _KINDS))
+    asks = lambda ranges: bc.asked(packed, _grams(bits), _KINDS, ranges)
+    replies, sums = bc.totalled(asks, bc.n_ranges(size, range_bytes), bc.n_ranges(size, block_bytes), {"words": 64, "pairs": bits, "triples": bits}, _KINDS, _sums, _SUMS, most_ranges)
+    totals = Totals(*sums.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in _SUMS]).first())
     return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(totals, bits, smoothing), SCHEMA)

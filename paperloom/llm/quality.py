@@ -183,7 +183,7 @@ def _score(kept_at: list[int], schema_names: list[str], threshold: float, bits:
     return run
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, spare_bits: int = SPARE_BITS, block_bytes: int = bc.BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, spare_bits: int = SPARE_BITS, block_bytes: int = bc.BLOCK_BYTES, range_bytes: int = bc.RANGE_BYTES, most_ranges: int = bc.MOST_RANGES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the kept columns (doc_id alone by default) and MEASURES."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
     keep = [c for c in (keep or [id_col]) if c not in names]
@@ -199,6 +199,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | Non
     kept_at = [other.index(c) if c != text_col else len(other) + 1 for c in keep]
     rows = documents.select(*other, F.col(id_col).cast("long").alias("\tid"), F.col(text_col).alias("\ttext"))
     packed = bc.pack_blocks(rows, block_bytes, level=9)
-    answers = bc.answered(bc.asked_of_rows(rows, block_bytes, _grams(trusted, bits), _KINDS, bc.n_ranges(size)), _KINDS)
+    asks = lambda ranges: bc.asked_of_rows(rows, block_bytes, _grams(trusted, bits), _KINDS, ranges)
+    answers, _ = bc.totalled(asks, bc.n_ranges(size, range_bytes), bc.n_ranges(size, block_bytes), {"grams": bits}, _KINDS, most_ranges=most_ranges)
     score = _score(kept_at, keep + names, threshold, bits, raw / target if target else 0.0)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)

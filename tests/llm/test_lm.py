@@ -124,3 +124,10 @@ def test_no_training_and_no_rows(spark, empty):
     r = lm.lm_scores(spark.createDataFrame([(out, "a b")], "doc_id long, text string")).first()
     assert (r.train_tokens, r.n_known, r.n_tokens, r.base_score) == (0, 0, 3, 0)
     assert lm.lm_scores(empty).count() == 0
+
+
+def test_counts_through_two_levels_give_the_same_scores(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = {"block_bytes": 20_000, "range_bytes": 9_000}
+    one, two = (sorted((r.doc_id, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in lm.lm_scores(documents, **more, most_ranges=n).collect()) for n in (10**6, 5))
+    assert one == two

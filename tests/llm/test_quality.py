@@ -101,3 +101,10 @@ def test_trusted_documents_are_bounded(spark):
     assert q.trusted_ids(labels).tolist() == list(range(50))
     few = q.trusted_ids(labels, most=7)
     assert len(set(few)) == 7 and (few == q.trusted_ids(labels.repartition(3), most=7)).all()
+
+
+def test_counts_through_two_levels_give_the_same_scores(spark, sf_dir):
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    more = {"block_bytes": 20_000, "range_bytes": 9_000}
+    one, two = (sorted((r.doc_id, r.n_words, round(r.score, 9), r.kept) for r in q.quality_rules(documents, labels, **more, most_ranges=n).collect()) for n in (10**6, 5))
+    assert one == two and any(r[2] for r in one)
