@@ -37,7 +37,8 @@ from paperloom.llm.shared import cut
 from paperloom.llm.words import _BASE_INVERSE, _power, _prefix, as_large_string, mix, release_memory
 
 UNKNOWN = "und"
-BLOCK_BYTES = 4 << 20
+#: Text whose suffixes are counted together before they are sent, and text that is taken apart at a time.
+BLOCK_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 #: Documents of the sample, and the share of its words from which on the suffixes behind a beginning are dealt further.
 SAMPLE, HOT_SHARE = 5_000, 1 / 500
 _BLANK, _BREAK, _LITERAL = 1, 2, 255
@@ -50,8 +51,8 @@ _BYTE = np.arange(256, dtype=np.uint8)
 _BYTE[0x41:0x5B] += 0x20
 _BYTE[:9] += 1
 _BACK = bytes([0, *range(9), *range(10, 256)])
-#: Suffixes that are written out at a time, and counted at a time.
-_SLICE, _COUNTED = 1 << 17, 1 << 20
+#: Suffixes that are written out at a time, and counted together at most.
+_SLICE, _COUNTED = 1 << 17, 1 << 21
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -136,11 +137,34 @@ class Suffixes:
         at = np.arange(offsets[-1], dtype=np.int64) - np.repeat(offsets[:-1] - start, length)
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[at])])
 
-    def counted(self) -> Iterator[pa.StructArray]:
-        """Distinct suffixes with their numbers, of a stretch of words at a time."""
-        for low in range(0, self.n, _COUNTED):
-            high = min(low + _COUNTED, self.n)
-            yield pc.value_counts(pa.chunked_array([self.strings(k, min(k + _SLICE, high)) for k in range(low, high, _SLICE)]))
+    def written(self) -> Iterator[pa.Array]:
+        for low in range(0, self.n, _SLICE):
+            yield self.strings(low, min(low + _SLICE, self.n))
+
+
+def counted(texts: pa.Array, max_words: int, dictionary: Dictionary) -> Iterator[pa.StructArray]:
+    """Distinct suffixes of some texts with their numbers; of a very long text, of a stretch of words at a time."""
+    held: list[pa.Array] = []
+    n = 0
+    for part in _runs(texts, PIECE_BYTES):
+        for some in Suffixes(part, max_words, dictionary).written():
+            held.append(some)
+            n += len(some)
+            if n >= _COUNTED:
+                yield pc.value_counts(pa.chunked_array(held))
+                held, n = [], 0
+    if held:
+        yield pc.value_counts(pa.chunked_array(held))
+
+
+def _runs(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Texts in runs of about so many bytes; a longer one is a run of its own."""
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + size, side="right")))
+        yield texts.slice(low, high - low)
+        low = high
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,17 +207,12 @@ def _among(keys: np.ndarray, ascending: np.ndarray) -> np.ndarray:
 
 
 def _by_language(batch: pa.RecordBatch, block_bytes: int) -> Iterator[tuple[str, pa.Array]]:
-    """The texts of a batch, one language at a time, in runs of about so many bytes; a longer text is a run of its own."""
+    """The texts of a batch, one language at a time, in runs of about so many bytes."""
     languages = pc.fill_null(batch.column(0), UNKNOWN)
     texts = as_large_string(batch.column(1))
     for language in pc.unique(languages).to_pylist():
-        mine = texts.filter(pc.equal(languages, language))
-        sizes = np.cumsum(pc.binary_length(mine).to_numpy(zero_copy_only=False))
-        low = 0
-        while low < len(mine):
-            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + block_bytes, side="right")))
-            yield language, mine.slice(low, high - low)
-            low = high
+        for run in _runs(texts.filter(pc.equal(languages, language)), block_bytes):
+            yield language, run
 
 
 def deals(suffixes: pa.Array, hot: np.ndarray, max_words: int) -> np.ndarray:
@@ -214,12 +233,12 @@ def _suffix_rows(max_words: int, plan: Plan, block_bytes: int):
         for batch in batches:
             for language, texts in _by_language(batch, block_bytes):
                 own = hot.get(language, _hash_codes(()))
-                for counts in Suffixes(texts, max_words, dictionary).counted():
+                for counts in counted(texts, max_words, dictionary):
                     for low in range(0, len(counts), _SLICE):
                         part = counts.slice(low, _SLICE)
                         suffixes = part.field(0).cast(pa.binary())
                         yield pa.RecordBatch.from_arrays([pa.array([language]).take(pa.array(np.zeros(len(part), dtype=np.int64))), pa.array(deals(suffixes, own, max_words)), suffixes, part.field(1).cast(pa.int64())], names=["lang", "deal", "suffix", "n"])
-        release_memory()
+                release_memory()
 
     return run
 
@@ -320,11 +339,10 @@ def sampled_plan(texts: DataFrame, max_words: int, sample: int = SAMPLE, share:
         for batch in batches:
             for language, part in _by_language(batch, BLOCK_BYTES):
                 for k in range(1, max_words):
-                    suffixes = Suffixes(part, k, plain)
                     own = found.setdefault((language, k), Counter())
-                    for counts in suffixes.counted():
+                    for counts in counted(part, k, plain):
                         if k > 1:
-                            counts = counts.filter(pc.greater(counts.field(1), int(share * min(suffixes.n, _COUNTED) / 4)))
+                            counts = counts.filter(pc.greater(counts.field(1), int(share * pc.sum(counts.field(1)).as_py() / 4)))
                         own.update({code: n for code, n in zip(counts.field(0).to_pylist(), counts.field(1).to_pylist()) if code.count(0) == k})
         for (language, k), own in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(own), pa.string()), pa.array([k] * len(own), pa.int32()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["lang", "k", "beginning", "n"])
