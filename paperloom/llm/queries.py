@@ -26,10 +26,35 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: Exact, over all pairs that share a shingle; the operator finds a pair at the threshold with a probability of 0.9999.
+OP2_SQL = r"""
+WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  shingles AS MATERIALIZED (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM docs WHERE len(w) > 0)),
+  sets AS MATERIALIZED (SELECT id, doc_id, coalesce(n, 0) AS n, coalesce(name, '') AS name FROM docs LEFT JOIN (SELECT id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS name FROM shingles GROUP BY id) USING (id)),
+  common AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+  links AS MATERIALIZED (SELECT a, b FROM common JOIN sets x ON x.id = a JOIN sets y ON y.id = b WHERE c >= 0.8 * (x.n + y.n - c) UNION ALL SELECT x.id, y.id FROM sets x JOIN sets y ON x.n = 0 AND y.n = 0 AND x.id < y.id),
+  each_way AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reached(a, b) AS (SELECT id, id FROM docs UNION SELECT r.a, l.b FROM reached r JOIN each_way l ON l.a = r.b),
+  classes AS (SELECT r.a AS id, min(s.doc_id) AS class_id FROM reached r JOIN sets s ON s.id = r.b GROUP BY r.a),
+  copies AS (SELECT name, min(doc_id) AS copy_id, count(*) AS n_copies FROM sets GROUP BY name)
+SELECT doc_id, class_id, (SELECT count(*) FROM each_way l WHERE l.a = sets.id) AS n_links, copy_id, n_copies FROM sets JOIN classes USING (id) JOIN copies USING (name)
+"""
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+OP3_SQL = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  places AS MATERIALIZED (SELECT id, doc_id, i, w[i] AS word, CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i:i + 49], ' ')) END AS window_name FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM docs)),
+  least AS (SELECT window_name, min(doc_id) AS least FROM places WHERE window_name IS NOT NULL GROUP BY window_name),
+  judged AS (SELECT id, i, word, max(CASE WHEN least < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM places LEFT JOIN least USING (window_name)),
+  kept AS (SELECT id, sum(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS kept FROM judged GROUP BY id)
+SELECT doc_id, len(w) AS n_words, cast(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (id)
+"""
+
+
 #: Wanted shares of tokens by the kind of document that the labels tell of a part of the documents.
 KIND_TARGETS = {"clean": 0.85, "toxic": 0.075, "junk": 0.075}
 
@@ -125,4 +150,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_license_scan": OP12_SQL, "op13_phrase_collocations": OP13_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op12_license_scan": OP12_SQL, "op13_phrase_collocations": OP13_SQL}
