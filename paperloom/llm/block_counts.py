@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.shared import cut
@@ -49,6 +49,13 @@ def n_ranges(text_bytes: int, range_bytes: int = RANGE_BYTES) -> int:
     return max(1, -(-int(text_bytes) // range_bytes))
 
 
+def sizes(spark: SparkSession, text_bytes: int, block_bytes: int | None = None, range_bytes: int | None = None) -> tuple[int, int]:
+    """Bytes of a block and of a range: BLOCK_BYTES and RANGE_BYTES, or on little text so few that every core has some. Counts do not depend on them."""
+    cores = spark.sparkContext.defaultParallelism
+    block = block_bytes or min(BLOCK_BYTES, max(1 << 20, int(text_bytes) // (4 * cores)))
+    return block, range_bytes or min(RANGE_BYTES, max(2 << 20, int(text_bytes) // (2 * cores)))
+
+
 def pack_integers(x: np.ndarray) -> bytes:
     """Integers by byte planes, compressed."""
     planes = np.ascontiguousarray(np.ascontiguousarray(x).astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()

@@ -224,10 +224,11 @@ def _score(totals: Totals, bits: int, smoothing: Smoothing):
     return run
 
 
-def lm_scores(documents: DataFrame, block_bytes: int = bc.BLOCK_BYTES, range_bytes: int = bc.RANGE_BYTES, most_ranges: int = bc.MOST_RANGES, smoothing: Smoothing = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(documents: DataFrame, block_bytes: int | None = None, range_bytes: int | None = None, most_ranges: int = bc.MOST_RANGES, smoothing: Smoothing = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of SCHEMA for every document; those that are not held out train."""
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = documents.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    block_bytes, range_bytes = bc.sizes(documents.sparkSession, size, block_bytes, range_bytes)
     bits = bc.key_bits(size, SPARE_BITS - 2)  # a token has four bytes or more, as a rule
     packed = cut(bc.pack_blocks(documents, block_bytes), "blocks")
     asks = lambda ranges: bc.asked(packed, _grams(bits), _KINDS, ranges)
