@@ -69,16 +69,18 @@ def metered(matched: DataFrame) -> DataFrame:
     return matched.where("outcome = 'ok'").select("task_id", "job_id", F.lit(1).cast("long").alias("units"))
 
 
-def meter_once(matched: DataFrame, ledger: str, batch_id: int) -> None:
+def meter_once(matched: DataFrame, ledger: str, batch_id: int, horizon: int | None = None) -> None:
     """Add a batch's accepted webhooks to the ledger, each task and job once, whatever is replayed.
 
     The batch is a folder of its own that a replay replaces, and what earlier batches metered is left
     out of it: a batch that was killed half-way, or comes twice, leaves the ledger as if it had come once.
+    With `horizon` only so many batches before are read, as folders: for streams whose watermark drops
+    repeats of older ones, so that a batch's work does not grow with the ledger.
     """
     spark = matched.sparkSession
     schema = "task_id string, job_id string, units long, batch_id long"
     try:
-        earlier = spark.read.schema(schema).parquet(ledger).where(F.col("batch_id") < batch_id)
+        earlier = spark.read.schema(schema).parquet(ledger).where((F.col("batch_id") < batch_id) & (F.col("batch_id") >= (0 if horizon is None else batch_id - horizon)))
     except AnalysisException:  # the first batch
         earlier = spark.createDataFrame([], schema)
     fresh = metered(matched).groupBy("task_id", "job_id").agg(F.max("units").alias("units"))

@@ -111,6 +111,13 @@ def test_a_replayed_batch_meters_once(spark, tmp_path, killed):
     assert runs == ([0, 1, 1] if killed else [0, 1])
 
 
+def test_a_ledger_is_read_back_to_its_horizon(spark, tmp_path):
+    one = spark.createDataFrame([("a", "j1", "ok")], "task_id string, job_id string, outcome string")
+    for k in (0, 1, 5):
+        w.meter_once(one, str(tmp_path), k, horizon=3)
+    assert sorted(r.batch_id for r in spark.read.parquet(str(tmp_path)).collect()) == [0, 5]
+
+
 def test_the_task_table_of_a_log(spark):
     at = lambda m: T0 + datetime.timedelta(minutes=m)
     rows = [("a", "processing", at(3), "p"), ("a", "completed", at(1), "x"), ("a", "error", at(2), "late"), ("b", "init", at(0), None), ("b", "processing", at(1), "q")]
