@@ -49,10 +49,10 @@ def n_ranges(text_bytes: int, range_bytes: int = RANGE_BYTES) -> int:
     return max(1, -(-int(text_bytes) // range_bytes))
 
 
-def sizes(spark: SparkSession, text_bytes: int, block_bytes: int | None = None, range_bytes: int | None = None) -> tuple[int, int]:
-    """Bytes of a block and of a range: BLOCK_BYTES and RANGE_BYTES, or on little text so few that every core has some. Counts do not depend on them."""
+def sizes(spark: SparkSession, text_bytes: int, block_bytes: int | None = None, range_bytes: int | None = None, largest: int = BLOCK_BYTES) -> tuple[int, int]:
+    """Bytes of a block and of a range: `largest` and RANGE_BYTES, or on little text so few that every core has some. Counts do not depend on them."""
     cores = spark.sparkContext.defaultParallelism
-    block = block_bytes or min(BLOCK_BYTES, max(1 << 20, int(text_bytes) // (4 * cores)))
+    block = block_bytes or min(largest, max(1 << 20, int(text_bytes) // (4 * cores)))
     return block, range_bytes or min(RANGE_BYTES, max(2 << 20, int(text_bytes) // (2 * cores)))
 
 

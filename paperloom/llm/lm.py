@@ -40,9 +40,11 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import block_counts as bc
 from paperloom.llm.shared import cut
-from paperloom.llm.words import as_large_string, blocks, mix
+from paperloom.llm.words import as_large_string, blocks, mix, release_memory
 
 SPARE_BITS = 14
+#: Text of a block; half of what counting alone would take, as a block's automaton and its counts are in memory together.
+BLOCK_BYTES = 4 << 20
 #: m of word states and of pair states: weight and power of the context's count.
 Smoothing = tuple[tuple[float, float], tuple[float, float]]
 SMOOTHING: Smoothing = ((10.0, 0.7), (2.0, 0.5))
@@ -219,6 +221,8 @@ def _score(totals: Totals, bits: int, smoothing: Smoothing):
         base = np.add.reduceat(np.log10((count + 1) / (totals.n_tokens + totals.n_types + 1)), first)
         known = np.add.reduceat((count > 0).astype(np.int64), first)
         columns = [pa.array(ids, pa.int64()), held_out(ids), t.sizes, known, np.full(len(ids), totals.n_tokens), base, np.add.reduceat(logs, first)]
+        del t, words, pairs, triples, logs, count, table
+        release_memory()
         return pa.table([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
@@ -228,7 +232,7 @@ def lm_scores(documents: DataFrame, block_bytes: int | None = None, range_bytes:
     """The columns of SCHEMA for every document; those that are not held out train."""
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = documents.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    block_bytes, range_bytes = bc.sizes(documents.sparkSession, size, block_bytes, range_bytes)
+    block_bytes, range_bytes = bc.sizes(documents.sparkSession, size, block_bytes, range_bytes, BLOCK_BYTES)
     bits = bc.key_bits(size, SPARE_BITS - 2)  # a token has four bytes or more, as a rule
     packed = cut(bc.pack_blocks(documents, block_bytes), "blocks")
     asks = lambda ranges: bc.asked(packed, _grams(bits), _KINDS, ranges)
