@@ -183,7 +183,7 @@ def _score(kept_at: list[int], schema_names: list[str], threshold: float, bits:
     return run
 
 
-def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, spare_bits: int = SPARE_BITS, block_bytes: int | None = None, range_bytes: int | None = None, most_ranges: int = bc.MOST_RANGES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | None = None, threshold: float = THRESHOLD, spare_bits: int = SPARE_BITS, block_bytes: int | None = None, range_bytes: int | None = None, most_ranges: int = bc.MOST_RANGES, largest_block: int = bc.BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the kept columns (doc_id alone by default) and MEASURES."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
     keep = [c for c in (keep or [id_col]) if c not in names]
@@ -192,7 +192,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, keep: list[str] | Non
     texts = documents.select(F.col(id_col).cast("long").alias("\tid"), F.col(text_col).alias("\ttext"))
     sizes = texts.mapInArrow(_size(trusted), "size long, raw long, target long")
     size, raw, target = (x or 0 for x in sizes.agg(F.sum("size"), F.sum("raw"), F.sum("target")).first())
-    block_bytes, range_bytes = bc.sizes(documents.sparkSession, size, block_bytes, range_bytes)
+    block_bytes, range_bytes = bc.sizes(documents.sparkSession, size, block_bytes, range_bytes, largest_block)
     bits = bc.key_bits(raw, spare_bits)
 
     # a kept text travels once: it is the last column of a block

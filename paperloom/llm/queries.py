@@ -84,7 +84,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.quality_rules(documents, labels)
+    return quality.quality_rules(documents, labels, largest_block=9 << 20)  # larger blocks exchange less and need more memory
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
