@@ -78,8 +78,11 @@ def _runs(urls: list[str], batch_urls: int) -> Iterator[list[str]]:
         yield urls[low : low + batch_urls]
 
 
-def fetch_urls(rows: DataFrame, url: str = "url", timeout: float = 30, max_bytes: int | None = None, check: bool = False, concurrency: int = 10, retry: Callable[[], Retry] = Retry, partitions: int | None = None, batch_urls: int = 64) -> DataFrame:
-    """url, status, content, error: one row for each distinct address that is not null or empty. `data:` addresses are decoded without a request."""
+def fetch_urls(rows: DataFrame, url: str = "url", timeout: float = 30, max_bytes: int | None = None, check: bool = False, schemes: Sequence[str] = SCHEMES, concurrency: int = 10, retry: Callable[[], Retry] = Retry, partitions: int | None = None, batch_urls: int = 64) -> DataFrame:
+    """url, status, content, error: one row for each distinct address that is not null or empty. `data:` addresses are decoded without a request.
+
+    Where strangers give the addresses, pass schemes=("http", "https"): others reach what the tasks can read.
+    """
     wanted = rows.select(F.col(url).cast("string").alias("url")).where("url <> ''").distinct()
     inline = F.startswith("url", F.lit("data:"))
     decoded = wanted.where(inline).select("url", F.lit(200).alias("status"), decode_data_uri(F.col("url")).alias("content"), F.lit(None).cast("string").alias("error"))
@@ -91,7 +94,7 @@ def fetch_urls(rows: DataFrame, url: str = "url", timeout: float = 30, max_bytes
         again = retry()
         for batch in batches:
             for urls in _runs(batch.column(0).to_pylist(), batch_urls):
-                yield _answers(urls, again, concurrency, timeout=timeout, max_bytes=max_bytes, check=check)
+                yield _answers(urls, again, concurrency, timeout=timeout, max_bytes=max_bytes, check=check, schemes=schemes)
 
     return remote.mapInArrow(run, FETCHED).unionByName(decoded)
 
@@ -107,7 +110,7 @@ class UrlReader(DataSourceReader):
 
     def __init__(self, options: dict[str, str]) -> None:
         self.folder, self.column = options["path"], options.get("column", "url")
-        self.how = {"timeout": float(options.get("timeout", 30)), "max_bytes": int(options["maxbytes"]) if "maxbytes" in options else None, "check": options.get("check", "false") == "true"}
+        self.how = {"timeout": float(options.get("timeout", 30)), "max_bytes": int(options["maxbytes"]) if "maxbytes" in options else None, "check": options.get("check", "false") == "true", "schemes": options.get("schemes", ",".join(SCHEMES)).split(",")}
         self.concurrency, self.attempts, self.delay = int(options.get("concurrency", 10)), int(options.get("attempts", 1)), float(options.get("delay", 0))
 
     def partitions(self) -> Sequence[InputPartition]:
@@ -134,7 +137,7 @@ class UrlReader(DataSourceReader):
 class UrlSource(DataSource):
     """`spark.read.format("paperloom_urls").option("path", table).option("column", "url")`: each slice of the table fetched as it is read.
 
-    Other options: timeout, maxBytes, check, concurrency, attempts, delay. Addresses are fetched once a slice.
+    Other options: timeout, maxBytes, check, schemes (comma-separated), concurrency, attempts, delay. Addresses are fetched once a slice.
     """
 
     @classmethod

@@ -130,6 +130,12 @@ def test_checked_status(spark, site):
     assert fetch.fetch_urls(df.where("false")).count() == 0
 
 
+def test_only_schemes_that_are_allowed(spark, tmp_path):
+    (tmp_path / "f.bin").write_bytes(b"abc")
+    df = spark.createDataFrame([(f"file://{tmp_path}/f.bin",), (f"FILE://{tmp_path}/f.bin",)], "url string")
+    assert {(r.content, r.error) for r in fetch.fetch_urls(df, schemes=("http", "https")).collect()} == {(None, "ValueError: unsupported address")}
+
+
 def test_a_table_of_addresses_as_a_source(spark, site, tmp_path):
     spark.createDataFrame([(f"{site}/n{k}", k) for k in range(30)] + [(None, 1), (f"{site}/n0", 2)], "link string, k int").repartition(4).write.parquet(f"{tmp_path}/urls")
     spark.dataSource.register(fetch.UrlSource)
