@@ -52,6 +52,20 @@ def test_scores_against_a_plain_count(spark, sf_dir):
         assert r.score == pytest.approx(expected, abs=1e-9)
 
 
+def test_scores_against_plain_words_and_pairs(spark, sf_dir):
+    """The whole table, by words and pairs of words as they are, with nothing of the operator's hashing."""
+    documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    each = {r.doc_id: Counter([*(w := words(r.text)), *zip(w, w[1:])]) for r in documents.collect()}
+    raw, target = sum(each.values(), Counter()), sum((c for i, c in each.items() if i in good), Counter())
+    scale = raw.total() / target.total()
+    for r in q.quality_rules(documents, labels, spare_bits=40).collect():
+        c = each[r.doc_id]
+        expected = sum(n * math.log((target[g] * scale + q.PRIOR) / (raw[g] + q.PRIOR)) for g, n in c.items()) / max(c.total(), 1)
+        assert r.score == pytest.approx(expected, abs=1e-9)
+        assert r.kept == (not r.base_failed and expected >= q.THRESHOLD)
+
+
 def test_labelled_documents(spark, sf_dir):
     """Good documents are kept, junk goes; on the middle table, which has 58 junk documents."""
     sf_dir = sf_dir.replace("sf0.001", "sf0.01")
