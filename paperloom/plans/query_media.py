@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -257,14 +256,14 @@ SOUND_MIN, SOUND_MAX = 6_000, 14_000
 
 
 def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id and content: the bytes of a PCM container."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", (5 * F.length("text")).alias("loud"), (250 * (1 + (F.col("conv_id") + 3 * F.col("turn")) % 7)).cast("int").alias("pause")))).alias("turns"))
+    """conv_id and content: the bytes of a PCM container. The turns are far smaller than the sounds, so their number of tasks is given, not found by size."""
+    dealt = table(spark, sf_dir, "conversations").repartition(4 * spark.sparkContext.defaultParallelism, "conv_id")
+    turns = dealt.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", (5 * F.length("text")).alias("loud"), (250 * (1 + (F.col("conv_id") + 3 * F.col("turn")) % 7)).cast("int").alias("pause")))).alias("turns"))
 
-    @F.pandas_udf("binary")
-    def recorded(turns: pd.Series) -> pd.Series:
-        return turns.map(lambda t: audio.encode(audio.tone([x for r in t for x in ((r["loud"], True), (r["pause"], False))])))
+    def recorded(turns: list[dict]) -> bytes:
+        return audio.encode(audio.tone([x for r in turns for x in ((r["loud"], True), (r["pause"], False))]))
 
-    return turns.select("conv_id", recorded("turns").alias("content"))
+    return files.make_files(turns, ["conv_id"], ["turns"], recorded)
 
 
 @query(f"SELECT conv_id, (SELECT cast(max(end_ms) AS BIGINT) FROM ({PAUSES_SQL}) e WHERE e.conv_id = p.conv_id) AS duration_ms, start_ms, end_ms FROM ({PAUSES_SQL}) p WHERE pause >= 750")

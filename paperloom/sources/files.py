@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,24 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
+def make_files(rows: DataFrame, keep: Sequence[str], inputs: Sequence[str], make: Callable[..., bytes], batch_bytes: int = 1 << 22) -> DataFrame:
+    """The columns `keep`, and content: the bytes that `make` gives for a row's `inputs`. Files leave the task every `batch_bytes`, however many small rows a batch has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, size, low = [], 0, 0
+            for k in range(batch.num_rows):
+                made.append(make(*(c[k].as_py() for c in batch.columns[len(keep) :])))
+                size += len(made[-1])
+                if size >= batch_bytes or k + 1 == batch.num_rows:
+                    kept = [c.slice(low, len(made)) for c in batch.columns[: len(keep)]]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(made, pa.binary())], names=[*keep, "content"])
+                    made, size, low = [], 0, k + 1
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema), "content binary"])
+    return rows.select(*keep, *(F.col(c).alias(f"\tinput{k}") for k, c in enumerate(inputs))).mapInArrow(run, schema)
+
+
 def read_prompt(spark: SparkSession, path: str) -> str:
     """A prompt file's whole text, for a provider's factory to hold."""
     return spark.read.text(path, wholetext=True).first()[0]

@@ -91,3 +91,24 @@ def test_from_bytes_to_chunks(spark):
     cut = sorted((r.task, r.chunk_id, r.start_ms, r.end_ms, r.name, bytes(r.content)) for r in audio.cut_chunks(df, "task", 3000, 7000).collect())
     assert [c[:5] for c in cut] == [(1, 0, 0, 4500, "chunk_0000.wav"), (1, 1, 4500, 10_400, "chunk_0001.wav"), (1, 2, 10_400, 14_000, "chunk_0002.wav"), (2, 0, 0, 2000, "chunk_0000.wav"), (5, 0, 0, 0, "chunk_0000.wav")]
     assert (np.concatenate([audio.decode(c[5]).samples for c in cut[:3]]) == long.samples).all()
+
+
+def test_sounds_leave_in_small_batches(spark, sf_dir):
+    """Ten thousand small rows are one batch; the recordings made of them are not."""
+    from paperloom.plans import query_media
+    from paperloom.sources import files
+
+    rows = spark.range(0, 600, 1, 1).selectExpr("id AS k", "id % 7 AS n")
+    made = files.make_files(rows, ["k"], ["k", "n"], lambda k, n: bytes([n]) * 100_000, batch_bytes=1 << 20).mapInArrow(sizes, "n int, size long").collect()
+    assert sum(r.n for r in made) == 600 and sum(r.size for r in made) >= 60_000_000
+    plan = query_media.sounds(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan
+    assert [tuple(r) for r in files.make_files(rows.where("k < 3"), ["n"], ["k"], lambda k: b"x" * k).collect()] == [(0, b""), (1, b"x"), (2, b"xx")]
+    assert files.make_files(rows.where("false"), ["n"], ["k"], lambda k: b"").count() == 0
+
+
+def sizes(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.record_batch([pa.array([b.num_rows], pa.int32()), pa.array([b.nbytes])], names=["n", "size"])
