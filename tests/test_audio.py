@@ -112,3 +112,12 @@ def sizes(batches):
 
     for b in batches:
         yield pa.record_batch([pa.array([b.num_rows], pa.int32()), pa.array([b.nbytes])], names=["n", "size"])
+
+
+def test_chunks_need_no_shuffle_of_contents(spark):
+    """Recordings of one key stay apart, and no join brings contents and plans together."""
+    df = spark.createDataFrame([(1, audio.encode(audio.tone([(2000, True)]))), (1, audio.encode(audio.tone([(3000, True)])))], "task int, content binary")
+    cut = audio.cut_chunks(df, "task", 3000, 7000)
+    assert sorted((r.task, r.end_ms, len(r.content)) for r in cut.collect()) == [(1, 2000, 16_044), (1, 3000, 24_044)]
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
