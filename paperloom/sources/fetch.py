@@ -1,5 +1,7 @@
 """Contents behind addresses as rows: http, https, ftp, file and data, one fetch for each distinct address.
 
+A full path (`/folder/name`) is a file's address too, so whatever `file_sink` returns for a folder can be fetched.
+
 Distinct addresses are dealt over tasks; a task has some requests under way at a time and tries
 failed ones again later. Bytes are read in pieces, and redirects are followed. The answer's status is a column: as
 with a plain client, an error page is content too, unless `check` makes it an error. An address
@@ -38,16 +40,20 @@ class TooLarge(ValueError):
 
 def _open_stored(url: str) -> pa.NativeFile:
     system, path = open_folder(url)
-    return system.open_input_stream(path)
+    try:
+        return system.open_input_stream(path)
+    except OSError as e:  # as for the other schemes
+        raise urllib.error.URLError(e) from e
 
 
 def fetch(url: str, timeout: float = 30, max_bytes: int | None = None, check: bool = False, schemes: Sequence[str] = SCHEMES) -> tuple[int, bytes]:
     """Status (200 where the scheme has none) and content of one address."""
-    scheme = url.partition(":")[0].lower()
+    path = url.startswith("/")
+    scheme = "file" if path else url.partition(":")[0].lower()
     if scheme not in schemes:
         raise ValueError("unsupported address")
     try:
-        answer = _open_stored(url) if scheme in _STORED else urllib.request.urlopen(url, timeout=timeout)
+        answer = _open_stored(url) if path or scheme in _STORED else urllib.request.urlopen(url, timeout=timeout)
     except urllib.error.HTTPError as e:
         if check or e.code in _LATER:
             raise

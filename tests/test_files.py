@@ -142,3 +142,22 @@ def test_a_table_of_addresses_as_a_source(spark, site, tmp_path):
     df = spark.read.format("paperloom_urls").option("path", f"{tmp_path}/urls").option("column", "link").option("timeout", "5").load()
     assert df.rdd.getNumPartitions() == 4
     assert {(r.status, bytes(r.content).decode()) for r in df.collect()} == {(200, f"/n{k}") for k in range(30)}
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_written_files_are_fetched_by_their_addresses(spark, tmp_path, scheme):
+    written = file_sink.write_files(rows(spark, ROWS + [("o.md.missing", b"")]), f"{scheme}{tmp_path}/out")
+    os.remove(f"{tmp_path}/out/o.md.missing")
+    got = {r.path: (r.status, r.content and bytes(r.content), (r.error or "").split(":")[0]) for r in fetch.with_content(written, "url").collect()}
+    assert got == {p: (200, bytes(c or b""), "") for p, c in ROWS} | {"o.md.missing": (None, None, "URLError")}
+    refused = fetch.with_content(written, "url", schemes=("http", "https")).collect()
+    assert {(r.content, r.error) for r in refused} == {(None, "ValueError: unsupported address")}
+
+
+def test_fetched_files_without_a_scheme(spark, sf_dir, tmp_path, monkeypatch):
+    """The shared folder may be a plain path."""
+    from paperloom.plans import query_files
+
+    monkeypatch.setattr(query_files, "staging_folder", lambda spark, name: f"{tmp_path}/{name}")
+    got = {r.page_id: (r.status, r.failure) for r in query_files.fetched_files(spark, sf_dir).collect()}
+    assert got and all(v == ((None, "URLError") if k % 10 == 7 else (None, "ValueError") if k % 10 == 8 else (200, None)) for k, v in got.items())
