@@ -44,22 +44,27 @@ def pptx_text(content: bytes) -> str:
     return _clean(out)
 
 
-def office_text(files: DataFrame, content: str = "content", mime: str = "mime") -> DataFrame:
-    """Files with `text` and `error`: the document's text, empty for other types."""
+def office_text(files: DataFrame, content: str = "content", mime: str = "mime", batch_bytes: int = 1 << 22) -> DataFrame:
+    """Files with `text` and `error`: the document's text, empty for other types. Rows leave the task every `batch_bytes` of files and text, as texts may be far larger than files."""
     names = files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, errors = [], []
-            for data, kind in zip(batch.column(names.index(content)), batch.column(names.index(mime)).to_pylist()):
+            texts, errors, size, low = [], [], 0, 0
+            for k in range(batch.num_rows):
+                data, kind = batch.column(names.index(content))[k].as_py(), batch.column(names.index(mime))[k].as_py()
                 reader = {mimes.DOCX: docx_text, mimes.PPTX: pptx_text}.get(kind)
                 try:
-                    texts.append(reader(data.as_py()) if reader else "")
+                    texts.append(reader(data) if reader else "")
                     errors.append(None)
                 except Exception as e:  # an unreadable file is a result
                     texts.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[*names, "text", "error"])
+                size += len(data or b"") + len(texts[-1] or "")
+                if size >= batch_bytes or k + 1 == batch.num_rows:
+                    kept = [c.slice(low, len(texts)) for c in batch.columns]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[*names, "text", "error"])
+                    texts, errors, size, low = [], [], 0, k + 1
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema), "text string", "error string"])
     return files.mapInArrow(run, schema)

@@ -125,3 +125,16 @@ def test_tables_of_files_too_large_for_a_row(spark, sf_dir):
     finally:
         spark.conf.set(key, before)
     assert dict(expected)["region.parquet"] == 5 and len(expected) == 14
+
+
+def test_office_texts_leave_in_small_batches(spark, sf_dir):
+    from paperloom.functions import mime
+    from paperloom.plans import query_documents
+
+    rows = [(k, _docx(["word"] * k) if k % 3 else b"broken") for k in range(1, 30)] + [(30, None)]
+    df = spark.createDataFrame(rows, "k int, content binary").coalesce(1).withColumn("mime", F.lit(mime.DOCX))
+    for batch_bytes in (1, 1000, 1 << 22):
+        got = {r.k: (r.text, r.error and r.error.split(":")[0]) for r in office.office_text(df, batch_bytes=batch_bytes).collect()}
+        assert got.pop(30)[0] is None and got == {k: ("\n\n".join(["word"] * k), None) if k % 3 else (None, "BadZipFile") for k in range(1, 30)}
+    assert office.office_text(df.where("false")).count() == 0
+    assert "ArrowEvalPython" not in query_documents.slides_text(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
