@@ -16,9 +16,8 @@ def md_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts laid out as Markdown files in folders, and the files read again."""
     folder = staging_folder(spark, "md-files")
     named = F.concat("source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    file_sink.write_markdown(table(spark, sf_dir, "documents").select(text.markdown_path(named).alias("out_path"), "text"), folder)
-    found = files.read_files(spark, folder, "*.md")
-    return found.select(F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1).alias("path"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    written = file_sink.write_markdown(table(spark, sf_dir, "documents").select(text.markdown_path(named).alias("out_path"), "text"), folder)
+    return files.read_listed(written, folder).select("path", F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 @query("""

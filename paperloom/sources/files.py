@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom import schemas
 from paperloom.functions.text import or_default
+from paperloom.sources.file_sink import open_folder
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -17,6 +18,25 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
+def read_listed(listed: DataFrame, folder: str, path: str = "path", batch_bytes: int = 1 << 22) -> DataFrame:
+    """path, length, content of the files below a folder that rows name, read where the rows are: no folder is listed by the driver, and tasks are as few as the rows have. A missing file fails the query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = open_folder(folder)
+        for batch in batches:
+            contents, size, low = [], 0, 0
+            for k in range(batch.num_rows):
+                with system.open_input_stream(f"{base}/{batch.column(0)[k].as_py()}") as file:
+                    contents.append(file.read())
+                size += len(contents[-1])
+                if size >= batch_bytes or k + 1 == batch.num_rows:
+                    lengths = pa.array([len(c) for c in contents], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(contents)), lengths, pa.array(contents, pa.binary())], names=["path", "length", "content"])
+                    contents, size, low = [], 0, k + 1
+
+    return listed.select(F.col(path).cast("string").alias("path")).mapInArrow(run, "path string, length bigint, content binary")
+
+
 def make_files(rows: DataFrame, keep: Sequence[str], inputs: Sequence[str], make: Callable[..., bytes], batch_bytes: int = 1 << 22) -> DataFrame:
     """The columns `keep`, and content: the bytes that `make` gives for a row's `inputs`. Files leave the task every `batch_bytes`, however many small rows a batch has."""
 

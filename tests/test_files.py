@@ -161,3 +161,25 @@ def test_fetched_files_without_a_scheme(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(query_files, "staging_folder", lambda spark, name: f"{tmp_path}/{name}")
     got = {r.page_id: (r.status, r.failure) for r in query_files.fetched_files(spark, sf_dir).collect()}
     assert got and all(v == ((None, "URLError") if k % 10 == 7 else (None, "ValueError") if k % 10 == 8 else (200, None)) for k, v in got.items())
+
+
+def test_listed_files(spark, tmp_path):
+    from paperloom.sources import files
+
+    folder = f"file://{tmp_path}/out"
+    written = file_sink.write_files(rows(spark, ROWS).repartition(3), folder)
+    (tmp_path / "out" / "other.md").write_bytes(b"not listed")
+    for batch_bytes in (1, 1 << 22):
+        got = {r.path: (r.length, bytes(r.content)) for r in files.read_listed(written, folder, batch_bytes=batch_bytes).collect()}
+        assert got == {p: (len(c or b""), c or b"") for p, c in ROWS}
+    assert files.read_listed(written.where("false"), folder).count() == 0
+    os.remove(tmp_path / "out" / "e.md")
+    with pytest.raises(Exception, match="e.md"):
+        files.read_listed(written, folder).collect()
+
+
+def test_markdown_files_are_read_in_few_tasks(spark, sf_dir):
+    """Not one task for every few files: opening costs that Spark assumes for a file make 32 of them a partition."""
+    from paperloom.plans import query_files
+
+    assert query_files.md_files(spark, sf_dir).rdd.getNumPartitions() <= 4
