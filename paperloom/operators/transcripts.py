@@ -12,12 +12,16 @@ def _closes() -> Column:
     return (F.col("type") == "punctuation") & F.col("content").isin(".", "?", "!")
 
 
+def _numbered(tokens: DataFrame, key: str) -> DataFrame:
+    """Tokens with the number of their sentence, and whether they close it."""
+    before = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return tokens.withColumn("closes", _closes()).withColumn("sentence_no", F.coalesce(F.sum(F.col("closes").cast("long")).over(before), F.lit(0).cast("long")))
+
+
 def with_sentence(tokens: DataFrame, key: str) -> DataFrame:
     """Tokens with the number of their sentence; tokens after the last terminal mark are dropped."""
-    before = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = tokens.withColumn("closes", _closes()).withColumn("sentence_no", F.coalesce(F.sum(F.col("closes").cast("long")).over(before), F.lit(0).cast("long")))
     ends = F.max("closes").over(Window.partitionBy(key, "sentence_no"))
-    return numbered.withColumn("ended", ends).where("ended").drop("closes", "ended")
+    return _numbered(tokens, key).withColumn("ended", ends).where("ended").drop("closes", "ended")
 
 
 def sentences(tokens: DataFrame, key: str) -> DataFrame:
@@ -30,13 +34,19 @@ def sentences(tokens: DataFrame, key: str) -> DataFrame:
 
 
 def sentence_languages(tokens: DataFrame, key: str, cumulative: bool) -> DataFrame:
-    """The most frequent language up to each sentence's end (cumulative), or within the sentence; ties go to the first by name."""
-    counts = with_sentence(tokens, key).groupBy(key, "sentence_no", "language").agg(F.count("*").alias("n"))
+    """The most frequent language up to each sentence's end (cumulative), or within the sentence; ties go to the first by name.
+
+    Tokens are sorted once; what follows has a row for each sentence and language.
+    """
+    per = _numbered(tokens, key).groupBy(key, "sentence_no", "language").agg(F.count("*").alias("n"), F.max("closes").alias("closes"))
+    counts = per.withColumn("ended", F.max("closes").over(Window.partitionBy(key, "sentence_no"))).where("ended").select(key, "sentence_no", "language", "n")
     if cumulative:
         # a row for every sentence and language seen in the task, so that counts carry over
-        grid = counts.select(key, "sentence_no").distinct().join(counts.select(key, "language").distinct(), key)
+        seen = counts.where(F.col(key).isNotNull()).withColumn("seen", F.collect_set("language").over(Window.partitionBy(key)))
+        here = F.map_from_entries(F.collect_list(F.when(F.col("language").isNotNull(), F.struct("language", "n"))))
+        grid = seen.groupBy(key, "sentence_no").agg(F.first("seen").alias("seen"), here.alias("here")).select(key, "sentence_no", "here", F.explode("seen").alias("language"))
         running = Window.partitionBy(key, "language").orderBy("sentence_no")
-        counts = grid.join(counts, [key, "sentence_no", "language"], "left").withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(running)).where("n > 0")
+        counts = grid.withColumn("n", F.sum(F.coalesce(F.col("here")[F.col("language")], F.lit(0))).over(running)).where("n > 0")
     return counts.groupBy(key, "sentence_no").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("language"))).alias("best")).select(key, "sentence_no", F.col("best.language").alias("language"))
 
 

@@ -35,7 +35,9 @@ COUNTS_SQL = f"SELECT conv_id, sentence_no, language, count(*) AS n FROM ({NUMBE
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = F.when(F.col("role") == "user", "fr").when(F.col("role") == "system", "de").otherwise("en")
     found = F.regexp_extract_all("text", F.lit(r"[.?!]|[^ \n.?!]+"), F.lit(0))
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", language.alias("language"), found.alias("words")))).alias("turns"))
+    # a turn's tokens are many times its bytes, so the number of tasks is given, not found by size
+    dealt = table(spark, sf_dir, "conversations").repartition(4 * spark.sparkContext.defaultParallelism, "conv_id")
+    turns = dealt.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", language.alias("language"), found.alias("words")))).alias("turns"))
     flat = F.flatten(F.transform("turns", lambda t: F.transform(t["words"], lambda w: F.struct(w.alias("content"), t["language"].alias("language")))))
     rows = turns.select("conv_id", F.posexplode(flat).alias("seq", "t")).select("conv_id", F.col("seq").cast("long").alias("seq"), "t.content", "t.language")
     seconds = F.col("seq") * F.lit(0.5)

@@ -218,3 +218,27 @@ def test_pages_by_type(spark):
     found = pages.prepare_pages(df, "k", lambda: lambda d: [d] * int(d), lambda: lambda d: d.upper())
     got = sorted((r.k, r.page_no, None if r.content is None else bytes(r.content), r.error) for r in found.collect())
     assert got[:2] == [(1, 0, b"2", None), (1, 1, b"2", None)] and got[2][2] is None and "invalid literal" in got[2][3] and got[3:] == [(3, 0, b"P", None), (4, 0, b"j", None)]
+
+
+def test_languages_of_sentences_sort_tokens_once(spark):
+    """Against a plain loop, with nulls; no join of the tokens with themselves."""
+    import random
+
+    r = random.Random(5)
+    rows = [(r.choice([1, 2, 3, None]), k, r.choice(["a", "b", ".", "!"]), r.choice(["de", "en", "fr", None])) for k in range(400)]
+    t = spark.createDataFrame(rows, "task int, seq long, content string, language string").withColumn("type", F.when(F.col("content").isin(".", "!"), "punctuation").otherwise("word"))
+    expected, state = {}, {}
+    for task, _, content, language in rows:
+        total, open_ = state.setdefault(task, ({}, {}))
+        open_[language] = open_.get(language, 0) + 1
+        if content in ".!":
+            for x, n in open_.items():
+                total[x] = total.get(x, 0) + n
+            open_.clear()
+            known = {x: n for x, n in total.items() if x is not None}
+            number = sum(1 for k in expected if k[0] == task)
+            expected[task, number] = min(known, key=lambda x: (-known[x], x)) if known else None
+    cumulative = transcripts.sentence_languages(t, "task", True)
+    assert {(x.task, x.sentence_no): x.language for x in cumulative.collect()} == {k: v for k, v in expected.items() if k[0] is not None and v is not None}
+    plan = cumulative._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
